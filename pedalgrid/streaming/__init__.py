@@ -1,0 +1 @@
+"""Intentionally empty: the workload is batch only (see README, "Streaming")."""
