@@ -55,36 +55,62 @@ def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def _let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` computed once, however often ``fn`` uses it."""
+    return F.transform(F.array(value), fn)[0]
+
+
+def _series(xi: Column, eta: Column, terms: tuple, sign: float) -> tuple[Column, Column]:
+    """``xi`` and ``eta`` with a Krueger series added to both."""
+    out_xi, out_eta = xi, eta
+    for j, k in enumerate(terms, 1):
+        out_xi = out_xi + F.lit(sign * k) * F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j))
+        out_eta = out_eta + F.lit(sign * k) * F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j))
+    return out_xi, out_eta
+
+
+def _pair(a: Column, b: Column) -> Column:
+    return F.struct(a.alias("a"), b.alias("b"))
+
+
 def to_metric(lon: Column, lat: Column) -> Column:
     """Longitude/latitude in degrees to UTM 19S metres."""
-    sin_lat = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(sin_lat) - F.lit(_CONFORMAL) * F.atanh(F.lit(_CONFORMAL) * sin_lat))
-    dlon = F.radians(lon - F.lit(CENTRAL_MERIDIAN))
-    xi = F.atan2(t, F.cos(dlon))
-    eta = F.atanh(F.sin(dlon) / F.sqrt(1 + t * t))
-    east, north = eta, xi
-    for j, a in enumerate(_ALPHA, 1):
-        east = east + F.lit(a) * F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j))
-        north = north + F.lit(a) * F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j))
     k = SCALE * _RECTIFYING
-    return point(east * k + FALSE_EAST, north * k + FALSE_NORTH)
+
+    def conformal(s: Column) -> Column:
+        return F.sinh(F.atanh(s) - F.lit(_CONFORMAL) * F.atanh(F.lit(_CONFORMAL) * s))
+
+    def sphere(p: Column) -> Column:
+        t, dlon = p["a"], p["b"]
+        return _pair(F.atan2(t, F.cos(dlon)), F.atanh(F.sin(dlon) / F.sqrt(1 + t * t)))
+
+    def plane(p: Column) -> Column:
+        xi, eta = _series(p["a"], p["b"], _ALPHA, 1.0)
+        return point(eta * k + FALSE_EAST, xi * k + FALSE_NORTH)
+
+    t = _let(F.sin(F.radians(lat)), conformal)
+    dlon = F.radians(lon - F.lit(CENTRAL_MERIDIAN))
+    return _let(_let(_pair(t, dlon), sphere), plane)
 
 
 def to_lonlat(east: Column, north: Column) -> Column:
     """UTM 19S metres back to degrees."""
     k = SCALE * _RECTIFYING
-    xi = (north - FALSE_NORTH) / k
-    eta = (east - FALSE_EAST) / k
-    xi0, eta0 = xi, eta
-    for j, b in enumerate(_BETA, 1):
-        xi0 = xi0 - F.lit(b) * F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j))
-        eta0 = eta0 - F.lit(b) * F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j))
-    chi = F.asin(F.sin(xi0) / F.cosh(eta0))
-    lat = chi
-    for j, d in enumerate(_DELTA, 1):
-        lat = lat + F.lit(d) * F.sin(chi * (2 * j))
-    lon = F.degrees(F.atan2(F.sinh(eta0), F.cos(xi0))) + CENTRAL_MERIDIAN
-    return point(lon, F.degrees(lat))
+
+    def sphere(p: Column) -> Column:
+        return _pair(*_series(p["a"], p["b"], _BETA, -1.0))
+
+    def degrees(p: Column) -> Column:
+        def latitude(chi: Column) -> Column:
+            lat = chi
+            for j, d in enumerate(_DELTA, 1):
+                lat = lat + F.lit(d) * F.sin(chi * (2 * j))
+            return F.degrees(lat)
+
+        lon = F.degrees(F.atan2(F.sinh(p["b"]), F.cos(p["a"]))) + CENTRAL_MERIDIAN
+        return point(lon, _let(F.asin(F.sin(p["a"]) / F.cosh(p["b"])), latitude))
+
+    return _let(_let(_pair((north - FALSE_NORTH) / k, (east - FALSE_EAST) / k), sphere), degrees)
 
 
 def map_line(line: Column, fn) -> Column:
@@ -223,21 +249,24 @@ def line_centroid(line: Column) -> Column:
 
 def representative_vertex(line: Column) -> Column:
     """Vertex nearest the line's centroid, interior vertices first."""
-    c = line_centroid(line)
     inner = F.flatten(
         F.transform(line, lambda p: F.slice(p, F.lit(2), F.greatest(F.size(p) - 2, F.lit(0))))
     )
     pool = F.when(F.size(inner) > 0, inner).otherwise(F.flatten(line))
-    best = F.array_min(
-        F.transform(
-            pool,
-            lambda p: F.struct(
-                ((p["x"] - c["x"]) * (p["x"] - c["x"]) + (p["y"] - c["y"]) * (p["y"] - c["y"])).alias("d"),
-                p["x"].alias("x"),
-                p["y"].alias("y"),
-            ),
+
+    def nearest(c: Column) -> Column:
+        return F.array_min(
+            F.transform(
+                pool,
+                lambda p: F.struct(
+                    F.hypot(p["x"] - c["x"], p["y"] - c["y"]).alias("d"),
+                    p["x"].alias("x"),
+                    p["y"].alias("y"),
+                ),
+            )
         )
-    )
+
+    best = _let(line_centroid(line), nearest)
     return point(best["x"], best["y"])
 
 

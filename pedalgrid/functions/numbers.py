@@ -21,7 +21,12 @@ def finite(c: Column) -> Column:
 
 
 def half_even(c: Column, digits: int = 0) -> Column:
-    return F.bround(c, digits)
+    """Half-even rounding of the decimal value.
+
+    Noise four digits further down is rounded off first: a sum that ends in 5
+    must not flip with the order in which partitions were added.
+    """
+    return F.bround(F.round(c, digits + 4), digits)
 
 
 def json_number(c: Column, digits: int = 2) -> Column:
