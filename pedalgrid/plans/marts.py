@@ -1 +1,430 @@
-"""Queries."""
+"""Serving-table queries: nations are communes, regions are regions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..operators import marts as M, nearest, proximity
+from .base import NEAR, PT, SEG, points, query, r4, segments, sql_segment_segment, table
+
+STATUS = {"F": "existentes", "O": "diseño", "P": "planificadas"}
+
+MART = """
+km AS (SELECT c_nationkey AS cut_com, sum(o_totalprice) FILTER (o_orderstatus = 'F') / 1000 AS kme, sum(o_totalprice) FILTER (o_orderstatus = 'O') / 1000 AS kmd,
+              sum(o_totalprice) FILTER (o_orderstatus = 'P') / 1000 AS kmp FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1),
+cen AS (SELECT n_nationkey AS cut_com, n_name AS nom, r_name AS reg FROM nation JOIN region ON r_regionkey = n_regionkey),
+dem AS (SELECT c_nationkey AS cut_com, count(*) AS pob, count(*) FILTER (c_mktsegment = 'BUILDING') AS bici,
+               count(*) FILTER (c_mktsegment <> 'MACHINERY') AS viajes_modo, 100.0 * count(*) FILTER (c_acctbal > 4000) / count(*) AS cob,
+               100.0 * count(*) FILTER (c_acctbal > 4000 AND c_mktsegment = 'BUILDING') / nullif(count(*) FILTER (c_mktsegment = 'BUILDING'), 0) AS cobb FROM customer GROUP BY 1),
+sin AS (SELECT s_nationkey AS cut_com, count(*) AS sini, sum(CAST(floor(s_acctbal / 5000) AS BIGINT)) AS sinf FROM supplier WHERE s_acctbal > 0 GROUP BY 1),
+mart AS (SELECT cut_com, nom, reg, coalesce(pob, 0) AS pob, bici, viajes_modo, cob, cobb, kme, kmd, kmp, sini, sinf
+         FROM cen LEFT JOIN dem USING (cut_com) LEFT JOIN km USING (cut_com) LEFT JOIN sin USING (cut_com))"""
+
+
+def _mart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
+    customers = t("customer").withColumn("cut_com", F.col("c_nationkey"))
+    staged = None
+    for code, stage in STATUS.items():
+        hit = F.col("o_orderstatus") == code
+        staged = F.when(hit, stage) if staged is None else staged.when(hit, stage)
+    segs = (
+        t("orders")
+        .select(F.col("o_custkey").alias("c_custkey"), staged.alias("etapa"), (F.col("o_totalprice") / 1000).alias("km"))
+        .join(customers.select("c_custkey", "cut_com"), "c_custkey")
+    )
+    km = M.km_by_stage(segs, "cut_com", "etapa", "km").select(
+        "cut_com",
+        F.col("km_existentes").alias("kme"),
+        F.col("km_diseño").alias("kmd"),
+        F.col("km_planificadas").alias("kmp"),
+    )
+    spine = (
+        t("nation")
+        .join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(F.col("n_nationkey").alias("cut_com"), F.col("n_name").alias("nom"), F.col("r_name").alias("reg"))
+    )
+    rider, near = F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal") > 4000
+    count = lambda c: F.count(F.when(c, 1))
+    demand = customers.groupBy("cut_com").agg(
+        F.count(F.lit(1)).alias("pob"),
+        count(rider).alias("bici"),
+        count(F.col("c_mktsegment") != "MACHINERY").alias("viajes_modo"),
+        (100 * count(near) / F.count(F.lit(1))).alias("cob"),
+        F.try_divide(100 * count(near & rider), count(rider)).alias("cobb"),
+        # a name the spine has too: it must be dropped, not split
+        F.min("c_name").alias("nom"),
+    )
+    crashes = t("supplier").where(F.col("s_acctbal") > 0).withColumns(
+        {"cut_com": F.col("s_nationkey"), "fallecidos": F.floor(F.col("s_acctbal") / 5000), "graves": F.lit(0)}
+    )
+    sin = M.crash_counts(crashes, ["cut_com"], "fallecidos", "graves").select(
+        "cut_com", F.col("sin_bici").alias("sini"), F.col("sin_fall").cast("bigint").alias("sinf")
+    )
+    return M.commune_mart(spine, demand, km, sin).na.fill(0, ["pob"])
+
+
+@query(
+    "commune_mart",
+    f"WITH {MART.lstrip()} SELECT cut_com, nom, reg, pob, bici, viajes_modo, round(cob, 4) AS cob, round(cobb, 4) AS cobb, round(kme, 3) AS kme, round(kmd, 3) AS kmd, round(kmp, 3) AS kmp, sini, CAST(sinf AS BIGINT) AS sinf FROM mart",
+)
+def commune_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _mart(spark, sf_dir)
+    return out.withColumns(
+        {
+            **{c: r4(F.col(c)) for c in ("cob", "cobb")},
+            **{c: F.round(c, 3) for c in ("kme", "kmd", "kmp")},
+        }
+    ).select("cut_com", "nom", "reg", "pob", "bici", "viajes_modo", "cob", "cobb", "kme", "kmd", "kmp", "sini", "sinf")
+
+
+_KPI = """count(*) AS comunas, count(*) FILTER (kme > 0) AS comunas_con_red, round(coalesce(sum(kme), 0), 3) AS km_existentes,
+  round(coalesce(sum(coalesce(kmd, 0) + coalesce(kmp, 0)), 0), 3) AS km_cartera, CAST(coalesce(sum(pob), 0) AS DOUBLE) AS pob,
+  round(100 * sum(cob / 100 * pob) / nullif(sum(pob), 0), 4) AS pct_pob, CAST(coalesce(sum(bici), 0) AS DOUBLE) AS bici,
+  round(100.0 * sum(bici) / sum(viajes_modo), 4) AS pct_modal, round(100 * sum(cobb / 100 * bici) / nullif(sum(bici), 0), 4) AS pct_bici,
+  CAST(coalesce(sum(sini), 0) AS DOUBLE) AS siniestros, CAST(coalesce(sum(sinf), 0) AS DOUBLE) AS fallecidos"""
+
+
+@query(
+    "scope_kpi",
+    f"""WITH {MART.lstrip()} SELECT 'region:' || reg AS ambito, {_KPI} FROM mart GROUP BY reg
+UNION ALL SELECT 'comuna:7', {_KPI} FROM mart WHERE cut_com = 7
+UNION ALL SELECT 'metro', {_KPI} FROM mart WHERE cut_com IN (1, 2, 3)
+UNION ALL SELECT 'todo', {_KPI} FROM mart""",
+)
+def scope_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mart = _mart(spark, sf_dir)
+    by_region = M.scope_kpis(mart, ["reg"]).withColumn("reg", F.concat(F.lit("region:"), "reg")).withColumnRenamed("reg", "ambito")
+    scopes = {
+        "comuna:7": M.scope_communes(mart, commune=7, metro=[1, 2], region="ASIA"),
+        "metro": M.scope_communes(mart, metro=[1, 2, 3], region="ASIA"),
+        "todo": M.scope_communes(mart),
+    }
+    out = by_region
+    for name, scope in scopes.items():
+        out = out.unionByName(M.scope_kpis(scope).withColumn("ambito", F.lit(name)))
+    return out.withColumns(
+        {
+            **{c: F.col(c).cast("double") for c in ("pob", "bici", "siniestros", "fallecidos")},
+            **{c: F.round(c, 3) for c in ("km_existentes", "km_cartera")},
+            **{c: r4(F.col(c)) for c in ("pct_pob", "pct_modal", "pct_bici")},
+        }
+    )
+
+
+@query(
+    "best_city",
+    """WITH o AS (SELECT DISTINCT o_orderpriority AS ciudad, c_nationkey AS cut_com FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 450000)
+SELECT ciudad, count(*) AS n FROM o WHERE cut_com IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) GROUP BY 1 ORDER BY n DESC, ciudad LIMIT 1""",
+)
+def best_city(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("cut_com"))
+    members = (
+        table(spark, sf_dir, "orders")
+        .where(F.col("o_totalprice") > 450000)
+        .join(customers, "o_custkey")
+        .select(F.col("o_orderpriority").alias("ciudad"), "cut_com")
+        .distinct()
+    )
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("cut_com"), F.col("n_regionkey").alias("reg"))
+    return M.best_city(members, M.scope_communes(nation, region=1))
+
+
+_CLASSES = """
+WITH p AS (SELECT l_partkey AS zona, count(*) AS n, sum(l_extendedprice * (1 - l_discount)) / sum(l_quantity) AS v, sum(l_quantity * (l_discount - 0.05)) AS d FROM lineitem GROUP BY 1),
+g AS (SELECT *, CASE WHEN n < 25 THEN 'insufficient' ELSE 'ok' END AS respaldo FROM (SELECT zona, n AS raw, n, v, d FROM p)),
+u AS (SELECT * FROM g WHERE respaldo = 'ok'),
+"""
+
+
+def _measured_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    return (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(F.col("l_partkey").alias("zona"))
+        .agg(
+            (F.count(F.lit(1)) / 5).alias("n"),
+            (F.sum(price) / F.sum("l_quantity")).alias("v"),
+            F.sum(F.col("l_quantity") * (F.col("l_discount") - 0.05)).alias("d"),
+        )
+    )
+
+
+@query(
+    "class_breaks",
+    _CLASSES
+    + """s AS (SELECT list_sort(list(v)) AS l, count(*) AS n FROM u),
+b AS (SELECT list_transform([1, 2, 3, 4, 5, 6], lambda i: l[CAST(floor(i / 7.0 * (n - 1)) AS BIGINT) + 1]) AS br FROM s)
+SELECT zona, respaldo, round(v, 4) AS v, CASE WHEN respaldo = 'ok' THEN CAST(len(list_filter(br, lambda x: g.v > x)) AS INTEGER) END AS clase FROM g, b""",
+)
+def class_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = M.classify(_measured_parts(spark, sf_dir), "v", support="n")
+    return out.select("zona", "respaldo", r4(F.col("v")).alias("v"), "clase")
+
+
+@query(
+    "diverging_classes",
+    _CLASSES
+    + """s AS (SELECT list_sort(list(abs(round(d, 6)))) AS l, count(*) AS n FROM g),
+q AS (SELECT CASE WHEN l[CAST(floor(0.9 * (n - 1)) AS BIGINT) + 1] = 0 THEN 1 ELSE l[CAST(floor(0.9 * (n - 1)) AS BIGINT) + 1] END AS q FROM s)
+SELECT zona, CAST(6 - len(list_filter([-q, -0.5 * q, -0.15 * q, 0.15 * q, 0.5 * q, q], lambda x: round(g.d, 6) > x)) AS INTEGER) AS clase FROM g, q""",
+)
+def diverging_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _measured_parts(spark, sf_dir).withColumn("d", F.round("d", 6))
+    return M.classify(parts, "d", diverging=True, reverse=True).select("zona", "clase")
+
+
+@query(
+    "scenario_compare",
+    """
+WITH r AS (SELECT c_nationkey AS k, sum(l_extendedprice * (1 - l_discount)) / 1e6 AS a, sum(l_extendedprice) FILTER (l_discount <= 0.05) / 0.65 / 1e6 AS b
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1)
+SELECT count(*) AS n, count(*) FILTER (b > a) AS improve, count(*) FILTER (b = a) AS equal, count(*) FILTER (b < a) AS worsen, round(avg(b - a), 4) AS mean_rise FROM r
+""",
+)
+def scenario_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("k"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    price = F.col("l_extendedprice")
+    lines = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy("l_orderkey")
+        .agg(
+            F.sum(price * (1 - F.col("l_discount"))).alias("a"),
+            F.sum(F.when(F.col("l_discount") <= 0.05, price)).alias("b"),
+        )
+        .join(orders, "l_orderkey")
+        .join(customers, "o_custkey")
+        .groupBy("k")
+        .agg((F.sum("a") / 1e6).alias("a"), (F.sum("b") / 0.65 / 1e6).alias("b"))
+    )
+    base = lines.select("k", F.col("a").alias("ind"))
+    planned = lines.select("k", F.col("b").alias("ind"))
+    return M.scenario_compare(base, planned, "k", "ind").withColumn("mean_rise", r4(F.col("mean_rise")))
+
+
+@query(
+    "topk_tables",
+    """
+WITH a AS (SELECT 'tipo' AS tabla, p_type AS grupo, sum(l_quantity) AS km FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 2),
+b AS (SELECT 'marca' AS tabla, coalesce(CASE WHEN p_brand = 'Brand#3' THEN NULL ELSE p_brand END, 'sin dato') AS grupo, sum(l_quantity) AS km FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 2)
+SELECT * FROM (SELECT * FROM a ORDER BY km DESC, grupo LIMIT 4) UNION ALL SELECT * FROM (SELECT * FROM b ORDER BY km DESC, grupo LIMIT 10)
+""",
+)
+def topk_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sold = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("km"))
+    parts = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("l_partkey"), "p_type", F.when(F.col("p_brand") != "Brand#3", F.col("p_brand")).alias("p_brand")
+    )
+    rows = sold.join(parts, "l_partkey")
+    types = M.top_totals(rows, "p_type", "km", 4).select(F.lit("tipo").alias("tabla"), F.col("p_type").alias("grupo"), "km")
+    brands = M.top_totals(rows, "p_brand", "km", 10).select(F.lit("marca").alias("tabla"), F.col("p_brand").alias("grupo"), "km")
+    return types.union(brands)
+
+
+@query(
+    "type_breakdown",
+    """
+SELECT p_brand AS tipo, round(coalesce(sum(l_extendedprice) FILTER (l_linestatus = 'F'), 0), 2) AS km_existentes,
+       round(coalesce(sum(l_extendedprice) FILTER (l_linestatus <> 'F'), 0), 2) AS km_otras, round(sum(l_extendedprice), 2) AS km_total
+FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1 ORDER BY sum(l_extendedprice) DESC, 1 LIMIT 12
+""",
+)
+def type_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sold = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_linestatus").agg(F.sum("l_extendedprice").alias("km"))
+    brands = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("tipo"))
+    out = M.type_table(sold.join(brands, "l_partkey"), "tipo", F.col("l_linestatus") == "F", "km")
+    return out.withColumns({c: F.round(c, 2) for c in ("km_existentes", "km_otras", "km_total")})
+
+
+@query(
+    "km_by_year",
+    """
+WITH y AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS anio, sum(l_quantity) AS km, count(*) AS tramos FROM lineitem WHERE year(l_shipdate) BETWEEN 1996 AND 2000 GROUP BY 1)
+SELECT anio, km, tramos, round(100 * sum(km) OVER (ORDER BY anio ROWS UNBOUNDED PRECEDING) / sum(km) OVER (), 4) AS acum_pct FROM y
+""",
+)
+def km_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").withColumn("fecha", F.date_format("l_shipdate", "'obra 'yyyy-MM"))
+    return M.km_by_year(lines, "fecha", "l_quantity", (1996, 2000)).withColumn("acum_pct", r4(F.col("acum_pct")))
+
+
+@query(
+    "crash_counts",
+    """
+SELECT event_type AS tipo, CAST(hour(ts) AS INTEGER) AS hora, count(*) AS sin_bici, round(sum(value), 2) AS sin_fall,
+       CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS sin_grav FROM events WHERE event_type <> 'view' GROUP BY 1, 2
+""",
+)
+def crash_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumns(
+        {
+            # a crash without a type belongs to no group
+            "tipo": F.when(F.col("event_type") != "view", F.col("event_type")),
+            "hora": F.hour("ts"),
+            "k": F.get_json_object("props", "$.k").cast("bigint"),
+        }
+    )
+    out = M.crash_counts(e, ["tipo", "hora"], "value", "k")
+    return out.withColumns({"sin_fall": F.round("sin_fall", 2), "sin_grav": F.col("sin_grav").cast("bigint")})
+
+
+_ZONE = f"""
+WITH {SEG}, {PT}, {NEAR},
+blk AS (SELECT CAST(CAST(floor(x / 100) AS BIGINT) AS VARCHAR) || '/' || CAST(CAST(floor(y / 100) AS BIGINT) AS VARCHAR) AS zona, people, riders, dist, label, CASE WHEN score > 0 THEN score END AS esc FROM pt JOIN near USING (vec_id)),
+agg AS (SELECT zona, min(label) AS cut_com, CAST(sum(people) AS DOUBLE) AS pob, CAST(sum(riders) AS DOUBLE) AS bici, count(*) AS manzanas,
+   sum(dist * people) / nullif(sum(people), 0) AS dist_m, sum(coalesce(esc, 0) * people) / nullif(sum(people), 0) AS escolaridad,
+   sum(esc * people) / nullif(sum(people) FILTER (esc IS NOT NULL), 0) AS escolaridad_informada FROM blk GROUP BY 1),
+cr AS (SELECT CAST(CAST(floor(x1 / 100) AS BIGINT) AS VARCHAR) || '/' || CAST(CAST(floor(y1 / 100) AS BIGINT) AS VARCHAR) AS zona, count(*) AS sin_bici, CAST(sum(label) AS DOUBLE) AS sin_fall FROM seg GROUP BY 1),
+sv AS (SELECT CAST(CAST(floor(x2 / 100) AS BIGINT) AS VARCHAR) || '/' || CAST(CAST(floor(y2 / 100) AS BIGINT) AS VARCHAR) AS zona, CAST(sum(label) AS DOUBLE) AS eod_gen, min('c' || label) AS eod_ciudad FROM seg GROUP BY 1),
+m AS (SELECT agg.*, coalesce(sin_bici, 0) AS sin_bici, coalesce(sin_fall, 0) AS sin_fall, eod_gen, eod_ciudad FROM agg LEFT JOIN cr USING (zona) LEFT JOIN sv USING (zona))
+"""
+
+
+def _zone_key(x: str, y: str):
+    part = lambda c: F.format_string("%d", F.floor(F.col(c) / 100))
+    return F.concat(part(x), F.lit("/"), part(y)).alias("zona")
+
+
+def _zone_parts(spark: SparkSession, sf_dir: str):
+    segs = segments(spark, sf_dir)
+    p = points(spark, sf_dir)
+    near = nearest.nearest_distance(nearest.point_pieces(p, "x", "y", ["vec_id"]), segs, "vec_id")
+    blocks = p.join(near, "vec_id", "left").select(
+        "*", _zone_key("x", "y"), F.when(F.col("score") > 0, F.col("score")).alias("esc"), F.col("label").alias("cut_com")
+    )
+    agg = M.zone_aggregate(blocks, "zona", ["cut_com"], "people", "riders", "people", "dist", "esc")
+    crashes = M.crash_counts(segs.select(_zone_key("x1", "y1"), "label"), ["zona"], "label", "label")
+    pieces = segs.groupBy(_zone_key("x2", "y2"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("eod_ciudad")).agg(
+        F.sum("label").alias("eod_gen")
+    )
+    survey = M.merge_city_pieces(pieces, "zona", ["eod_gen"], "eod_ciudad")
+    # only zones with a network vertex have a shape
+    shapes = segs.select(_zone_key("x1", "y1")).union(segs.select(_zone_key("x2", "y2"))).distinct()
+    return M.zone_mart(agg, shapes, crashes, survey=survey)
+
+
+@query(
+    "zone_mart",
+    _ZONE
+    + """SELECT zona, cut_com, pob, bici, manzanas, round(dist_m, 4) AS dist_m, round(escolaridad, 6) AS escolaridad, round(escolaridad_informada, 6) AS escolaridad_informada,
+  sin_bici, sin_fall, eod_gen, eod_ciudad, round(1000 * eod_gen / nullif(pob, 0), 4) AS egen_pc FROM m
+WHERE zona IN (SELECT zona FROM cr UNION SELECT zona FROM sv)""",
+)
+def zone_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mart, _ = _zone_parts(spark, sf_dir)
+    out = M.zone_measures(mart, "eod_gen", "sin_bici", "manzanas", "sin_bici", "pob")
+    return out.select(
+        "zona",
+        "cut_com",
+        F.col("pob").cast("double").alias("pob"),
+        F.col("bici").cast("double").alias("bici"),
+        "manzanas",
+        r4(F.col("dist_m")).alias("dist_m"),
+        r4(F.col("escolaridad"), 6).alias("escolaridad"),
+        r4(F.col("escolaridad_informada"), 6).alias("escolaridad_informada"),
+        "sin_bici",
+        F.col("sin_fall").cast("double").alias("sin_fall"),
+        F.col("eod_gen").cast("double").alias("eod_gen"),
+        "eod_ciudad",
+        r4(F.col("egen_pc")).alias("egen_pc"),
+    )
+
+
+@query(
+    "zones_without_shape",
+    _ZONE + "SELECT count(*) AS zonas, coalesce(sum(pob), 0) AS pob FROM m WHERE zona NOT IN (SELECT zona FROM cr UNION SELECT zona FROM sv)",
+)
+def zones_without_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, lost = _zone_parts(spark, sf_dir)
+    return lost.agg(F.count(F.lit(1)).alias("zonas"), F.coalesce(F.sum(F.col("pob").cast("double")), F.lit(0.0)).alias("pob"))
+
+
+@query(
+    "zone_card",
+    _ZONE + "SELECT cut_com, count(*) AS zonas, sum(pob) AS pob, sum(bici) AS bici, CAST(sum(sin_bici) AS DOUBLE) AS siniestros FROM m WHERE zona IN (SELECT zona FROM cr UNION SELECT zona FROM sv) GROUP BY 1",
+)
+def zone_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mart, _ = _zone_parts(spark, sf_dir)
+    out = M.zone_card(mart, ["cut_com"])
+    return out.withColumns({c: F.col(c).cast("double") for c in ("pob", "bici", "siniestros")})
+
+
+@query(
+    "fragmentation_scatter",
+    f"""
+WITH {MART.lstrip()}, t AS (SELECT c_nationkey AS cut_com, max(o_totalprice) / 10 AS mayor, sum(o_totalprice) / 1000 AS km FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT cut_com, round(kme, 3) AS kme, round(mayor / km, 4) AS pmayor FROM mart JOIN t USING (cut_com) WHERE kme > 3 AND mayor IS NOT NULL
+""",
+)
+def fragmentation_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("cut_com"))
+    largest = (
+        table(spark, sf_dir, "orders")
+        .where(F.col("o_orderstatus") == "F")
+        .join(customers, "o_custkey")
+        .groupBy("cut_com")
+        .agg((F.max("o_totalprice") / 10).alias("mayor"), (F.sum("o_totalprice") / 1000).alias("km"))
+        .select("cut_com", (F.col("mayor") / F.col("km")).alias("pmayor"))
+    )
+    mart = M.commune_mart(_mart(spark, sf_dir), largest)
+    return M.fragmentation_scatter(mart, "kme", "pmayor").select("cut_com", F.round("kme", 3).alias("kme"), r4(F.col("pmayor")).alias("pmayor"))
+
+
+@query(
+    "area_recipe",
+    f"""
+WITH RECURSIVE {SEG}, g AS (SELECT *, CASE WHEN x1 > 0 THEN 'existentes' WHEN y1 > 0 THEN 'diseño' ELSE 'planificadas' END AS etapa,
+     sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) / 1000 AS kg FROM seg),
+b AS (SELECT * FROM g WHERE etapa = 'existentes'),
+pr AS (SELECT a.vec_id AS src, c.vec_id AS dst FROM b a JOIN b c ON a.vec_id <> c.vec_id AND {sql_segment_segment('a', 'c')} <= 25),
+rc AS (SELECT vec_id, vec_id AS lab FROM b UNION SELECT pr.dst, rc.lab FROM rc JOIN pr ON pr.src = rc.vec_id),
+cc AS (SELECT vec_id, min(lab) AS component FROM rc GROUP BY 1)
+SELECT count(*) AS tramos, count(*) FILTER (etapa = 'existentes') AS existentes, round(sum(round(kg, 2)) FILTER (etapa = 'existentes'), 2) AS km_existentes,
+       round(sum(kg) FILTER (etapa = 'existentes'), 4) AS km_medidos, round(sum(round(kg, 2)) FILTER (etapa = 'diseño'), 2) AS "km_diseño",
+       round(sum(round(kg, 2)) FILTER (etapa = 'planificadas'), 2) AS km_planificadas, CAST(0 AS DOUBLE) AS "km_ejecución",
+       count(DISTINCT component) AS componentes, (SELECT count(*) FROM embeddings WHERE label IN (1, 3, 5)) AS contadores
+FROM g LEFT JOIN cc USING (vec_id) WHERE label IN (1, 3, 5)
+""",
+)
+def area_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Network summary of communes 1, 3 and 5: lengths, components, counters."""
+    segs = segments(spark, sf_dir).withColumns(
+        {
+            "cut_com": F.col("label"),
+            "etapa": F.when(F.col("x1") > 0, "existentes").when(F.col("y1") > 0, "diseño").otherwise("planificadas"),
+            "km_geom": F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / 1000,
+        }
+    )
+    segs = segs.withColumn("km", F.round("km_geom", 2))
+    built = segs.where(F.col("etapa") == "existentes")
+    found = proximity.network_components(built, "vec_id", 5.0)
+    scope = segs.where(F.col("label").isin(1, 3, 5)).select("cut_com").distinct()
+    counters = points(spark, sf_dir).withColumn("cut_com", F.col("label"))
+    out = M.area_recipe(segs.join(found, "vec_id", "left"), counters, scope)
+    lengths = {c: F.round(c, 2) for c in out.columns if c.startswith("km_") and c != "km_medidos"}
+    return out.withColumns({**lengths, "km_medidos": r4(F.col("km_medidos"))})
+
+
+@query(
+    "serve_segments",
+    f"""WITH {SEG} SELECT vec_id AS c, CAST(CASE WHEN x1 > 0 THEN 0 WHEN y1 > 0 THEN 1 ELSE 3 END AS INTEGER) AS e, round(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)), 2) AS k,
+  substr('Avenida Libertador Bernardo O''Higgins, tramo ' || vec_id || ' entre calles', 1, 55) AS n, round_even(y1, 5) AS lat0, round_even(x1, 5) AS lon0 FROM seg""",
+)
+def serve_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.geo import point
+
+    segs = segments(spark, sf_dir)
+    rows = segs.select(
+        F.col("vec_id").cast("string").alias("cut_com"),
+        F.when(F.col("x1") > 0, "existentes").when(F.col("y1") > 0, "diseño").otherwise("otra").alias("etapa"),
+        F.format_string("Avenida Libertador Bernardo O'Higgins, tramo %d entre calles", F.col("vec_id")).alias("eje_via"),
+        F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("km"),
+        F.lit("ciclovía").alias("tipo"),
+        F.lit("2024").alias("year_ejecucion"),
+        F.lit(None).cast("string").alias("emplaza_txt"),
+        F.array(F.array(point(F.col("x1"), F.col("y1")), point(F.col("x2"), F.col("y2")))).alias("line"),
+    )
+    out = M.serve_segments(rows)
+    first = F.col("g")[0][0]
+    return out.select(F.col("c").cast("bigint").alias("c"), "e", "k", "n", first[0].alias("lat0"), first[1].alias("lon0"))
