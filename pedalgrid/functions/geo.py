@@ -291,12 +291,14 @@ def polygon_pieces(poly: Column) -> Column:
 
 def point_piece_d2(px, py, x1, y1, x2, y2) -> Column:
     """Squared distance from a point to a straight piece."""
-    dx, dy = x2 - x1, y2 - y1
-    len2 = dx * dx + dy * dy
-    along = (px - x1) * dx + (py - y1) * dy
-    t = F.when(len2 > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), along / len2))).otherwise(0.0)
-    ex, ey = px - (x1 + t * dx), py - (y1 + t * dy)
-    return ex * ex + ey * ey
+    dx, dy, ax, ay = x2 - x1, y2 - y1, px - x1, py - y1
+    along, len2 = ax * dx + ay * dy, dx * dx + dy * dy
+    off = ax * dy - ay * dx
+    return (
+        F.when(along <= 0, ax * ax + ay * ay)
+        .when(along >= len2, (px - x2) * (px - x2) + (py - y2) * (py - y2))
+        .otherwise(off * off / len2)
+    )
 
 
 def _side(ax, ay, bx, by, px, py) -> Column:

@@ -14,8 +14,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import finite
+from ..session import settle
 
 SLICES = 128
+# with fewer distinct values than this in all, one slice per group is enough
+SHORT = 100_000
 _ALL = "_all"
 
 
@@ -31,8 +34,8 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "in
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def _sliced(df: DataFrame, by: list[str], value: str, weight: str | None, slices: int):
-    """Distinct values with weight and slice number, and slice bounds per group.
+def _values(df: DataFrame, by: list[str], value: str, weight: str | None):
+    """Distinct values with their weight, written out once for all later passes.
 
     A value shared by many rows is one row here, so copies cannot pile up.
     """
@@ -43,23 +46,51 @@ def _sliced(df: DataFrame, by: list[str], value: str, weight: str | None, slices
     if not by:
         kept = kept.withColumn(_ALL, F.lit(0))
         by = [_ALL]
-    values = kept.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(w.alias("_w"))
-    cuts = values.groupBy(*by).agg(
-        F.percentile_approx("_v", [i / slices for i in range(1, slices)], slices * 20).alias("_cuts"),
+    return by, settle(kept.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(w.alias("_w")))
+
+
+def _sliced(values: DataFrame, by: list[str], slices: int):
+    """Values with their slice number, and the running bounds of each slice.
+
+    The cuts are written out: a sketch merged in another order cuts elsewhere,
+    and both results must speak of the same slices.
+    """
+    step = max(2, round(slices**0.5))
+    raw = values.groupBy(*by).agg(
+        F.array_distinct(
+            F.percentile_approx("_v", [i / slices for i in range(1, slices)], slices * 20)
+        ).alias("_cuts"),
         F.sum("_w").alias("_total"),
     )
-    keyed = _same(values, cuts, by).withColumn(
-        "_slice", F.size(F.filter(F.array_distinct("_cuts"), lambda e: F.col("_v") > e))
+    every = F.transform(
+        F.sequence(F.lit(1), F.floor(F.size("_cuts") / step).cast("int")), lambda i: F.get("_cuts", i * step - 1)
+    )
+    cuts = settle(
+        raw.withColumn(
+            "_coarse",
+            F.when(F.size("_cuts") >= step, every).otherwise(F.array().cast("array<double>")),
+        )
+    )
+
+    def above(edges: Column) -> Column:
+        return F.size(F.filter(edges, lambda e: F.col("_v") > e))
+
+    # two short searches instead of one along all cuts
+    keyed = (
+        _same(values, cuts.drop("_total"), by)
+        .withColumn("_at", above(F.col("_coarse")) * step)
+        .withColumn("_slice", F.col("_at") + above(F.slice("_cuts", F.col("_at") + 1, F.lit(step))))
+        .drop("_cuts", "_coarse", "_at")
     )
     order = Window.partitionBy(*by).orderBy("_slice")
+    sums = keyed.groupBy(*by, "_slice").agg(F.sum("_w").alias("_sw"))
     ends = (
-        keyed.groupBy(*by, "_slice")
-        .agg(F.sum("_w").alias("_sw"), F.first("_total").alias("_total"))
+        _same(sums, cuts.select(*by, "_total"), by)
         .withColumn("_end", F.sum("_sw").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_start", F.coalesce(F.lag("_end").over(order), F.lit(0.0)))
         .select(*by, "_slice", "_total", "_start", "_end")
     )
-    return by, keyed.drop("_cuts", "_total"), ends
+    return keyed, ends
 
 
 def _running(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -71,13 +102,29 @@ def _running(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.withColumn("_cum", F.col("_start") + F.sum("_w").over(w))
 
 
+def _one_slice(values: DataFrame, by: list[str]) -> DataFrame:
+    """All values of a group in one slice, for tables counted to be short."""
+    totals = values.groupBy(*by).agg(F.sum("_w").alias("_total"))
+    rows = _same(values, totals, by).withColumn("_slice", F.lit(0)).withColumn("_start", F.lit(0.0))
+    return _running(rows, by)
+
+
 def running_totals(
-    df: DataFrame, by: Sequence[str], value: str, weight: str | None = None, slices: int = SLICES
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    weight: str | None = None,
+    slices: int = SLICES,
+    short: int = SHORT,
 ) -> DataFrame:
     """Per distinct value: ``value, weight, cumulative, total``."""
-    by, keyed, ends = _sliced(df, list(by), value, weight, slices)
-    rows = _same(keyed, ends, [*by, "_slice"])
-    return _running(rows, by).select(
+    by, values = _values(df, list(by), value, weight)
+    if values.count() <= short:
+        rows = _one_slice(values, by)
+    else:
+        keyed, ends = _sliced(values, by, slices)
+        rows = _running(_same(keyed, ends, [*by, "_slice"]), by)
+    return rows.select(
         *[c for c in by if c != _ALL],
         F.col("_v").alias(value),
         F.col("_w").alias("weight"),
@@ -93,6 +140,7 @@ def values_at(
     targets: Callable[[Column], Column],
     weight: str | None = None,
     slices: int = SLICES,
+    short: int = SHORT,
 ) -> DataFrame:
     """For each target amount, the first value whose running total reaches it.
 
@@ -100,29 +148,33 @@ def values_at(
     ``at: array<double>`` in the same order, and ``total``. Only the slices a
     target falls into are sorted.
     """
-    by, keyed, ends = _sliced(df, list(by), value, weight, slices)
-    asked = ends.select(
-        *by, "_slice", "_start", "_end", "_total", F.posexplode(targets(F.col("_total"))).alias("_pos", "_goal")
-    ).where(
-        (F.col("_end") >= F.col("_goal"))
-        & ((F.col("_start") < F.col("_goal")) | ((F.col("_start") == 0) & (F.col("_goal") <= 0)))
-    )
-    goals = asked.groupBy(*by, "_slice").agg(
-        F.first("_start").alias("_start"),
-        F.first("_total").alias("_total"),
-        F.collect_list(F.struct("_pos", "_goal")).alias("_goals"),
-    )
-    # the slice's last value stands in where rounding leaves its running total
-    # a hair below the slice end
-    hits = (
-        _running(_same(keyed, goals, [*by, "_slice"]), by)
-        .select(*by, "_total", "_v", "_cum", F.explode("_goals").alias("_g"))
-        .groupBy(*by, "_total", F.col("_g._pos").alias("_pos"))
-        .agg(
-            F.coalesce(
-                F.min(F.when(F.col("_cum") >= F.col("_g._goal"), F.col("_v"))), F.max("_v")
-            ).alias("_v")
+    by, values = _values(df, list(by), value, weight)
+    if values.count() <= short:
+        rows = _one_slice(values, by).select(
+            *by, "_total", "_v", "_cum", F.posexplode(targets(F.col("_total"))).alias("_pos", "_goal")
+        )
+    else:
+        keyed, ends = _sliced(values, by, slices)
+        asked = ends.select(
+            *by, "_slice", "_start", "_end", "_total", F.posexplode(targets(F.col("_total"))).alias("_pos", "_goal")
+        ).where(
+            (F.col("_end") >= F.col("_goal"))
+            & ((F.col("_start") < F.col("_goal")) | ((F.col("_start") == 0) & (F.col("_goal") <= 0)))
+        )
+        goals = asked.groupBy(*by, "_slice").agg(
+            F.first("_start").alias("_start"),
+            F.first("_total").alias("_total"),
+            F.collect_list(F.struct("_pos", "_goal")).alias("_goals"),
+        )
+        rows = (
+            _running(_same(keyed, goals, [*by, "_slice"]), by)
+            .select(*by, "_total", "_v", "_cum", F.explode("_goals").alias("_g"))
+            .select(*by, "_total", "_v", "_cum", "_g.*")
         )
+    # the last value stands in where rounding leaves its running total a hair
+    # below the end
+    hits = rows.groupBy(*by, "_total", "_pos").agg(
+        F.coalesce(F.min(F.when(F.col("_cum") >= F.col("_goal"), F.col("_v"))), F.max("_v")).alias("_v")
     )
     out = hits.groupBy(*by, F.col("_total").alias("total")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_v"))), lambda s: s["_v"]).alias("at")

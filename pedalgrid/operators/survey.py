@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.numbers import guard_range, half_even, ratio, safe_double, total, total_if, weighted_mean
 from ..functions.text import alnum_key
 from ..functions.time import trip_hour, valid_hour
+from ..session import settle
 from .ranks import _same, weighted_lower_median
 
 CITY = ["ciudad", "anio"]
@@ -297,7 +298,7 @@ def distance_summary(trips: DataFrame, dist: str = "dist_km") -> DataFrame:
     """
     base = prepare(trips).where(F.col(dist) >= 0)
     totals = base.groupBy(*CITY, "cod", "nm", F.col(dist).alias("_d")).agg(F.sum("f").alias("f"))
-    moded = with_modes(mark_bike(totals, walking_codes(prepare(trips)))).where(F.col("f") > 0)
+    moded = settle(with_modes(mark_bike(totals, walking_codes(prepare(trips)))).where(F.col("f") > 0))
     keys = [*CITY, "modo"]
     means = moded.groupBy(*keys).agg(
         half_even(weighted_mean(F.col("_d"), F.col("f")), 3).alias("dist_media_km"),
@@ -313,7 +314,7 @@ def travel_time_medians(trips: DataFrame, time: str = "tiempo_viaje") -> DataFra
     totals = (
         base.groupBy(*CITY, "cod", "nm", "_t").agg(F.sum("f").alias("f"), F.count(F.lit(1)).alias("n"))
     )
-    marked = mark_bike(totals, walking_codes(base))
+    marked = settle(mark_bike(totals, walking_codes(base)))
     cities = marked.groupBy(*CITY).agg(
         F.coalesce(F.sum(F.when(F.col("bici"), F.col("n"))), F.lit(0)).alias("n_bici")
     )

@@ -155,11 +155,11 @@ def _measured_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     _CLASSES
     + """s AS (SELECT list_sort(list(v)) AS l, count(*) AS n FROM u),
 b AS (SELECT list_transform([1, 2, 3, 4, 5, 6], lambda i: l[CAST(floor(i / 7.0 * (n - 1)) AS BIGINT) + 1]) AS br FROM s)
-SELECT zona, respaldo, round(v, 4) AS v, CASE WHEN respaldo = 'ok' THEN CAST(len(list_filter(br, lambda x: g.v > x)) AS INTEGER) END AS clase FROM g, b""",
+SELECT zona, respaldo, CASE WHEN respaldo = 'ok' THEN CAST(len(list_filter(br, lambda x: g.v > x)) AS INTEGER) END AS clase FROM g, b""",
 )
 def class_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = M.classify(_measured_parts(spark, sf_dir), "v", support="n")
-    return out.select("zona", "respaldo", r4(F.col("v")).alias("v"), "clase")
+    return out.select("zona", "respaldo", "clase")
 
 
 @query(

@@ -330,7 +330,7 @@ SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'Ciclovía' WHEN '2-HIGH' THEN
        ELSE upper(substr(o_orderpriority, 1, 1)) || substr(o_orderpriority, 2) END AS label,
        CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 3 END AS INTEGER) AS orden,
        upper(substr(lower(o_orderstatus), 1, 1)) AS estado,
-       count(*) AS n, replace(replace(replace(format('{:,.1f}', round(sum(o_totalprice), 1)), ',', '#'), '.', ','), '#', '.') AS total
+       count(*) AS n, replace(replace(replace(format('{:,.2f}', round(sum(o_totalprice), 2)), ',', '#'), '.', ','), '#', '.') AS total
 FROM orders GROUP BY 1, 2, 3
 """,
 )
@@ -342,7 +342,7 @@ def label_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
         X.label_of(code, names).alias("label"),
         X.ordinal_of(code, list(names), 3).alias("orden"),
         X.label_of(F.lower("o_orderstatus"), {}).alias("estado"),
-    ).agg(F.count(F.lit(1)).alias("n"), X.cl_number(F.sum("o_totalprice"), 1).alias("total"))
+    ).agg(F.count(F.lit(1)).alias("n"), X.cl_number(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query(
