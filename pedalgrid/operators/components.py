@@ -5,28 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import settle
-
-# A vertex with more links than this is a hub. At most links/HUB of them can
-# exist, so their table is small enough to broadcast whatever the graph.
-HUB = 2_000_000
-
-
-def _with_least(links: DataFrame, least: DataFrame, n_links: int) -> DataFrame:
-    """Attach each ``u``'s smallest label; hubs go by broadcast so that no
-    single task receives all links of one vertex."""
-    if 2 * n_links <= HUB:  # too few links for any hub
-        return links.join(least.drop("_n"), "u")
-    hubs = F.broadcast(least.where(F.col("_n") > HUB).drop("_n"))
-    others = least.where(F.col("_n") <= HUB).drop("_n")
-    return links.join(hubs, "u").unionByName(
-        links.join(hubs.select("u"), "u", "left_anti").join(others, "u")
-    )
-
+from .skew import attach
 
 def _large_star(links: DataFrame, n_links: int) -> DataFrame:
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_n"))
-    return _with_least(both.where(F.col("v") > F.col("u")), least, n_links).select(
+    return attach(both.where(F.col("v") > F.col("u")), least, ["u"], "_n", 2 * n_links).select(
         F.col("v").alias("u"), F.col("m").alias("v")
     )
 
@@ -36,7 +20,7 @@ def _small_star(links: DataFrame, n_links: int) -> DataFrame:
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     )
     least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
-    moved = _with_least(down, least, n_links).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = attach(down, least, ["u"], "_n", n_links).select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = least.select("u", F.col("m").alias("v"))
     return moved.union(own).where(F.col("u") != F.col("v")).distinct()
 

@@ -11,15 +11,16 @@ that share a spot), so neither dense cities nor far points blow up.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geo import piece_piece_d2
-from ..session import settle
+from ..session import settle, spread
 
 LEAF = 32
-DEEPEST = 12
+DEEPEST = 16
 # up to this level the cell table has at most 16**4 rows, whatever the network
 BROADCAST_LEVEL = 4
 
@@ -81,6 +82,7 @@ def nearest_distance(
         F.min(mid["x"]).alias("x0"),
         F.min(mid["y"]).alias("y0"),
         F.greatest(F.max(mid["x"]) - F.min(mid["x"]), F.max(mid["y"]) - F.min(mid["y"])).alias("side"),
+        F.count(F.lit(1)).alias("n"),
     ).first()
     if box.x0 is None:
         return queries.select(qid, F.lit(None).cast("double").alias(name)).where(F.lit(False))
@@ -96,7 +98,9 @@ def nearest_distance(
         """Deepest cell number to its number at ``level``."""
         return F.floor(c / F.pow(F.lit(4.0), F.lit(DEEPEST) - level)).cast("bigint")
 
-    levels = F.sequence(F.lit(0), F.lit(DEEPEST))
+    # no level above this one can hold so many pieces in cells of LEAF
+    first = min(DEEPEST, max(0, math.ceil(math.log(max(box.n, 1) / LEAF, 16)))) if not by else 0
+    levels = F.sequence(F.lit(first), F.lit(DEEPEST))
     crowd = (
         pieces.groupBy(*by, "_ix", "_iy")
         .count()
@@ -136,9 +140,10 @@ def nearest_distance(
     )
 
     cap = float("inf") if within is None else float(within) ** 2
+    # partitioned by query once; every round's pruning then stays in place
+    # until a level is too large to broadcast
     front = (
-        queries.select(qid, *by, *PIECE)
-        .na.drop(subset=PIECE)
+        spread(queries.select(qid, *by, *PIECE).na.drop(subset=PIECE), qid)
         .withColumn("_px", F.lit(0).cast("bigint"))
         .withColumn("_py", F.lit(0).cast("bigint"))
     )

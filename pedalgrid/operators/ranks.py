@@ -17,8 +17,11 @@ from ..functions.numbers import finite
 from ..session import settle
 
 SLICES = 128
+MOST_SLICES = 4096
+# distinct values one task may be asked to sort
+PER_SLICE = 2_000_000
 # with fewer distinct values than this in all, one slice per group is enough
-SHORT = 100_000
+SHORT = 1_000_000
 _ALL = "_all"
 
 
@@ -49,12 +52,15 @@ def _values(df: DataFrame, by: list[str], value: str, weight: str | None):
     return by, settle(kept.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(w.alias("_w")))
 
 
-def _sliced(values: DataFrame, by: list[str], slices: int):
+def _sliced(values: DataFrame, by: list[str], slices: int, n: int):
     """Values with their slice number, and the running bounds of each slice.
 
+    There are more slices the more values there are, were they all one group's.
+
     The cuts are written out: a sketch merged in another order cuts elsewhere,
     and both results must speak of the same slices.
     """
+    slices = min(MOST_SLICES, max(slices, n // PER_SLICE))
     step = max(2, round(slices**0.5))
     raw = values.groupBy(*by).agg(
         F.array_distinct(
@@ -119,10 +125,11 @@ def running_totals(
 ) -> DataFrame:
     """Per distinct value: ``value, weight, cumulative, total``."""
     by, values = _values(df, list(by), value, weight)
-    if values.count() <= short:
+    n = values.count()
+    if n <= short:
         rows = _one_slice(values, by)
     else:
-        keyed, ends = _sliced(values, by, slices)
+        keyed, ends = _sliced(values, by, slices, n)
         rows = _running(_same(keyed, ends, [*by, "_slice"]), by)
     return rows.select(
         *[c for c in by if c != _ALL],
@@ -149,12 +156,13 @@ def values_at(
     target falls into are sorted.
     """
     by, values = _values(df, list(by), value, weight)
-    if values.count() <= short:
+    n = values.count()
+    if n <= short:
         rows = _one_slice(values, by).select(
             *by, "_total", "_v", "_cum", F.posexplode(targets(F.col("_total"))).alias("_pos", "_goal")
         )
     else:
-        keyed, ends = _sliced(values, by, slices)
+        keyed, ends = _sliced(values, by, slices, n)
         asked = ends.select(
             *by, "_slice", "_start", "_end", "_total", F.posexplode(targets(F.col("_total"))).alias("_pos", "_goal")
         ).where(
@@ -253,7 +261,8 @@ def group_quantile_bins(
     distinct = (
         df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.countDistinct(value).alias("_distinct"))
     )
-    per_group = _same(edges.drop("n"), distinct, list(by))
+    # settled, so that its measured size decides the join and rows stay put
+    per_group = settle(_same(edges.drop("n"), distinct, list(by)))
     return (
         _same(df, per_group, list(by), "left")
         .withColumn(

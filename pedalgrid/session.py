@@ -45,13 +45,24 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
-def settle(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Over all shuffle partitions, whatever the size in bytes: a few megabytes
+    of geometry can stand for minutes of distance tests."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
+def settle(df: DataFrame, wide: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage, survives executor loss, and gives the optimizer real file
     sizes, so later joins broadcast only what was measured to be small.
+    ``wide`` spreads the rows first, for tables that heavy work starts from.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    if wide:
+        df = spread(df)
+    run = spark.sparkContext.applicationId
+    path = f"{shared_folder(spark).rstrip('/')}/pedalgrid/{run}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pedalgrid.functions import geo as G
-from pedalgrid.operators import components as C, grids, nearest as N, polygons as P, proximity as X
+from pedalgrid.operators import components as C, grids, nearest as N, polygons as P, proximity as X, skew
 
 PIECE = ["x1", "y1", "x2", "y2"]
 
@@ -103,7 +103,10 @@ def test_components_with_crowded_cells(spark):
 
 def test_threshold_pairs(spark):
     net = network(8, 120).tolist()
-    got = {(r.src, r.dst): r.dist for r in X.threshold_pairs(pieces(spark, enumerate(net)), "id", 15).collect()}
+    segs = pieces(spark, enumerate(net))
+    got = {(r.src, r.dst): r.dist for r in X.threshold_pairs(segs, "id", 15).collect()}
+    split = {(r.src, r.dst): r.dist for r in X.threshold_pairs(segs, "id", 15, crowded=3).collect()}
+    assert split == pytest.approx(got)
     want = {(i, j): seg_to(net[i], net[j]) for i in range(120) for j in range(i + 1, 120)}
     want = {k: d for k, d in want.items() if d <= 15}
     assert set(got) == set(want) and all(abs(got[k] - d) < 1e-7 for k, d in want.items())
@@ -119,7 +122,8 @@ def test_long_chain(spark):
 
 
 def test_hub_links_are_kept(spark, monkeypatch):
-    monkeypatch.setattr(C, "HUB", 5)
+    monkeypatch.setattr(skew, "HEAVY", 5)
+    monkeypatch.setattr(skew, "MOST_HEAVY", 1000)
     e = spark.createDataFrame([(1000, i) for i in range(40)] + [(50, 51)], "a bigint, b bigint")
     v = e.select(F.col("a").alias("id")).union(e.select("b")).distinct()
     got = {r.id: r.component for r in C.connected_components(v, e, "id", "a", "b").collect()}
