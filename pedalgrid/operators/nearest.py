@@ -1,12 +1,13 @@
 """Nearest-network distance as a descent through grid levels.
 
-The network's straight pieces are put, by midpoint, into nested grid cells
-(sixteen children each); every cell knows the box of what it holds. A query
-starts at the root and in each round is joined, by cell key, to the children of
-the cells it still has to look at; a cell farther than the best guaranteed
-distance so far is dropped. Each round is an equi-join against at most sixteen
-rows per key, and the deepest cells hold at most ``LEAF`` pieces (or pieces
-that share a spot), so neither dense cities nor far points blow up.
+The network's straight pieces are put, by midpoint, into grid cells; a cell that
+holds too many is split in sixteen, its pieces cut to the size of the new cells,
+so dense cities get small cells and open country large ones. Every cell knows
+the box of what it holds. A query starts at the top and in each round is joined,
+by cell, to the children of the cells it still has to look at; a cell farther
+than the best guaranteed distance so far is dropped. Each round is an equi-join
+with a few dozen rows per cell at most, and leaves hold at most ``LEAF`` pieces,
+so neither dense cities nor far points blow up.
 """
 
 from __future__ import annotations
@@ -19,12 +20,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.geo import piece_piece_d2
 from ..session import settle, spread
 
-LEAF = 32
+LEAF = 128
 DEEPEST = 16
-# up to this level the cell table has at most 16**4 rows, whatever the network
+# lines lying over each other cannot be told apart by cutting: stop when cells
+# are this many times shorter than the lines in them
+FINEST = 16
+# up to this level a table of whole levels has at most 16**4 rows
 BROADCAST_LEVEL = 4
 
 PIECE = ["x1", "y1", "x2", "y2"]
+BOX = ["_lox", "_hix", "_loy", "_hiy"]
 
 
 def point_pieces(df: DataFrame, x: str, y: str, keep: Sequence[str]) -> DataFrame:
@@ -61,6 +66,120 @@ def _reach2(px, py, lox, hix, loy, hiy) -> Column:
     return F.least(near_x * near_x + far_y * far_y, near_y * near_y + far_x * far_x)
 
 
+def _cut(df: DataFrame, longest: float) -> DataFrame:
+    """Pieces cut into equal parts no longer than ``longest``."""
+    length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    parts = F.greatest(F.lit(1), F.ceil(length / F.lit(float(longest))).cast("int"))
+    walked = df.withColumn("_k", parts).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+
+    def at(a: str, b: str, i: Column) -> Column:
+        inner = F.col(a) + (F.col(b) - F.col(a)) * i / F.col("_k")
+        return F.when(i == F.col("_k"), F.col(b)).otherwise(inner)
+
+    here, there = F.col("_i"), F.col("_i") + 1
+    return walked.select(
+        *[c for c in df.columns if c not in PIECE],
+        at("x1", "x2", here).alias("x1"),
+        at("y1", "y2", here).alias("y1"),
+        at("x1", "x2", there).alias("x2"),
+        at("y1", "y2", there).alias("y2"),
+    )
+
+
+def _box() -> list[Column]:
+    return [
+        F.min(F.least("x1", "x2")).alias("_lox"),
+        F.max(F.greatest("x1", "x2")).alias("_hix"),
+        F.min(F.least("y1", "y2")).alias("_loy"),
+        F.max(F.greatest("y1", "y2")).alias("_hiy"),
+    ]
+
+
+def _build(network: DataFrame, by: list[str]):
+    """Cell tables from the top down, and the pieces of all leaf cells.
+
+    A cell is named by a hash of its parent's name and its own place. Two cells
+    sharing a name would only be looked at together, never lost.
+    """
+    middle = {a: (F.col(f"{a}1") + F.col(f"{a}2")) / 2 for a in "xy"}
+    length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    clean = settle(network.select(*by, *PIECE).na.drop(subset=PIECE).distinct())
+    box = clean.agg(
+        F.min(middle["x"]).alias("x"),
+        F.min(middle["y"]).alias("y"),
+        F.greatest(F.max(middle["x"]) - F.min(middle["x"]), F.max(middle["y"]) - F.min(middle["y"])).alias("side"),
+        F.avg(length).alias("length"),
+        F.count(F.lit(1)).alias("n"),
+    ).first()
+    if not box.n:
+        return None
+    side = (box.side or 1.0) * (1 + 1e-9)
+    # no level above this one can hold so many pieces in cells of LEAF
+    top = min(DEEPEST, max(0, math.ceil(math.log(box.n / LEAF, 16)))) if not by else 0
+
+    def place(axis: str, level: int) -> Column:
+        return F.floor((middle[axis] - F.lit(box[axis])) / F.lit(side / 4**level)).cast("bigint")
+
+    def child(parent: Column, x: Column, y: Column) -> Column:
+        return F.xxhash64(parent, x, y)
+
+    def lifted(axis: str, up: int) -> Column:
+        return F.floor(F.col(f"_i{axis}") / F.lit(4**up)).cast("bigint")
+
+    root = F.xxhash64(F.lit(0), *by)
+    level, tables, leaves, going = top, [], [], None
+    pieces = _cut(clean.withColumn("_len", length), max(side / 4**top, box.length or 0.0, 1e-12))
+    pieces = pieces.withColumn("_ix", place("x", top)).withColumn("_iy", place("y", top))
+    name, parent = root, root
+    for up in range(top, -1, -1):
+        parent, name = name, child(name, lifted("x", up), lifted("y", up))
+    pieces = pieces.withColumn("_parent", parent).withColumn("_cell", name)
+    while True:
+        current = settle(pieces, wide=True)
+        cells = settle(
+            current.groupBy(*by, "_parent", "_cell")
+            .agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_mean"), *_box(), F.min("_ix").alias("_ix"), F.min("_iy").alias("_iy"))
+            .withColumn(
+                "_leaf",
+                (F.col("_n") <= LEAF) | F.lit(level >= DEEPEST) | (F.col("_mean") > FINEST * side / 4**level),
+            )
+        )
+        if level == top:
+            # the levels above, from the boxes of this one
+            for at in range(top):
+                name, parent = root, root
+                for up in range(top, top - at - 1, -1):
+                    parent, name = name, child(name, lifted("x", up), lifted("y", up))
+                boxes = [F.min("_lox"), F.max("_hix"), F.min("_loy"), F.max("_hiy")]
+                whole = cells.groupBy(*by, parent.alias("_parent"), name.alias("_cell")).agg(
+                    *[b.alias(c) for b, c in zip(boxes, BOX)], F.lit(False).alias("_leaf")
+                )
+                tables.append(F.broadcast(whole) if at <= BROADCAST_LEVEL and not by else whole)
+        # a leaf goes on as its own only child, so that all rounds look alike
+        here = cells.select(*by, "_parent", "_cell", "_leaf", *BOX)
+        tables.append(here if going is None else here.unionByName(going))
+        going = tables[-1].where("_leaf").withColumn("_parent", F.col("_cell"))
+        key = [*by, "_parent", "_cell"]
+        crowded = cells.where(~F.col("_leaf")).select(*key)
+        if crowded.isEmpty():
+            leaves.append(current)
+            break
+        leaves.append(current.join(cells.where("_leaf").select(*key), key, "left_semi"))
+        level += 1
+        pieces = _cut(current.join(crowded, key, "left_semi").drop("_parent", "_ix", "_iy"), side / 4**level)
+        pieces = (
+            pieces.withColumn("_ix", place("x", level))
+            .withColumn("_iy", place("y", level))
+            .withColumnRenamed("_cell", "_parent")
+            .withColumn("_cell", child(F.col("_parent"), F.col("_ix"), F.col("_iy")))
+        )
+    out = None
+    for part in leaves:
+        part = part.select(*by, "_cell", *[F.col(c).alias(f"n{c}") for c in PIECE])
+        out = part if out is None else out.union(part)
+    return root, tables, out
+
+
 def nearest_distance(
     queries: DataFrame,
     network: DataFrame,
@@ -76,119 +195,42 @@ def nearest_distance(
     with nothing in reach (empty network or key, or beyond ``within``) get no row.
     """
     by = list(by)
-    mid = {"x": (F.col("x1") + F.col("x2")) / 2, "y": (F.col("y1") + F.col("y2")) / 2}
-    clean = network.select(*by, *PIECE).na.drop(subset=PIECE).distinct()
-    box = clean.agg(
-        F.min(mid["x"]).alias("x0"),
-        F.min(mid["y"]).alias("y0"),
-        F.greatest(F.max(mid["x"]) - F.min(mid["x"]), F.max(mid["y"]) - F.min(mid["y"])).alias("side"),
-        F.count(F.lit(1)).alias("n"),
-    ).first()
-    if box.x0 is None:
+    built = _build(network, by)
+    if built is None:
         return queries.select(qid, F.lit(None).cast("double").alias(name)).where(F.lit(False))
-
-    step = (box.side or 1.0) * (1 + 1e-9) / 4**DEEPEST
-
-    def deep(axis: str, origin: float) -> Column:
-        return F.floor((mid[axis] - origin) / step).cast("bigint")
-
-    pieces = settle(clean.withColumn("_ix", deep("x", box.x0)).withColumn("_iy", deep("y", box.y0)))
-
-    def lift(c: Column, level) -> Column:
-        """Deepest cell number to its number at ``level``."""
-        return F.floor(c / F.pow(F.lit(4.0), F.lit(DEEPEST) - level)).cast("bigint")
-
-    # no level above this one can hold so many pieces in cells of LEAF
-    first = min(DEEPEST, max(0, math.ceil(math.log(max(box.n, 1) / LEAF, 16)))) if not by else 0
-    levels = F.sequence(F.lit(first), F.lit(DEEPEST))
-    crowd = (
-        pieces.groupBy(*by, "_ix", "_iy")
-        .count()
-        .withColumn("_level", F.explode(levels))
-        .groupBy("_level", *by, lift(F.col("_ix"), F.col("_level")), lift(F.col("_iy"), F.col("_level")))
-        .agg(F.sum("count").alias("n"))
-        .groupBy("_level")
-        .agg(F.max("n").alias("n"))
-    )
-    depth = min(
-        (r._level for r in crowd.collect() if r.n <= LEAF or r._level == DEEPEST), default=DEEPEST
-    )
-
-    cells = (
-        pieces.groupBy(*by, lift(F.col("_ix"), F.lit(depth)).alias("_ix"), lift(F.col("_iy"), F.lit(depth)).alias("_iy"))
-        .agg(
-            F.min(F.least("x1", "x2")).alias("_lox"),
-            F.max(F.greatest("x1", "x2")).alias("_hix"),
-            F.min(F.least("y1", "y2")).alias("_loy"),
-            F.max(F.greatest("y1", "y2")).alias("_hiy"),
-        )
-        .withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
-    )
-    shrink = F.pow(F.lit(4.0), F.lit(depth) - F.col("_level"))
-    tree = settle(
-        cells.groupBy(
-            "_level",
-            *by,
-            F.floor(F.col("_ix") / shrink).cast("bigint").alias("_cx"),
-            F.floor(F.col("_iy") / shrink).cast("bigint").alias("_cy"),
-        ).agg(
-            F.min("_lox").alias("_lox"),
-            F.max("_hix").alias("_hix"),
-            F.min("_loy").alias("_loy"),
-            F.max("_hiy").alias("_hiy"),
-        )
-    )
-
+    root, tables, leaves = built
     cap = float("inf") if within is None else float(within) ** 2
-    # partitioned by query once; every round's pruning then stays in place
-    # until a level is too large to broadcast
-    front = (
-        spread(queries.select(qid, *by, *PIECE).na.drop(subset=PIECE), qid)
-        .withColumn("_px", F.lit(0).cast("bigint"))
-        .withColumn("_py", F.lit(0).cast("bigint"))
-    )
+    # partitioned by query once; pruning then stays in place until a level is
+    # too large to broadcast
+    asked = queries.select(qid, *by, *PIECE).na.drop(subset=PIECE)
+    front = spread(asked, qid).withColumn("_parent", root).withColumn("_best", F.lit(cap))
     per_query = Window.partitionBy(qid)
-    for level in range(depth + 1):
-        up = 1 if level == 0 else 4
-        nodes = (
-            tree.where(F.col("_level") == level)
-            .drop("_level")
-            .withColumn("_px", F.floor(F.col("_cx") / up).cast("bigint"))
-            .withColumn("_py", F.floor(F.col("_cy") / up).cast("bigint"))
-        )
-        if level <= BROADCAST_LEVEL and not by:
-            nodes = F.broadcast(nodes)
-        lox, hix, loy, hiy = (F.col(c) for c in ("_lox", "_hix", "_loy", "_hiy"))
-        seen = front.join(nodes, [*by, "_px", "_py"]).select(
+    lox, hix, loy, hiy = (F.col(c) for c in BOX)
+    for round_, nodes in enumerate(tables):
+        seen = front.join(nodes, [*by, "_parent"]).select(
             qid,
             *by,
             *PIECE,
-            F.col("_cx").alias("_px"),
-            F.col("_cy").alias("_py"),
+            "_cell",
+            "_best",
             (
                 _gap2(F.least("x1", "x2"), F.greatest("x1", "x2"), lox, hix)
                 + _gap2(F.least("y1", "y2"), F.greatest("y1", "y2"), loy, hiy)
             ).alias("_least"),
             _reach2(F.col("x1"), F.col("y1"), lox, hix, loy, hiy).alias("_reach"),
         )
-        best = F.least(F.min("_reach").over(per_query), F.lit(cap))
+        best = F.min(F.least("_best", "_reach")).over(per_query)
         front = (
             seen.withColumn("_best", best)
             .where(F.col("_least") <= F.col("_best") * (1 + 1e-9))
-            .drop("_least", "_reach", "_best")
+            .select(qid, *by, *PIECE, "_best", F.col("_cell").alias("_parent"))
         )
-        if level % 4 == 3 and level < depth:
+        if round_ % 4 == 3 and round_ < len(tables) - 1:
             front = settle(front)
 
-    leaves = pieces.select(
-        *by,
-        lift(F.col("_ix"), F.lit(depth)).alias("_px"),
-        lift(F.col("_iy"), F.lit(depth)).alias("_py"),
-        *[F.col(c).alias(f"n{c}") for c in PIECE],
-    )
     d2 = piece_piece_d2([F.col(c) for c in PIECE], [F.col(f"n{c}") for c in PIECE])
     out = (
-        front.join(leaves, [*by, "_px", "_py"])
+        front.join(leaves.withColumnRenamed("_cell", "_parent"), [*by, "_parent"])
         .groupBy(qid)
         .agg(F.sqrt(F.min(d2)).alias(name))
     )
