@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.geo import in_country, round_swapped
 from ..functions.numbers import (
@@ -25,6 +25,51 @@ from .ranks import class_breaks, class_of, diverging_breaks
 # Stage order of the serving tables; an unknown stage gets the last code.
 STAGES = ["existentes", "diseño", "planificadas", "ejecución"]
 UNKNOWN_STAGE = 3
+# Display labels of infrastructure types and sitings.
+TYPE_LABELS = {
+    "ciclovía": "Ciclovía",
+    "smp": "Senda multipropósito (MOP)",
+    "s_i": "Sin información",
+    "zona30": "Zona 30",
+    "cicloparque": "Cicloparque",
+    "ciclovía temporal/piloto": "Ciclovía temporal o piloto",
+    "via verde": "Vía verde",
+    "zona30/contraflujo": "Zona 30 con contraflujo",
+    "ciclovía (rediseño cruce)": "Ciclovía con rediseño de cruce",
+}
+SITING_LABELS = {"s_i": "Sin información"}
+# Communes each survey city covers.
+CITY_COMMUNES = {
+    "Arica": ["Arica"],
+    "Iquique - Alto Hospicio": ["Iquique", "Alto Hospicio"],
+    "Antofagasta": ["Antofagasta"],
+    "Copiapó": ["Copiapó"],
+    "Coquimbo - La Serena": ["La Serena", "Coquimbo"],
+    "Gran Valparaíso": ["Valparaíso", "Viña del Mar", "Concón", "Quilpué", "Villa Alemana"],
+    "San Antonio": ["San Antonio"],
+    "Rancagua - Machalí": ["Rancagua", "Machalí"],
+    "Talca": ["Talca"],
+    "Curicó": ["Curicó"],
+    "Linares": ["Linares"],
+    "Chillán": ["Chillán", "Chillán Viejo"],
+    "Gran Concepción": [
+        "Concepción",
+        "Talcahuano",
+        "Hualpén",
+        "San Pedro de la Paz",
+        "Chiguayante",
+        "Penco",
+        "Tomé",
+        "Coronel",
+        "Lota",
+        "Hualqui",
+    ],
+    "Temuco - Padre las Casas": ["Temuco", "Padre las Casas"],
+    "Valdivia": ["Valdivia"],
+    "Osorno": ["Osorno"],
+    "Puerto Montt": ["Puerto Montt"],
+    "Punta Arenas": ["Punta Arenas"],
+}
 # Years of execution that are shown, by table and by chart.
 YEARS = (1990, 2030)
 CHART_YEARS = (2005, 2030)
@@ -205,6 +250,21 @@ def resolve_cities(cities: DataFrame, communes: DataFrame, city: str = "ciudad",
     return found, missing
 
 
+def listed_cities(spark: SparkSession, extra: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """``(ciudad, comunas)`` of the fixed list, plus cities read elsewhere."""
+    cities = {**CITY_COMMUNES, **(extra or {})}
+    return spark.createDataFrame(
+        [(c, list(names)) for c, names in cities.items()], "ciudad string, comunas array<string>"
+    )
+
+
+def city_census(found: DataFrame, city: str = "ciudad", bike: str = "bici", moves: str = "viajes_modo") -> DataFrame:
+    """Census bike share over the communes each city covers."""
+    return found.groupBy(city).agg(
+        ratio(F.sum(bike), F.sum(moves)).alias("censo_bici_pct"), F.count(F.lit(1)).alias("censo_comunas")
+    )
+
+
 def same_name(a: Column, b: Column) -> Column:
     """Equal without accents or case, or one contained in the other."""
     x, y = search_key(a), search_key(b)

@@ -131,6 +131,10 @@ def test_city_lists(spark):
     found, missing = M.resolve_cities(cities, communes)
     assert sorted(r.cut_com for r in found.collect()) == ["08101", "08111"]
     assert [r.comuna for r in missing.collect()] == ["Nada"]
+    assert M.listed_cities(spark, {"Gran Santiago": ["Santiago"]}).count() == 19
+    census = found.withColumns({"bici": F.lit(2.0), "viajes_modo": F.lit(50.0)})
+    row = M.city_census(census).first()
+    assert (row.censo_bici_pct, row.censo_comunas) == (4.0, 2)
     pts = spark.createDataFrame([("08111",), ("13101",)], "cut_com string")
     assert {r.cut_com: r.ciudad for r in M.city_of_commune(pts, found).collect()} == {"08111": "Gran Concepción", "13101": None}
 
