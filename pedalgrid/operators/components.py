@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..session import settle
 from .skew import attach
@@ -34,22 +34,21 @@ def connected_components(
     number of them; each round is written out, which keeps plans short and
     lets a lost executor be recovered from files.
     """
-    current = settle(
+    def written(df: DataFrame):
+        """The links on disk, with their number and a sum of hashes: equal link
+        sets give equal marks, in whatever order they were written."""
+        seen = Observation()
+        mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
+        out = settle(df.observe(seen, F.count(F.lit(1)).alias("n"), mark))
+        return out, (seen.get["n"], seen.get["h"])
+
+    current, before = written(
         links.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
         .where(F.col("u") != F.col("v"))
         .distinct()
     )
-
-    def mark(df: DataFrame):
-        # sum of hashes: order-free, so equal link sets give equal marks
-        return df.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
-
-    before = mark(current)
     while before[0]:
-        current = settle(_small_star(_large_star(current, before[0]), before[0]))
-        now = mark(current)
+        current, now = written(_small_star(_large_star(current, before[0]), before[0]))
         if now == before:
             break
         before = now

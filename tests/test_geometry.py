@@ -220,14 +220,14 @@ def test_overlay_of_concave_shapes(spark):
     b = {7: [([(10.0, 10.0), (90.0, 10.0), (90.0, 90.0), (10.0, 90.0)], [hole])], 8: [(blob(rng, 60, 40, 50, 13), [])]}
     left, right = polygon_table(spark, a, "l"), polygon_table(spark, b, "r").withColumnRenamed("geom", "rgeom")
     got = {(x.l, x.r): x.area for x in P.overlay_area(left, right, "l", "r", "geom", "rgeom").collect()}
-    step = 0.5
+    step = 1.0
     grid = [(x, y) for x in np.arange(-20.03, 130, step) for y in np.arange(-20.07, 130, step)]
     ins = {("l", k): np.array([inside(x, y, v) for x, y in grid]) for k, v in a.items()}
     ins |= {("r", k): np.array([inside(x, y, v) for x, y in grid]) for k, v in b.items()}
     for i in a:
         for j in b:
             want = (ins[("l", i)] & ins[("r", j)]).sum() * step * step
-            assert got.get((i, j), 0.0) == pytest.approx(want, abs=max(8.0, want * 0.02))
+            assert got.get((i, j), 0.0) == pytest.approx(want, abs=max(25.0, want * 0.03))
     # a shape with itself is its own area
     own = P.overlay_area(left, left.select(F.col("l").alias("r"), F.col("geom").alias("rgeom")), "l", "r", "geom", "rgeom").where("l = r")
     areas = {r.l: r.a for r in left.select("l", G.polygon_area(F.col("geom")).alias("a")).collect()}
