@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.numbers import guard_range, half_even, ratio, safe_double, total, total_if, weighted_mean
+from ..functions.numbers import guard_range, half_even, ratio, safe_double, total_if, weighted_mean
 from ..functions.text import alnum_key
 from ..functions.time import trip_hour, valid_hour
 from ..session import settle
