@@ -132,7 +132,7 @@ def nse_gradient_within(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "equity_gap",
     _WITHIN
-    + """, p AS (SELECT cut_com, q5, 100.0 * coalesce(sum(n_per) FILTER (dist <= 500), 0) / sum(n_per) AS r FROM g WHERE q5 IS NOT NULL GROUP BY 1, 2)
+    + """, p AS (SELECT cut_com, q5, 100.0 * coalesce(sum(n_per) FILTER (dist <= 500), 0) / sum(n_per) AS r FROM g GROUP BY 1, 2)
 SELECT cut_com, round(max(r) FILTER (q5 = 4) - max(r) FILTER (q5 = 0), 4) + 0.0 AS brecha_nse FROM p GROUP BY 1""",
 )
 def equity_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
