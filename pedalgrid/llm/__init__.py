@@ -1,6 +1,6 @@
 """Operators for training-data pipelines; nothing else in the library needs them."""
 
-from . import decontaminate, pseudonyms, quality_rules, simhash, url_filter  # noqa: F401
+from . import decontaminate, packing, pseudonyms, quality_rules, repair, simhash, url_filter  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
