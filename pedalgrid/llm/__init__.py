@@ -1,6 +1,17 @@
 """Operators for training-data pipelines; nothing else in the library needs them."""
 
-from . import decontaminate, packing, pseudonyms, quality_rules, repair, simhash, url_filter  # noqa: F401
+from . import (  # noqa: F401
+    decontaminate,
+    license_scan,
+    packing,
+    pseudonyms,
+    quality_model,
+    quality_rules,
+    repair,
+    sharding,
+    simhash,
+    url_filter,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
