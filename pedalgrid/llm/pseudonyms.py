@@ -228,9 +228,8 @@ def pseudonym(m: Column, key: str, restore: bool) -> Column:
     )
 
 
-def rewrite(docs: DataFrame, key: str = KEY, restore: bool = False) -> DataFrame:
-    """``docs`` with its text rewritten and ``n_pii``, the values replaced."""
-    text = F.col("text")
+def rewritten(text: Column, key: str = KEY, restore: bool = False) -> Column:
+    """Struct of the rewritten ``text`` and ``n_pii``, how many values were replaced."""
 
     def rebuilt(new: Column) -> Column:
         gaps = F.split(text, ANY, -1)
@@ -246,18 +245,27 @@ def rewrite(docs: DataFrame, key: str = KEY, restore: bool = False) -> DataFrame
 
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     # most texts hold neither digit nor @ and are passed on after one quick look
-    done = F.when(text.rlike("[0-9@]"), let(F.transform(found, replaced), rebuilt)).otherwise(
+    return F.when(text.rlike("[0-9@]"), let(F.transform(found, replaced), rebuilt)).otherwise(
         F.struct(text.alias("text"), F.lit(0).cast("long").alias("n_pii"))
     )
-    return docs.withColumn("_new", done).withColumns({"text": F.col("_new.text"), "n_pii": F.col("_new.n_pii")}).drop("_new")
+
+
+def rewrite(docs: DataFrame, key: str = KEY, restore: bool = False) -> DataFrame:
+    """``docs`` with its text rewritten; where it changed, ``n_chars`` follows."""
+    made = next(n for n in ("made" + "_" * i for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    new = {"text": F.col(made)["text"]}
+    if "n_chars" in docs.columns:
+        now = F.length(F.col(made)["text"]).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col(made)["n_pii"] > 0, now).otherwise(F.col("n_chars"))
+    return docs.withColumn(made, rewritten(F.col("text"), key, restore)).withColumns(new).drop(made)
 
 
 @query("op6_pseudonyms")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rewrite(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", rewritten(F.col("text")).alias("r")).select("doc_id", "r.*")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with pseudonyms; ``n_chars`` follows the new text."""
-    done = rewrite(docs).drop("n_pii")
-    return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in done.columns else done
+    """The documents with pseudonyms in place of personal data."""
+    return rewrite(docs)

@@ -13,7 +13,7 @@ verdict keeps a document, unless the base rules reject it.
 
 Defined cases: NULL text is the empty text (no words, base rules reject it);
 repeated rows are judged each on its own; an empty table gives no rows; other
-columns of the input are neither read nor returned by ``judge``.
+columns of the input are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -185,8 +185,8 @@ def fit(docs: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     return shares
 
 
-def judge(docs: DataFrame, references: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
-    """``docs`` with a struct ``_rules`` of counts, distances and verdicts."""
+def judged(references: dict[str, tuple[list[float], list[float]]]) -> Column:
+    """Struct of counts, distances and verdicts, from ``text`` and ``lang``."""
     body, lang = F.coalesce("text", F.lit("")), F.col("lang")
 
     def by_language(counts: Column, which: int) -> Column:
@@ -227,15 +227,15 @@ def judge(docs: DataFrame, references: dict[str, tuple[list[float], list[float]]
             ),
         )
 
-    return docs.withColumn("_rules", let(words_of(body), verdict))
+    return let(words_of(body), verdict)
 
 
 @query("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return judge(docs, fit(docs)).select("doc_id", "_rules.*")
+    return docs.select("doc_id", judged(fit(docs)).alias("r")).select("doc_id", "r.*")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep, unchanged."""
-    return judge(docs, fit(docs)).where("_rules.kept").drop("_rules")
+    return docs.where(judged(fit(docs))["kept"])
