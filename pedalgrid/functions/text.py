@@ -39,7 +39,7 @@ def clean_text(c: Column) -> Column:
 
 def alnum_key(c: Column) -> Column:
     """Accent-free upper-case letters and digits only."""
-    return F.regexp_replace(F.upper(fold_ascii(c)), "[^A-Z0-9]", "")
+    return F.upper(F.regexp_replace(F.translate(c, _ACCENTED, _PLAIN), "[^A-Za-z0-9]+", ""))
 
 
 def name_key(c: Column, aliases: dict[str, str] | None = None) -> Column:

@@ -15,7 +15,8 @@ def coverage_cells(pieces: DataFrame, side: float, radius: float) -> DataFrame:
     """``(cx, cy, dist)``: grid cells whose centre is within ``radius`` of the
     network, each piece offering only the cells around itself."""
     cx, cy = (F.col("_cx") + 0.5) * float(side), (F.col("_cy") + 0.5) * float(side)
-    rows = raster(pieces.select(*PIECE).distinct(), side, radius, [])
+    # the smallest distance does not mind a cell listed twice
+    rows = raster(pieces.select(*PIECE).distinct(), side, radius, [], once=False)
     return (
         rows.groupBy(F.col("_cx").alias("cx"), F.col("_cy").alias("cy"))
         .agg(F.sqrt(F.min(point_piece_d2(cx, cy, *[F.col(c) for c in PIECE]))).alias("dist"))

@@ -38,19 +38,22 @@ FIELD_SOURCES = {
 }
 # Fixed value: stage that counts as built.
 EXISTING_STAGE = "existentes"
+# Fixed value: the column that is a number in every snapshot, however it came.
+MEASURES = ("km",)
 # Fixed value: farther than this from its own commune, a segment is no border case (m).
 CONFLICT_M = 500
 
 
 def homogenise(df: DataFrame, fields: Mapping[str, Sequence[str]], keep: Sequence[str] = ()) -> DataFrame:
-    """Every target column from its first existing source, else NULL."""
+    """Every target column from its first existing source, else NULL without a type,
+    so that snapshots which have the column decide its type."""
     present = set(df.columns)
 
     def pick(target: str, names: Sequence[str]) -> Column:
         for name in names:
             if name in present:
                 return F.col(f"`{name}`").alias(target)
-        return F.lit(None).cast("string").alias(target)
+        return F.lit(None).alias(target)
 
     return df.select(*[pick(t, names) for t, names in fields.items()], *keep)
 
@@ -63,21 +66,29 @@ def clean_strings(df: DataFrame, but: Sequence[str] = ()) -> DataFrame:
 def snapshot(
     df: DataFrame, label: str, fields: Mapping[str, Sequence[str]] = FIELD_SOURCES, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """One snapshot on the common schema, its text cleaned, its label added."""
-    return clean_strings(homogenise(df, fields, keep)).withColumn("corte", F.lit(label))
+    """One snapshot on the common schema, its text cleaned, its measures numbers, its
+    label added."""
+    out = clean_strings(homogenise(df, fields, keep))
+    numbers = {c: safe_double(F.col(c)) for c in MEASURES if c in out.columns}
+    return out.withColumns({**numbers, "corte": F.lit(label)})
 
 
 def union_snapshots(parts: Sequence[DataFrame]) -> DataFrame:
-    """Stack snapshots; a column typed differently in two of them becomes text."""
+    """Stack snapshots; a column typed differently in two of them becomes text, one
+    that no snapshot has too."""
     kinds: dict[str, set[str]] = {}
     for part in parts:
         for f in part.schema:
             kinds.setdefault(f.name, set()).add(f.dataType.simpleString())
-    mixed = {name for name, seen in kinds.items() if len(seen) > 1}
+    typed_as = {}
+    for name, seen in kinds.items():
+        known = seen - {"void"}
+        if len(seen) > 1 or not known:
+            typed_as[name] = known.pop() if len(known) == 1 else "string"
     out = None
     for part in parts:
         typed = part.select(
-            *[F.col(c).cast("string").alias(c) if c in mixed else F.col(c) for c in part.columns]
+            *[F.col(c).cast(typed_as[c]).alias(c) if c in typed_as else F.col(c) for c in part.columns]
         )
         out = typed if out is None else out.unionByName(typed, allowMissingColumns=True)
     return out

@@ -49,17 +49,17 @@ def unmatched(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame
 
 
 def layer_problems(rows: Column, declared: Column, bare: Column, box: Sequence[Column]) -> Column:
-    """Messages for a downloaded layer: row count, missing geometry, box."""
-    minx, miny, maxx, maxy = box
+    """What is wrong with a landed layer, as codes with their figures after a colon:
+    fewer or more rows than declared, rows without a shape, a box out of place."""
+    west, south, east, north = box
     inside = (
-        (minx > LAYER_LON[0]) & (minx < LAYER_LON[1]) & (miny > LAYER_LAT[0]) & (miny < LAYER_LAT[1])
+        (west > LAYER_LON[0]) & (east < LAYER_LON[1]) & (south > LAYER_LAT[0]) & (north < LAYER_LAT[1])
     )
+    figures = lambda *c: F.concat_ws("/", *[x.cast("string") for x in c])
     messages = F.array(
-        F.when(rows != declared, F.format_string("registros %d != count declarado %d", rows, declared)),
-        F.when(bare > 0, F.format_string("%d registros sin geometria", bare)),
-        F.when(
-            ~inside, F.format_string("bbox fuera de Chile: %.3f,%.3f,%.3f,%.3f", minx, miny, maxx, maxy)
-        ),
+        F.when(rows != declared, F.concat(F.lit("row_count:"), figures(rows, declared))),
+        F.when(bare > 0, F.concat(F.lit("no_shape:"), figures(bare))),
+        F.when(~inside, F.concat(F.lit("box:"), figures(*[F.round(c, 3) for c in box]))),
     )
     return F.array_compact(messages)
 

@@ -23,6 +23,8 @@ PER_SLICE = 2_000_000
 # with fewer distinct values than this in all, one slice per group is enough
 SHORT = 1_000_000
 _ALL = "_all"
+# weights are added as decimals: a sum then depends on no order of rows or partitions
+EXACT = "decimal(38,12)"
 
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -40,16 +42,19 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "in
 def _values(df: DataFrame, by: list[str], value: str, weight: str | None):
     """Distinct values with their weight, written out once for all later passes.
 
-    A value shared by many rows is one row here, so copies cannot pile up.
+    A value shared by many rows is one row here, so copies cannot pile up. Whole
+    numbers stay whole, so large ids stay apart.
     """
-    w = F.count(F.lit(1)).cast("double") if weight is None else F.sum(F.col(weight).cast("double"))
+    w = F.count(F.lit(1)) if weight is None else F.sum(F.col(weight).cast(EXACT)).cast(EXACT)
+    whole = df.schema[value].dataType.typeName() in ("byte", "short", "integer", "long")
+    kind = "bigint" if whole else "double"
     kept = df.where(finite(F.col(value).cast("double")).isNotNull())
     if weight is not None:
         kept = kept.where(finite(F.col(weight).cast("double")) > 0)
     if not by:
         kept = kept.withColumn(_ALL, F.lit(0))
         by = [_ALL]
-    return by, settle(kept.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(w.alias("_w")))
+    return by, settle(kept.groupBy(*by, F.col(value).cast(kind).alias("_v")).agg(w.alias("_w")))
 
 
 def _sliced(values: DataFrame, by: list[str], slices: int, n: int):
@@ -74,7 +79,7 @@ def _sliced(values: DataFrame, by: list[str], slices: int, n: int):
     cuts = settle(
         raw.withColumn(
             "_coarse",
-            F.when(F.size("_cuts") >= step, every).otherwise(F.array().cast("array<double>")),
+            F.when(F.size("_cuts") >= step, every).otherwise(F.array().cast(raw.schema["_cuts"].dataType)),
         )
     )
 
@@ -93,7 +98,7 @@ def _sliced(values: DataFrame, by: list[str], slices: int, n: int):
     ends = (
         _same(sums, cuts.select(*by, "_total"), by)
         .withColumn("_end", F.sum("_sw").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_start", F.coalesce(F.lag("_end").over(order), F.lit(0.0)))
+        .withColumn("_start", F.coalesce(F.lag("_end").over(order), F.lit(0)).cast(values.schema["_w"].dataType))
         .select(*by, "_slice", "_total", "_start", "_end")
     )
     return keyed, ends
@@ -105,13 +110,14 @@ def _running(rows: DataFrame, by: list[str]) -> DataFrame:
         .orderBy("_v")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    return rows.withColumn("_cum", F.col("_start") + F.sum("_w").over(w))
+    kind = rows.schema["_w"].dataType
+    return rows.withColumn("_cum", (F.col("_start") + F.sum("_w").over(w)).cast(kind))
 
 
 def _one_slice(values: DataFrame, by: list[str]) -> DataFrame:
     """All values of a group in one slice, for tables counted to be short."""
     totals = values.groupBy(*by).agg(F.sum("_w").alias("_total"))
-    rows = _same(values, totals, by).withColumn("_slice", F.lit(0)).withColumn("_start", F.lit(0.0))
+    rows = _same(values, totals, by).withColumn("_slice", F.lit(0)).withColumn("_start", F.lit(0).cast("int"))
     return _running(rows, by)
 
 
@@ -123,7 +129,9 @@ def running_totals(
     slices: int = SLICES,
     short: int = SHORT,
 ) -> DataFrame:
-    """Per distinct value: ``value, weight, cumulative, total``."""
+    """Per distinct value: ``value, weight, cumulative, total`` (counts are whole
+    numbers, sums of weights doubles)."""
+    out = "bigint" if weight is None else "double"
     by, values = _values(df, list(by), value, weight)
     n = values.count()
     if n <= short:
@@ -134,9 +142,9 @@ def running_totals(
     return rows.select(
         *[c for c in by if c != _ALL],
         F.col("_v").alias(value),
-        F.col("_w").alias("weight"),
-        F.col("_cum").alias("cumulative"),
-        F.col("_total").alias("total"),
+        F.col("_w").cast(out).alias("weight"),
+        F.col("_cum").cast(out).alias("cumulative"),
+        F.col("_total").cast(out).alias("total"),
     )
 
 
@@ -182,9 +190,9 @@ def values_at(
     # the last value stands in where rounding leaves its running total a hair
     # below the end
     hits = rows.groupBy(*by, "_total", "_pos").agg(
-        F.coalesce(F.min(F.when(F.col("_cum") >= F.col("_goal"), F.col("_v"))), F.max("_v")).alias("_v")
+        F.coalesce(F.min(F.when(F.col("_cum") >= F.col("_goal"), F.col("_v"))), F.max("_v")).cast("double").alias("_v")
     )
-    out = hits.groupBy(*by, F.col("_total").alias("total")).agg(
+    out = hits.groupBy(*by, F.col("_total").cast("double").alias("total")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_v"))), lambda s: s["_v"]).alias("at")
     )
     return out.drop(_ALL)

@@ -78,7 +78,8 @@ def city_summary(trips: DataFrame) -> DataFrame:
     """Per city-year: expanded trips, bike, walking, shares, codes, separable."""
     codes = prepare(trips).groupBy(*CITY, "cod", "nm").agg(F.sum("f").alias("f"), F.count(F.lit(1)).alias("n"))
     marked = mark_bike(codes, walking_codes(codes))
-    separable = F.max(F.col("cod_caminata").isNotNull())
+    # a city whose weights add up to nothing is listed, but nothing can be told apart
+    separable = F.max(F.col("cod_caminata").isNotNull()) & (F.sum("f") > 0)
     only = lambda c: F.when(separable, c)
     return (
         marked.groupBy(*CITY)
@@ -104,7 +105,6 @@ def city_summary(trips: DataFrame) -> DataFrame:
                 )
             ).alias("cod_bici"),
         )
-        .where(F.col("viajes_exp") > 0)
     )
 
 

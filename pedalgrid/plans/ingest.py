@@ -124,6 +124,21 @@ def id_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "id_blocks_large",
+    """
+WITH i AS (SELECT id, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 400) AS BIGINT) AS block FROM (SELECT DISTINCT o_orderkey + 1152921504606846976 AS id FROM orders))
+SELECT block, count(*) AS n, min(id) AS first, max(id) AS last FROM i GROUP BY 1
+""",
+)
+def id_blocks_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids beyond what a double holds apart."""
+    ids = table(spark, sf_dir, "orders").select((F.col("o_orderkey").cast("bigint") + F.lit(2**60)).alias("id"))
+    return E.id_blocks(ids, "id").select(
+        "block", F.size("ids").cast("bigint").alias("n"), F.array_min("ids").alias("first"), F.array_max("ids").alias("last")
+    )
+
+
 @query(
     "epoch_dates",
     """

@@ -273,7 +273,7 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
             ("embeddings", "formas", None, True, False),
             ("labels", "formas", None, True, False),
         ],
-        C.REGISTRY,
+        "slug string, grupo string, corte string, vigente boolean, solo_atributos boolean",
     )
     lon = lambda c: c - 70
     emb = t("embeddings")

@@ -243,6 +243,20 @@ def weighted_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return medians.join(means, keys)
 
 
+@query(
+    "weighted_median_decimal",
+    """
+WITH v AS (SELECT l_linenumber, l_quantity AS v, sum(CAST(l_discount AS DECIMAL(28, 12))) AS w FROM lineitem WHERE l_discount > 0 GROUP BY 1, 2),
+c AS (SELECT *, sum(w) OVER (PARTITION BY l_linenumber ORDER BY v) AS cum, sum(w) OVER (PARTITION BY l_linenumber) AS total FROM v)
+SELECT l_linenumber, min(CAST(v AS DOUBLE)) AS median FROM c WHERE 2 * cum >= total GROUP BY 1
+""",
+)
+def weighted_median_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights in hundredths: halves are met exactly, not in binary."""
+    lines = table(spark, sf_dir, "lineitem")
+    return R.weighted_lower_median(lines, ["l_linenumber"], "l_quantity", "l_discount").drop("total_weight")
+
+
 @query(
     "travel_times",
     f"""

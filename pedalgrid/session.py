@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,15 +31,15 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder for materialised intermediates, as the cluster names it.
 
-    Only a local master may fall back to a temporary folder: on a cluster a
-    machine-local path would be lost with its executor.
+    Only a session within one process may fall back to a temporary folder: on a
+    cluster a machine-local path would be lost with its executor.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(
         CHECKPOINT_KEY, None
     )
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
     made = tempfile.mkdtemp(prefix="pedalgrid-")
     spark.conf.set(CHECKPOINT_KEY, made)

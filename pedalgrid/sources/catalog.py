@@ -2,44 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.quality import layer_problems
 
-REGISTRY = "slug string, grupo string, corte string, vigente boolean, solo_atributos boolean"
-
-# The public layers by slug, theme, snapshot, current, attributes only.
-LAYERS = [
-    ("sectra_ciclovias_nac_2026_07", "catastro_nacional", "2026-07", True, False),
-    ("sectra_ciclovias_nac_local_capa2", "catastro_nacional", None, False, False),
-    ("sectra_ciclovias_nac_2025_07", "catastro_nacional", "2025-07", False, False),
-    ("sectra_ciclovias_nac_2024_11", "catastro_nacional", "2024-11", False, False),
-    ("sectra_ciclovias_nac_2024_09", "catastro_nacional", "2024-09", False, False),
-    ("sectra_icc_comunas", "indice_comunal", None, True, True),
-    ("sectra_icc_comunas_urbanas", "indice_comunal", None, True, True),
-    ("sectra_icc_comunas_mixtas", "indice_comunal", None, True, True),
-    ("sectra_icc_comunas_rurales", "indice_comunal", None, True, True),
-    ("sectra_icc_comunas_planes", "indice_comunal", None, True, True),
-    ("sectra_icc_red_ciclov", "indice_comunal", None, True, False),
-    ("sectra_mediciones_antofagasta_talca", "mediciones", None, True, False),
-    ("minvu_contadores", "contadores", None, True, False),
-    ("minvu_ciclovias_medida_presidencial", "minvu_red", None, True, False),
-    ("minvu_ciclovias_otras_medidas", "minvu_red", None, True, False),
-    ("minvu_equipamientos", "minvu_entorno", None, True, False),
-    ("minvu_manzanas_poblacion_beneficiada", "minvu_entorno", None, True, False),
-]
+REGISTRY = (
+    "slug string, grupo string, corte string, vigente boolean, solo_atributos boolean,"
+    " titulo string, organismo string, nota string, servicio string, capa_id int, fechas array<string>"
+)
 
 MANIFEST = (
     "slug string, grupo string, corte string, vigente boolean, solo_atributos boolean,"
     " n_registros bigint, n_declarado_servicio bigint, n_sin_geometria bigint,"
-    " problemas array<string>, parquet_mb double, descargado_utc timestamp"
+    " problemas array<string>, parquet_mb double, geojson_mb double, descargado_utc timestamp,"
+    " titulo string, organismo string, nota string, servicio string, capa_nombre string,"
+    " geometria string, campos array<string>"
 )
 
 
-def registry(spark: SparkSession, layers: Sequence[tuple] = LAYERS) -> DataFrame:
-    return spark.createDataFrame(list(layers), REGISTRY)
+def registry(spark: SparkSession, path: str) -> DataFrame:
+    """Layers from a JSON file the user keeps, bare or under ``capas``; fields the
+    file lacks are NULL."""
+    wanted = T._parse_datatype_string(REGISTRY)
+    raw = spark.read.text(path, wholetext=True).select(F.ltrim("value").alias("value"))
+    rows = f"array<struct<{REGISTRY.replace(' string', ':string').replace(' boolean', ':boolean').replace(' int', ':int').replace(' array', ':array')}>>"
+    listed = F.when(F.col("value").startswith("["), F.from_json("value", rows)).otherwise(
+        F.from_json("value", f"struct<capas:{rows}>")["capas"]
+    )
+    return raw.select(F.explode(listed).alias("c")).select(*[F.col("c")[f.name].alias(f.name) for f in wanted])
 
 
 def by_slug(layers: DataFrame, slug: str) -> DataFrame:

@@ -55,11 +55,23 @@ def esri_line(g: Column) -> Column:
     return F.when(F.size(paths) > 0, F.transform(paths, _vertices))
 
 
+def inner_point(ring: Column) -> Column:
+    """A point inside a ring: halfway between the first two walls that a level
+    between its two lowest vertex heights meets. NULL for a flat ring."""
+    ys = F.array_sort(F.array_distinct(F.transform(ring, lambda p: p["y"])))
+    y = (F.get(ys, F.lit(0)) + F.get(ys, F.lit(1))) / 2
+    met = F.filter(ring_pieces(ring), lambda e: (e["y1"] > y) != (e["y2"] > y))
+    xs = F.array_sort(
+        F.transform(met, lambda e: e["x1"] + (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]))
+    )
+    return point((F.get(xs, F.lit(0)) + F.get(xs, F.lit(1))) / 2, y)
+
+
 def esri_polygon(g: Column) -> Column:
     """Rings to polygons: clockwise rings are shells, the others holes of the
     shell around them; rings all of one sign are all shells.
 
-    A hole is placed by one of its vertices; one that no shell holds is dropped.
+    A hole is placed by a point inside it; one that no shell holds is dropped.
     """
     rings = F.transform(F.filter(g["rings"], lambda r: F.size(r) >= 4), _vertices)
     clockwise = F.filter(rings, lambda r: signed_area(r) < 0)
@@ -72,8 +84,12 @@ def esri_polygon(g: Column) -> Column:
             shells,
             lambda s: F.struct(
                 s.alias("shell"),
-                F.filter(
-                    holes, lambda h: point_in_pieces(h[0]["x"], h[0]["y"], ring_pieces(s))
+                F.transform(
+                    F.filter(
+                        F.transform(holes, lambda h: F.struct(h.alias("h"), inner_point(h).alias("p"))),
+                        lambda x: point_in_pieces(x["p"]["x"], x["p"]["y"], ring_pieces(s)),
+                    ),
+                    lambda x: x["h"],
                 ).alias("holes"),
             ),
         ),

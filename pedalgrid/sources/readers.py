@@ -40,10 +40,26 @@ def optional(spark: SparkSession, path: str, schema: str, reader: str = "parquet
 
 def city_folders(spark: SparkSession, root: str, file: str = "*.parquet") -> DataFrame:
     """All city files under ``Region__City_Name_YYYY`` folders, with city and
-    year read from the folder name."""
-    df = spark.read.option("mergeSchema", "true").parquet(f"{root}/*/{file}")
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
-    return df.select("*", folder.alias("carpeta")).withColumns(
+    year read from the folder name. A column that cities type differently is text;
+    one that a city lacks is NULL there."""
+    # cities type the same column differently, so files are read group by group of
+    # equal schema and such columns become text
+    folders = spark.read.format("binaryFile").load(f"{root}/*/{file}").select("path").collect()
+    groups: dict[str, list[str]] = {}
+    for path in sorted(r["path"] for r in folders):
+        groups.setdefault(spark.read.parquet(path).schema.json(), []).append(path)
+    parts = [spark.read.parquet(*paths).withColumn("_file", F.col("_metadata.file_path")) for paths in groups.values()]
+    kinds: dict[str, set[str]] = {}
+    for part in parts:
+        for f in part.schema:
+            kinds.setdefault(f.name, set()).add(f.dataType.simpleString())
+    mixed = {c for c, k in kinds.items() if len(k) > 1}
+    parts = [p.withColumns({c: F.col(c).cast("string") for c in mixed if c in p.columns}) for p in parts]
+    df = parts[0]
+    for part in parts[1:]:
+        df = df.unionByName(part, allowMissingColumns=True)
+    folder = F.regexp_extract("_file", r"([^/]+)/[^/]+$", 1)
+    return df.withColumn("carpeta", folder).drop("_file").withColumns(
         {
             "ciudad": F.replace(
                 F.regexp_extract("carpeta", r"__(.+)_\d{4}$", 1), F.lit("_"), F.lit(" ")
@@ -55,10 +71,8 @@ def city_folders(spark: SparkSession, root: str, file: str = "*.parquet") -> Dat
 
 # GeoJSON coordinates nest to a depth that depends on the geometry type, so they
 # are read as text and parsed once the type is known.
-_FEATURES = (
-    "struct<features:array<struct<properties:map<string,string>,"
-    "geometry:struct<type:string,coordinates:string>>>>"
-)
+_FEATURE = "struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
+_LINE = f"struct<type:string,features:array<{_FEATURE}>,{_FEATURE[7:-1]}>"
 ZONE_NAMES = ("zona", "ZONA", "Zona")
 
 
@@ -87,31 +101,59 @@ def line_from_geojson(kind: Column, coordinates: Column) -> Column:
     return F.transform(many, _ring)
 
 
-def geojson_features(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, properties, kind, coordinates)``; a file that does not parse
-    gives no rows instead of failing the scan."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[^./]+$", 1).alias("file"), "value"
-    )
-    parsed = files.select("file", F.from_json("value", _FEATURES).alias("_d"))
-    return parsed.select("file", F.explode("_d.features").alias("_f")).select(
-        "file",
-        F.col("_f.properties").alias("properties"),
-        F.col("_f.geometry.type").alias("kind"),
-        F.col("_f.geometry.coordinates").alias("coordinates"),
+def _parsed(raw: DataFrame) -> DataFrame:
+    """Features of texts that hold one feature or one collection each."""
+    file = F.regexp_extract("_path", r"([^/]+)\.[^./]+$", 1)
+    doc = F.from_json(F.regexp_replace("value", r",\s*$", ""), _LINE)
+    own = F.array(F.struct(F.col("_d.properties"), F.col("_d.geometry")))
+    found = F.when(F.col("_d.features").isNotNull(), F.col("_d.features")).when(F.col("_d.type") == "Feature", own)
+    return (
+        raw.select(file.alias("file"), "_path", doc.alias("_d"))
+        .select("file", "_path", F.explode(found).alias("_f"))
+        .select(
+            "file",
+            "_path",
+            F.col("_f.properties").alias("properties"),
+            F.col("_f.geometry.type").alias("kind"),
+            F.col("_f.geometry.coordinates").alias("coordinates"),
+        )
     )
 
 
-def unreadable_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Names of files ``geojson_features`` had to skip."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[^./]+$", 1).alias("file"), "value"
-    )
-    return files.where(F.from_json("value", _FEATURES)["features"].isNull()).select("file")
+def _geojson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Features with their file, and the files."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("_path"), "path")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_path"), "value")
+    by_line = _parsed(lines)
+    # a feature a line is split over tasks; only files laid out otherwise are read whole
+    rest = files.join(by_line.select("_path").distinct(), "_path", "left_anti").collect()
+    if not rest:
+        return by_line, files
+    whole = spark.read.text([r["path"] for r in rest], wholetext=True)
+    return by_line.union(_parsed(whole.select(F.col("_metadata.file_path").alias("_path"), "value"))), files
+
+
+def geojson_features(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, properties, kind, coordinates)``: a feature per line, with or without
+    a collection around them, or a collection over several lines. A file that does
+    not parse gives no rows instead of failing the scan."""
+    return _geojson(spark, path)[0].drop("_path")
+
+
+def unreadable_geojson(spark: SparkSession, path: str, names: Sequence[str] = ()) -> DataFrame:
+    """``(file, reason)`` of files that give nothing: ``no_features``, or with
+    ``names`` given ``no_id`` (no feature has one of these properties)."""
+    features, files = _geojson(spark, path)
+    name = F.regexp_extract("_path", r"([^/]+)\.[^./]+$", 1).alias("file")
+    key = F.coalesce(*[F.try_element_at(F.col("properties"), F.lit(n)) for n in names]) if names else F.lit("")
+    seen = features.groupBy("_path").agg(F.max(key.isNotNull()).alias("_named"))
+    reason = F.when(F.col("_named").isNull(), "no_features").when(~F.col("_named"), "no_id")
+    return files.join(seen, "_path", "left").select(name, reason.alias("reason")).where("reason IS NOT NULL")
 
 
 def survey_zones(spark: SparkSession, path: str, names: Sequence[str] = ZONE_NAMES) -> DataFrame:
-    """Survey zone polygons, one file per city; files without an id column drop out."""
+    """Survey zone polygons, one file per city. Files without an id column give
+    no rows; ``unreadable_geojson(spark, path, names)`` lists them."""
     zone = F.coalesce(*[F.try_element_at(F.col("properties"), F.lit(n)) for n in names])
     return (
         geojson_features(spark, path)

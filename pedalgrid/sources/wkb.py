@@ -21,7 +21,7 @@ DECODED = T.StructType(
 )
 
 # Geometry type codes of the WKB format.
-_KINDS = {1: "point", 2: "line", 3: "polygon", 4: "points", 5: "line", 6: "polygon"}
+_KINDS = {1: "point", 2: "line", 3: "polygon", 4: "points", 5: "line", 6: "polygon", 7: "collection"}
 
 
 def _coords(buf: bytes, at: int, order: str, n: int, dims: int):
@@ -30,7 +30,8 @@ def _coords(buf: bytes, at: int, order: str, n: int, dims: int):
 
 
 def decode(buf: bytes | None) -> dict | None:
-    """One geometry to nested coordinates; heights and measures are dropped."""
+    """One geometry to nested coordinates; heights and measures are dropped. Kinds
+    without points, lines or polygons of their own have NULL shapes."""
     if not buf:
         return None
     return _decode(bytes(buf), 0)[0]
@@ -70,8 +71,8 @@ def _decode(buf: bytes, at: int):
         for _ in range(n):
             part, at = _decode(buf, at)
             out[field] += part[field]
-    else:
-        raise ValueError(f"unsupported WKB geometry type {code}")
+    else:  # point sets and collections are named, but have no shape here
+        out["kind"] = _KINDS.get(code, f"code {code}")
     return out, at
 
 

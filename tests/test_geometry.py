@@ -276,3 +276,53 @@ def test_grids(spark):
     heat = {(r.cx, r.cy): (r.n, r.heat) for r in grids.density(pts, "x", "y", 10, 0.5).collect()}
     assert heat == {(0, 0): (4, 4.5), (1, 0): (1, 3.0), (9, 9): (1, 1.0)}
     assert grids.total_bounds(segs).first().max_x == 100.0
+
+
+def _box(x0, y0, x1, y1):
+    at = ", ".join(f"named_struct('x',{x!r}D,'y',{y!r}D)" for x, y in [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)])
+    return f"array(named_struct('shell', array({at}), 'holes', cast(array() as array<array<{G.POINT_DDL}>>)))"
+
+
+def test_neighbours_share_no_area_in_any_unit(spark):
+    for k in (1e-5, 1.0, 1e6):
+        a = spark.sql(f"SELECT 1 AS l, {_box(0.1 * k, 0.3 * k, 1.7 * k, 1.1 * k)} AS geom")
+        b = spark.sql(f"SELECT 1 AS r, {_box(1.7 * k, 0.2 * k, 2.9 * k, 1.3 * k)} AS rgeom UNION ALL SELECT 2, {_box(1.6 * k, 0.2 * k, 2.9 * k, 1.3 * k)}")
+        got = {x.r: x.area for x in P.overlay_area(a, b, "l", "r", "geom", "rgeom").collect()}
+        assert set(got) == {2} and abs(got[2] / (0.08 * k * k) - 1) < 1e-9
+
+
+def test_small_polygons_do_not_meet_in_a_large_one(spark):
+    cells = " UNION ALL ".join(f"SELECT {10 * i + j} AS l, {_box(i, j, i + 1, j + 1)} AS geom" for i in range(10) for j in range(10))
+    small = spark.sql(cells)
+    large = spark.sql(f"SELECT -1 AS r, {_box(-50, -50, 60, 60)} AS rgeom").union(small)
+    out = {(x.l, x.r): x.area for x in P.overlay_area(small, large, "l", "r", "geom", "rgeom").collect()}
+    assert set(out) == {(i, -1) for i in range(100)} | {(i, i) for i in range(100)}
+    assert all(abs(v - 1) < 1e-9 for v in out.values())
+
+
+def test_cities_may_share_zone_ids(spark):
+    zones = spark.sql(f"SELECT 'c1' AS z, 100 AS pob, {_box(0, 0, 1, 1)} AS geom UNION ALL SELECT 'c2', 100, {_box(1, 0, 2, 1)} UNION ALL SELECT 'c3', 50, {_box(2, 0, 3, 1)}")
+    shapes = spark.sql(f"SELECT 'A' AS ciudad, '1' AS zona, {_box(0, 0, 1, 1)} AS geom UNION ALL SELECT 'B', '1', {_box(1, 0, 3, 1)} UNION ALL SELECT 'C', '9', {_box(0, 0, 9, 9)}")
+    sides = spark.createDataFrame(
+        [("A", 2010, "origen", "1", 10.0, 2), ("B", 2010, "origen", "1", 30.0, 3), ("B", 2010, "destino", "1", 60.0, 6), ("C", 2010, "origen", "7", 5.0, 1)],
+        "ciudad string, anio int, lado string, zona string, viajes double, n int",
+    )
+    sums = P.side_sums(shapes, sides)
+    assert {(r.ciudad, r.gen, r.atr, r.n_gen, r.n_atr) for r in sums.collect()} == {("A", 10.0, 0.0, 2.0, 0.0), ("B", 30.0, 60.0, 3.0, 6.0)}
+    out = P.interpolate(zones, sums, "z", ["ciudad", "zona"], "pob", ["gen", "atr", "n_gen"], label=["ciudad"]).collect()
+    got = {(r.z, r.ciudad): (round(r.gen, 9), round(r.atr, 9), round(r.n_gen, 9)) for r in out}
+    assert got == {("c1", "A"): (10, 0, 2), ("c2", "B"): (20, 40, 2), ("c3", "B"): (10, 20, 1)}
+
+
+def test_ends_of_lines_of_several_pieces(spark):
+    # line 1 bends at (10, 0); line 2 ends at that bend, line 3 ends where line 1 ends
+    lines = spark.sql(
+        "SELECT id, array(transform(v, p -> named_struct('x', cast(p[0] AS double), 'y', cast(p[1] AS double)))) AS line FROM VALUES"
+        " (1, array(array(0,0),array(10,0),array(20,0))), (2, array(array(10,0.5),array(10,50))), (3, array(array(20,0.5),array(60,80))) AS t(id, v)"
+    )
+    ends = X.line_ends(lines, "id", "line")
+    assert ends.count() == 6
+    pieces = lines.select("id", F.explode(G.line_pieces(F.col("line"))).alias("_p")).select("id", "_p.*")
+    got = {(r.id, r.x, r.y): r["class"] for r in X.endpoint_classes(pieces, "id", 1.0, ends).collect()}
+    assert got == {(1, 0.0, 0.0): "none", (1, 20.0, 0.0): "endpoint", (2, 10.0, 0.5): "interior", (2, 10.0, 50.0): "none", (3, 20.0, 0.5): "endpoint", (3, 60.0, 80.0): "none"}
+    assert X.endpoint_pieces(pieces, "id", ends).count() == 6

@@ -118,3 +118,23 @@ def test_share_and_first(spark):
     df = spark.createDataFrame([("a", 2, 3.0), ("a", 1, 1.0), (None, 5, 4.0)], "k string, o int, v double")
     assert sorted(r.share for r in R.share_of_group(df, ["k"], "v").collect()) == [0.25, 0.75, 1.0]
     assert {(r.k, r.o) for r in R.first_per_key(df, ["k"], [F.col("o")]).collect()} == {("a", 1), (None, 5)}
+
+
+def test_exact_halves_on_both_paths(spark, path):
+    # decimal weights whose half falls on a value, in rows of any order
+    import random
+
+    rnd = random.Random(6)
+    rows, want = [], {}
+    for g in range(60):
+        w = [rnd.randint(1, 40) for _ in range(9)]
+        half = rnd.randrange(2, 8)
+        last = sum(w[:half]) - sum(w[half:])
+        w.append(last if last > 0 else 0)
+        pairs = [(g, float(v), x / 100) for v, x in enumerate(w) if x]
+        cum, total = 0, sum(w)
+        want[g] = next(float(v) for v in range(10) if (cum := cum + w[v]) * 2 >= total and w[v])
+        rows += rnd.sample(pairs, len(pairs))
+    df = spark.createDataFrame(rows, "g int, v double, w double").repartition(5)
+    got = {r.g: r["median"] for r in R.weighted_lower_median(df, ["g"], "v", "w").collect()}
+    assert got == want

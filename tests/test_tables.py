@@ -173,6 +173,8 @@ def test_wkb_round_trip_and_variants(spark):
     z = b"\x01" + struct.pack("<I3d", 1001, 7.0, 8.0, 9.0)
     assert [wkb.decode(b)["point"] for b in (big, ewkb, z)] == [{"x": 1.0, "y": 2.0}, {"x": 5.0, "y": 6.0}, {"x": 7.0, "y": 8.0}]
     assert wkb.decode(None) is None
+    points = b"\x01" + struct.pack("<II", 4, 1) + b"\x01" + struct.pack("<I2d", 1, 1.0, 2.0)
+    assert wkb.decode(points) == {"kind": "points", "point": None, "line": None, "polygon": None}
 
 
 def test_readers(spark, tmp_path):
@@ -181,6 +183,9 @@ def test_readers(spark, tmp_path):
     one.withColumn("extra", F.lit(1)).write.parquet(str(tmp_path / "eod" / "Biobio__Lota_2010"))
     got = {r.ciudad: (r.anio, r.extra) for r in readers.city_folders(spark, str(tmp_path / "eod")).collect()}
     assert got == {"San Javier": (2014, None), "Lota": (2010, 1)}
+    one.select(F.lit(3).alias("modo"), F.lit("x").alias("factor")).write.parquet(str(tmp_path / "eod" / "Arica__Arica_2011"))
+    mixed = readers.city_folders(spark, str(tmp_path / "eod"))
+    assert {(r.ciudad, r.modo, r.factor) for r in mixed.collect()} == {("San Javier", "1", "2.0"), ("Lota", "1", "2.0"), ("Arica", "3", "x")}
 
     geo = tmp_path / "geo"
     geo.mkdir()
@@ -191,7 +196,13 @@ def test_readers(spark, tmp_path):
     (geo / "Roto.geojson").write_text("{not json")
     z = readers.survey_zones(spark, str(geo)).select("ciudad", "zona", G.polygon_area(F.col("geom")).alias("a")).collect()
     assert [tuple(r) for r in z] == [("Talca", "7", 1.0)]
-    assert [r.file for r in readers.unreadable_geojson(spark, str(geo)).collect()] == ["Roto"]
+    assert [tuple(r) for r in readers.unreadable_geojson(spark, str(geo)).collect()] == [("Roto", "no_features")]
+    (geo / "Talca.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [feature("ZONA")] * 2}, indent=2))
+    (geo / "Arica.geojson").write_text('{"features": [\n' + ",\n".join(json.dumps(feature("zona")) for _ in range(3)) + "\n]}")
+    found = readers.geojson_features(spark, str(geo)).groupBy("file").count().collect()
+    assert {r.file: r["count"] for r in found} == {"Talca": 2, "Osorno": 1, "Arica": 3}
+    skipped = readers.unreadable_geojson(spark, str(geo), readers.ZONE_NAMES).collect()
+    assert {tuple(r) for r in skipped} == {("Roto", "no_features"), ("Osorno", "no_id")}
 
     (tmp_path / "metros.json").write_text(json.dumps({"metros": {"GC": ["08101", "08102"]}}))
     assert readers.metro_areas(spark, str(tmp_path / "metros.json")).count() == 2
@@ -215,6 +226,8 @@ def test_sinks(spark, tmp_path):
     sinks.write_geojson(line, str(tmp_path / "g"), {"id": F.col("id")}, "MultiLineString", sinks.line_coordinates(F.col("g")))
     f = json.loads(spark.read.text(str(tmp_path / "g")).first()[0])
     assert f["geometry"]["coordinates"] == [[[1.0, 2.0], [3.0, 4.0]]] and f["properties"]["id"] == 9
+    back = readers.geojson_features(spark, str(tmp_path / "g")).select("properties", readers.line_from_geojson(F.col("kind"), F.col("coordinates")).alias("l")).collect()
+    assert [(r.properties["id"], r.l[0][1].y) for r in back] == [("9", 4.0)]
 
 
 def test_manifest(spark, tmp_path):
@@ -222,13 +235,17 @@ def test_manifest(spark, tmp_path):
     new = spark.createDataFrame([("b", 1, 99), ("c", 2, 5)], "slug string, posicion int, n int")
     out = catalog.upsert(old, new).orderBy("posicion").collect()
     assert [(r.slug, r.n) for r in out] == [("a", 10), ("b", 99), ("c", 5)]
-    layers = catalog.registry(spark)
-    assert layers.count() == 17 and catalog.by_slug(layers, "minvu_contadores").first().vigente
+    listed = [{"slug": "counters", "grupo": "g", "vigente": True, "titulo": "T", "capa_id": 3}, {"slug": "old", "vigente": False}]
+    for k, text in enumerate((json.dumps(listed, indent=1), json.dumps({"capas": listed}))):
+        (tmp_path / f"layers{k}.json").write_text(text)
+        layers = catalog.registry(spark, str(tmp_path / f"layers{k}.json"))
+        one = catalog.by_slug(layers, "counters").first()
+        assert layers.count() == 2 and one.vigente and (one.titulo, one.capa_id, one.nota) == ("T", 3, None)
     pts = spark.createDataFrame([(-70.0, -33.0), (None, None)], "x double, y double")
-    stats = catalog.layer_stats(pts, "minvu_contadores", F.col("x"), F.col("y"))
-    declared = spark.createDataFrame([("minvu_contadores", 3)], "slug string, n_declarado_servicio bigint")
+    stats = catalog.layer_stats(pts, "counters", F.col("x"), F.col("y"))
+    declared = spark.createDataFrame([("counters", 3)], "slug string, n_declarado_servicio bigint")
     m = catalog.manifest_rows(layers, stats, declared)
-    assert m.first().problemas == ["registros 2 != count declarado 3", "1 registros sin geometria"]
+    assert m.first().problemas == ["row_count:2/3", "no_shape:1"]
     catalog.write_manifest(m, str(tmp_path / "m"))
     assert Q.problem_list(spark.read.json(str(tmp_path / "m"))).count() == 2
 
@@ -247,3 +264,7 @@ def test_id_blocks_cover_everything_once(spark):
     out = esri.id_blocks(ids, "oid").orderBy("block").collect()
     assert [len(r.ids) for r in out] == [400, 400, 201]
     assert [i for r in out for i in r.ids] == [i * 3 for i in range(1001)]
+    large = spark.range(2**60, 2**60 + 1000).withColumnRenamed("id", "oid")
+    for span in (None, 8):
+        out = esri.id_blocks(large, "oid", span=span).orderBy("block").collect()
+        assert [i for r in out for i in r.ids] == list(range(2**60, 2**60 + 1000))
