@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.geo import in_country, round_swapped
+from ..functions.geo import in_country, point, round_swapped
 from ..functions.numbers import (
     count_if,
     json_number,
@@ -221,6 +221,64 @@ def zone_card(zones: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def _beside(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Groups of ``left`` with the figures of ``right``; both one row without ``by``."""
+    if by:
+        return left.join(right, list(by), "left")
+    one = right.withColumn("_one", F.lit(0))
+    return left.withColumn("_one", F.lit(0)).join(F.broadcast(one), "_one").drop("_one")
+
+
+def scope_card(
+    mart: DataFrame, segments: DataFrame, counters: DataFrame, by: Sequence[str] = (), key: str = "cut_com"
+) -> DataFrame:
+    """KPI card of a scope, or of each group of its communes: the sums of
+    ``scope_kpis``, distinct fragments touching the scope with their mean length, and
+    flow counters. ``segments`` carry ``component``; both need only the commune key."""
+    places = mart.select(key, *by)
+
+    def counted(df: DataFrame, what: Column, name: str) -> DataFrame:
+        return df.join(places, key).groupBy(*by).agg(what.alias(name))
+
+    card = scope_kpis(mart, by)
+    card = _beside(card, counted(segments.select(key, "component"), F.countDistinct("component"), "_f"), by)
+    card = _beside(card, counted(counters.select(key), F.count(F.lit(1)), "contadores"), by)
+    card = km_per_fragment(card, F.coalesce("_f", F.lit(0))).drop("_f")
+    return card.withColumn("contadores", F.coalesce("contadores", F.lit(0)))
+
+
+def zone_scope_card(
+    zones: DataFrame, mart: DataFrame, counters: DataFrame, by: Sequence[str] = (), key: str = "cut_com"
+) -> DataFrame:
+    """``zone_card`` of a scope with the modal share of its communes and its counters.
+
+    ``by`` are columns of ``mart`` (or the commune key itself)."""
+    by = list(by)
+    extra = [c for c in by if c != key]
+    places = mart.select(key, *extra)
+    share = mart.groupBy(*by).agg(total(F.col("viajes_modo")).alias("_m"))
+    posts = counters.select(key).join(places, key).groupBy(*by).agg(F.count(F.lit(1)).alias("contadores"))
+    card = _beside(_beside(zone_card(zones.join(places, key), by), share, by), posts, by)
+    return card.withColumns(
+        {"pct_modal": ratio(F.col("bici"), F.col("_m")), "contadores": F.coalesce("contadores", F.lit(0))}
+    ).drop("_m")
+
+
+def territory_sheet(mart: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Census part of a territory's sheet: people, declared modes, riders, their share,
+    riders near the network, length and crashes."""
+    bici, modes = total(F.col("bici")), total(F.col("viajes_modo"))
+    return mart.groupBy(*by).agg(
+        total(F.col("pob")).alias("habitantes"),
+        modes.alias("declaran_modo"),
+        bici.alias("bici"),
+        ratio(bici, modes).alias("pct_modal"),
+        ratio(total(F.col("cobb") / 100 * F.col("bici")), bici).alias("pct_bici"),
+        total(F.col("kme")).alias("km_existentes"),
+        total(F.col("sini")).alias("siniestros"),
+    )
+
+
 def best_city(city_communes: DataFrame, scope: DataFrame, city: str = "ciudad", key: str = "cut_com") -> DataFrame:
     """City sharing most communes with the scope; no row without any overlap."""
     return (
@@ -478,9 +536,24 @@ def serve_counters(counters: DataFrame) -> DataFrame:
     )
 
 
+# Short names of survey and crash figures, their column and digits.
+ZONE_EXTRAS = {
+    "esc": ("escolares", 0),
+    "sini": ("sin_bici", 0),
+    "sinf": ("sin_fall", 0),
+    "egen": ("eod_bici_gen", 0),
+    "eatr": ("eod_bici_atr", 0),
+    "egpc": ("egen_pc", 1),
+    "esal": ("esaldo", 0),
+    "en": ("en", 1),
+    "ens": ("en_sal", 1),
+}
+
+
 def serve_zones(zones: DataFrame, shape: str = "geom") -> DataFrame:
-    """Zone rows with four-decimal outer rings."""
+    """Zone rows with four-decimal outer rings; figures the mart lacks are NULL."""
     n = json_number
+    have = lambda c: F.col(c) if c in zones.columns else F.lit(None)
     return zones.where(F.size(F.col(shape)) > 0).select(
         F.col("zona").alias("z"),
         zero_pad(F.col("cut_com")).alias("c"),
@@ -491,10 +564,20 @@ def serve_zones(zones: DataFrame, shape: str = "geom") -> DataFrame:
         n(F.col("cob_pct")).alias("cob"),
         n(F.col("dist_m"), 0).alias("d"),
         n(F.col("nse_score")).alias("nse"),
+        *[n(have(c).cast("double"), digits).alias(short) for short, (c, digits) in ZONE_EXTRAS.items()],
+        F.nullif(have("eod_ciudad").cast("string"), F.lit("")).alias("eciu"),
         F.transform(F.col(shape), lambda g: round_swapped(g["shell"], 4)).alias("g"),
     )
 
 
 def serve_communes_geo(shapes: DataFrame, mart: DataFrame, key: str = "cut_com", name: str = "nom", shape: str = "geom") -> DataFrame:
-    """Shapes of the communes in the mart only, reduced to code and name."""
-    return shapes.join(mart.select(key).distinct(), key, "left_semi").select(key, name, shape)
+    """Shapes of the communes in the mart only, reduced to code, name and four decimals."""
+
+    def ring(r: Column) -> Column:
+        return F.transform(r, lambda p: point(F.bround(p["x"], 4), F.bround(p["y"], 4)))
+
+    rounded = F.transform(
+        F.col(shape),
+        lambda g: F.struct(ring(g["shell"]).alias("shell"), F.transform(g["holes"], ring).alias("holes")),
+    )
+    return shapes.join(mart.select(key).distinct(), key, "left_semi").select(key, name, rounded.alias(shape))

@@ -114,14 +114,13 @@ def scope_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "best_city",
-    """WITH o AS (SELECT DISTINCT o_orderpriority AS ciudad, c_nationkey AS cut_com FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 450000)
+    """WITH o AS (SELECT DISTINCT o_orderpriority AS ciudad, c_nationkey AS cut_com FROM orders JOIN customer ON c_custkey = o_custkey)
 SELECT ciudad, count(*) AS n FROM o WHERE cut_com IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) GROUP BY 1 ORDER BY n DESC, ciudad LIMIT 1""",
 )
 def best_city(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("cut_com"))
     members = (
         table(spark, sf_dir, "orders")
-        .where(F.col("o_totalprice") > 450000)
         .join(customers, "o_custkey")
         .select(F.col("o_orderpriority").alias("ciudad"), "cut_com")
         .distinct()
@@ -350,6 +349,75 @@ def zone_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.col(c).cast("double") for c in ("pob", "bici", "siniestros")})
 
 
+_FRAGMENTS = """f AS (SELECT DISTINCT c_nationkey AS cut_com, o_orderkey % 40 AS component FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F'),
+ct AS (SELECT s_nationkey AS cut_com FROM supplier)"""
+
+
+def _fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("cut_com"))
+    built = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F")
+    return built.join(customers, "o_custkey").select("cut_com", (F.col("o_orderkey") % 40).alias("component"))
+
+
+def _counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("cut_com"))
+
+
+@query(
+    "scope_card",
+    f"""WITH {MART.lstrip()}, {_FRAGMENTS},
+k AS (SELECT reg, {_KPI} FROM mart GROUP BY reg),
+n AS (SELECT reg, count(DISTINCT component) AS fragmentos FROM f JOIN mart USING (cut_com) GROUP BY 1),
+p AS (SELECT reg, count(*) AS contadores FROM ct JOIN mart USING (cut_com) GROUP BY 1)
+SELECT k.*, coalesce(fragmentos, 0) AS fragmentos, round(km_existentes / nullif(fragmentos, 0), 3) AS km_por_fragmento, coalesce(contadores, 0) AS contadores
+FROM k LEFT JOIN n USING (reg) LEFT JOIN p USING (reg)""",
+)
+def scope_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = M.scope_card(_mart(spark, sf_dir), _fragments(spark, sf_dir), _counters(spark, sf_dir), ["reg"])
+    return out.withColumns(
+        {
+            **{c: F.col(c).cast("double") for c in ("pob", "bici", "siniestros", "fallecidos")},
+            **{c: F.round(c, 3) for c in ("km_existentes", "km_cartera", "km_por_fragmento")},
+            **{c: r4(F.col(c)) for c in ("pct_pob", "pct_modal", "pct_bici")},
+        }
+    )
+
+
+@query(
+    "territory_sheet",
+    f"""WITH {MART.lstrip()} SELECT reg, CAST(sum(pob) AS DOUBLE) AS habitantes, CAST(sum(viajes_modo) AS DOUBLE) AS declaran_modo, CAST(sum(bici) AS DOUBLE) AS bici,
+  round(100.0 * sum(bici) / nullif(sum(viajes_modo), 0), 4) AS pct_modal, round(100 * sum(cobb / 100 * bici) / nullif(sum(bici), 0), 4) AS pct_bici,
+  round(coalesce(sum(kme), 0), 3) AS km_existentes, CAST(coalesce(sum(sini), 0) AS DOUBLE) AS siniestros FROM mart GROUP BY 1""",
+)
+def territory_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = M.territory_sheet(_mart(spark, sf_dir), ["reg"])
+    return out.withColumns(
+        {
+            **{c: F.col(c).cast("double") for c in ("habitantes", "declaran_modo", "bici", "siniestros")},
+            "km_existentes": F.round("km_existentes", 3),
+            **{c: r4(F.col(c)) for c in ("pct_modal", "pct_bici")},
+        }
+    )
+
+
+@query(
+    "zone_scope_card",
+    _ZONE
+    + f""", {MART.lstrip()}, {_FRAGMENTS},
+z AS (SELECT * FROM m WHERE zona IN (SELECT zona FROM cr UNION SELECT zona FROM sv))
+SELECT reg, count(*) AS zonas, sum(z.pob) AS pob, sum(z.bici) AS bici, CAST(sum(sin_bici) AS DOUBLE) AS siniestros,
+  round(100 * sum(z.bici) / (SELECT sum(viajes_modo) FROM mart x WHERE x.reg = mart.reg), 4) AS pct_modal,
+  (SELECT count(*) FROM ct JOIN mart x USING (cut_com) WHERE x.reg = mart.reg) AS contadores
+FROM z JOIN mart USING (cut_com) GROUP BY reg""",
+)
+def zone_scope_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zones, _ = _zone_parts(spark, sf_dir)
+    out = M.zone_scope_card(zones, _mart(spark, sf_dir), _counters(spark, sf_dir), ["reg"])
+    return out.withColumns(
+        {**{c: F.col(c).cast("double") for c in ("pob", "bici", "siniestros")}, "pct_modal": r4(F.col("pct_modal"))}
+    )
+
+
 @query(
     "fragmentation_scatter",
     f"""
@@ -428,3 +496,78 @@ def serve_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = M.serve_segments(rows)
     first = F.col("g")[0][0]
     return out.select(F.col("c").cast("bigint").alias("c"), "e", "k", "n", first[0].alias("lat0"), first[1].alias("lon0"))
+
+
+@query(
+    "serve_zones",
+    _ZONE
+    + """SELECT zona AS z, lpad(CAST(cut_com AS VARCHAR), 5, '0') AS c, substr('comuna de nombre bastante largo ' || cut_com, 1, 28) AS nom, round_even(pob, 0) AS pob, round_even(bici, 0) AS bici,
+  round_even(dist_m, 0) AS d, CAST(sin_bici AS DOUBLE) AS sini, round_even(sin_fall, 0) AS sinf, round_even(eod_gen, 0) AS egen,
+  round_even(round(1000 * eod_gen / nullif(pob, 0), 5), 1) AS egpc, eod_ciudad AS eciu, CAST(NULL AS DOUBLE) AS nse, CAST(5 AS INTEGER) AS corners
+FROM m WHERE zona IN (SELECT zona FROM cr UNION SELECT zona FROM sv)""",
+)
+def serve_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.geo import POINT_DDL, point
+
+    mart, _ = _zone_parts(spark, sf_dir)
+    side = F.lit(100.0)
+    x = F.split("zona", "/")[0].cast("double") * side
+    y = F.split("zona", "/")[1].cast("double") * side
+    ring = F.array(point(x, y), point(x + side, y), point(x + side, y + side), point(x, y + side), point(x, y))
+    rows = mart.withColumns(
+        {
+            "cut_com": F.col("cut_com").cast("string"),
+            "comuna": F.concat(F.lit("comuna de nombre bastante largo "), F.col("cut_com").cast("string")),
+            "bici_pct": F.lit(None).cast("double"),
+            "cob_pct": F.lit(None).cast("double"),
+            "nse_score": F.lit(None).cast("double"),
+            "eod_bici_gen": F.col("eod_gen").cast("double"),
+            # thousandths first: a sum in another order must not tip a half
+            "egen_pc": F.round(1000 * F.col("eod_gen") / F.nullif(F.col("pob").cast("double"), F.lit(0.0)), 5),
+            "geom": F.array(F.struct(ring.alias("shell"), F.array().cast(f"array<array<{POINT_DDL}>>").alias("holes"))),
+        }
+    )
+    out = M.serve_zones(rows)
+    kept = ["z", "c", "nom", "pob", "bici", "d", "sini", "sinf", "egen", "egpc", "eciu", "nse"]
+    return out.select(*kept, F.size(F.col("g")[0]).alias("corners"))
+
+
+@query(
+    "serve_points",
+    f"""WITH {SEG} SELECT 'siniestro' AS capa, label AS a, substr('colision con un vehiculo detenido ' || vec_id, 1, 26) AS t, round_even(y1, 5) AS lat, round_even(x1, 5) AS lon, CAST(vec_id % 3 AS INTEGER) AS v FROM seg
+UNION ALL SELECT 'establecimiento', CASE WHEN vec_id % 2 = 0 THEN 0 ELSE 1 END, substr('Liceo de nombre bastante largo que no cabe entero ' || vec_id, 1, 46), round_even(y1, 5), round_even(x1, 5), CAST(vec_id % 3 AS INTEGER) FROM seg
+UNION ALL SELECT 'contador', label, substr('Contador ' || vec_id, 1, 50), round_even(y1, 5), round_even(x1, 5), CAST(vec_id % 3 AS INTEGER) FROM seg""",
+)
+def serve_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crashes, establishments and counters as serving rows, stacked."""
+    segs = segments(spark, sf_dir).withColumns({"lat": F.col("y1"), "lon": F.col("x1"), "k": (F.col("vec_id") % 3).cast("int")})
+    text = F.col("vec_id").cast("string")
+    null = lambda kind: F.lit(None).cast(kind)
+    crashes = M.serve_crashes(
+        segs.select(
+            F.col("label").alias("anio"), null("int").alias("hora"), null("string").alias("cut_com"), F.col("k").alias("fallecidos"),
+            null("int").alias("graves"), F.concat(F.lit("colision con un vehiculo detenido "), text).alias("tipo_final"), "lat", "lon",
+        )
+    )
+    places = M.serve_places(
+        segs.select(
+            F.concat(F.lit("Liceo de nombre bastante largo que no cabe entero "), text).alias("nombre"), null("string").alias("cut_com"),
+            F.when(F.col("vec_id") % 2 == 0, "escolar").otherwise("superior").alias("clase"), null("double").alias("dist_existente_m"),
+            F.col("k").alias("matricula"), "lat", "lon",
+        )
+    )
+    day = F.lit("2024-05-06").cast("timestamp")
+    counters = M.serve_counters(
+        segs.select(
+            F.concat(F.lit("Contador "), text).alias("NOMBRE_CONTADOR"), F.col("label").alias("CUT_COM"), F.col("k").cast("double").alias("Media_diaria"),
+            *[null("double").alias(c) for c in ("Max_diaria", "Promedio_dia_de_semana", "Promedio_fin_de_semana", "Media_semanal")],
+            null("string").alias("PROVEEDOR"), day.alias("Primera_fecha_iso"), day.alias("Ultima_fecha_iso"), "lat", "lon",
+        )
+    )
+    at = [F.col("ll")[0].alias("lat"), F.col("ll")[1].alias("lon")]
+    parts = [
+        crashes.select(F.lit("siniestro").alias("capa"), F.col("a").alias("a"), "t", *at, F.col("f").alias("v")),
+        places.select(F.lit("establecimiento").alias("capa"), F.col("k").alias("a"), F.col("n").alias("t"), *at, F.col("m").alias("v")),
+        counters.select(F.lit("contador").alias("capa"), F.col("c").cast("int").alias("a"), F.col("n").alias("t"), *at, F.col("m").cast("int").alias("v")),
+    ]
+    return parts[0].union(parts[1]).union(parts[2])

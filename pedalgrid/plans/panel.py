@@ -303,7 +303,7 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     "manifest_upsert",
     """
 WITH o AS (SELECT p_brand AS slug, min(p_partkey) AS posicion, count(*) AS n FROM part GROUP BY 1),
-n AS (SELECT p_brand AS slug, min(p_partkey) AS posicion, count(*) AS n FROM part WHERE p_type IN ('ECONOMY', 'SMALL') AND p_size > 40 GROUP BY 1
+n AS (SELECT p_brand AS slug, max(p_partkey) AS posicion, 2 * count(*) AS n FROM part WHERE p_brand IN ('Brand#3', 'Brand#12') GROUP BY 1
       UNION ALL SELECT p_type, min(p_partkey), count(*) FROM part GROUP BY 1)
 SELECT o.slug, o.posicion, o.n FROM o WHERE o.slug NOT IN (SELECT slug FROM n)
 UNION ALL
@@ -314,10 +314,11 @@ def manifest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     entry = [F.min("p_partkey").alias("posicion"), F.count(F.lit(1)).alias("n")]
     old = part.groupBy(F.col("p_brand").alias("slug")).agg(*entry)
-    renewed = part.where(F.col("p_type").isin("ECONOMY", "SMALL") & (F.col("p_size") > 40))
+    # a partial refresh names the entries it renews
+    renewed = part.where(F.col("p_brand").isin("Brand#3", "Brand#12"))
     new = (
         renewed.groupBy(F.col("p_brand").alias("slug"))
-        .agg(*entry)
+        .agg(F.max("p_partkey").alias("posicion"), (2 * F.count(F.lit(1))).alias("n"))
         .union(part.groupBy(F.col("p_type").alias("slug")).agg(*entry))
     )
     return C.upsert(old, new).select("slug", "posicion", "n")

@@ -201,17 +201,15 @@ def hour_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "hour_dense",
     f"""
-WITH {TRIPS}, h AS (SELECT ciudad, hora, sum(f) AS f FROM b WHERE bici AND proposito = 'p1' AND periodo = 'punta' GROUP BY 1, 2)
+WITH {TRIPS}, h AS (SELECT ciudad, hora, sum(f) AS f FROM b WHERE bici GROUP BY 1, 2)
 SELECT c.ciudad, CAST(g.hora AS INTEGER) AS hora, round(coalesce(h.f, 0), 2) AS viajes
 FROM (SELECT DISTINCT ciudad FROM h) c CROSS JOIN (SELECT unnest(range(24)) AS hora) g LEFT JOIN h ON h.ciudad = c.ciudad AND h.hora = g.hora
 """,
 )
 def hour_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the walking rule is read from all trips, the profile from early p1 bike trips
     base = S.prepare(trips(spark, sf_dir))
     marked = S.mark_bike(base, S.walking_codes(base)).where("bici")
-    early = marked.where((F.col("proposito_agregado_h") == "p1") & (F.col("periodo") == "punta"))
-    profile = early.groupBy("ciudad", F.lit("hora").alias("dim"), trip_hour(F.col("hora_inicio")).cast("string").alias("valor")).agg(
+    profile = marked.groupBy("ciudad", F.lit("hora").alias("dim"), trip_hour(F.col("hora_inicio")).cast("string").alias("valor")).agg(
         F.sum("f").alias("viajes")
     )
     out = S.hour_rows(S.hour_vector(profile))
