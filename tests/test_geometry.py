@@ -326,3 +326,19 @@ def test_ends_of_lines_of_several_pieces(spark):
     got = {(r.id, r.x, r.y): r["class"] for r in X.endpoint_classes(pieces, "id", 1.0, ends).collect()}
     assert got == {(1, 0.0, 0.0): "none", (1, 20.0, 0.0): "endpoint", (2, 10.0, 0.5): "interior", (2, 10.0, 50.0): "none", (3, 20.0, 0.5): "endpoint", (3, 60.0, 80.0): "none"}
     assert X.endpoint_pieces(pieces, "id", ends).count() == 6
+
+
+def test_long_rings_and_pairs_grow_with_their_walls(spark):
+    n = 3000
+    ring = [(math.cos(2 * math.pi * i / n) * (1 + 0.1 * (i % 2)), math.sin(2 * math.pi * i / n) * (1 + 0.1 * (i % 2))) for i in range(n)]
+    twisted = list(ring)
+    twisted[700], twisted[702] = twisted[702], twisted[700]
+    rows = [(1, [*ring, ring[0]]), (2, [*twisted, twisted[0]])]
+    rings = spark.createDataFrame(rows, "id int, ring array<struct<x:double,y:double>>")
+    assert [r.id for r in P.crossed_rings(rings, "id", "ring").collect()] == [2]
+
+    shape = rings.where("id = 1").selectExpr(f"id AS l", f"array(named_struct('shell', ring, 'holes', cast(array() as array<array<{G.POINT_DDL}>>))) AS geom")
+    own = shape.selectExpr("l AS r", "geom AS rgeom")
+    area = abs(sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(ring, ring[1:] + ring[:1]))) / 2
+    got = P.overlay_area(shape, own, "l", "r", "geom", "rgeom").first()
+    assert got.area == pytest.approx(area, rel=1e-9)
