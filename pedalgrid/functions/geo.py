@@ -117,18 +117,6 @@ def map_line(line: Column, fn) -> Column:
     return F.transform(line, lambda part: F.transform(part, lambda p: fn(p["x"], p["y"])))
 
 
-def map_polygon(poly: Column, fn) -> Column:
-    def ring(r):
-        return F.transform(r, lambda p: fn(p["x"], p["y"]))
-
-    return F.transform(
-        poly,
-        lambda g: F.struct(
-            ring(g["shell"]).alias("shell"), F.transform(g["holes"], ring).alias("holes")
-        ),
-    )
-
-
 def round_swapped(part: Column, digits: int = 5) -> Column:
     """Display coordinates: (lat, lon), rounded."""
     return F.transform(

@@ -43,13 +43,6 @@ def point_pieces(df: DataFrame, x: str, y: str, keep: Sequence[str]) -> DataFram
     )
 
 
-def line_pieces_table(df: DataFrame, pieces: Column, keep: Sequence[str]) -> DataFrame:
-    """One row per straight piece of a line or ring column."""
-    return df.select(*keep, F.explode(pieces).alias("_p")).select(
-        *keep, *[F.col(f"_p.{c}").alias(c) for c in PIECE]
-    )
-
-
 def _gap2(lo_a, hi_a, lo_b, hi_b) -> Column:
     gap = F.greatest(F.lit(0.0), lo_a - hi_b, lo_b - hi_a)
     return gap * gap
