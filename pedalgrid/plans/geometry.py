@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import geo as G
 from ..operators import grids, nearest, panel, polygons, proximity as P
+from ..operators.panel_build import build_panel
 from .base import (
     NEAR,
     PT,
@@ -387,6 +388,13 @@ SELECT vec_id, round(CASE WHEN ins THEN 0 ELSE wall END, 4) AS dist, CASE WHEN i
 """,
 )
 def key_polygon_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shapes = _communes(spark, sf_dir)
+    out = polygons.own_polygon_distance(segments(spark, sf_dir), shapes, "vec_id", "label", "geom")
+    return out.select("vec_id", r4(F.col("dist")).alias("dist"), panel.conflict_flag(F.col("dist")).alias("discrepa"))
+
+
+def _communes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A star around the mean place of every label."""
     own = table(spark, sf_dir, "embeddings").groupBy("label").agg(
         F.avg(component(8) * 1000).alias("cx"),
         F.avg(component(9) * 1000).alias("cy"),
@@ -394,9 +402,60 @@ def key_polygon_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     ring = star(F.col("cx"), F.col("cy"), [F.col(f"r{j}") for j in range(CORNERS)])
     shell = F.struct(ring.alias("shell"), F.array().cast(f"array<array<{G.POINT_DDL}>>").alias("holes"))
-    shapes = own.select("label", F.array(shell).alias("geom"))
-    out = polygons.own_polygon_distance(segments(spark, sf_dir), shapes, "vec_id", "label", "geom")
-    return out.select("vec_id", r4(F.col("dist")).alias("dist"), panel.conflict_flag(F.col("dist")).alias("discrepa"))
+    return own.select("label", F.array(shell).alias("geom"))
+
+
+@query(
+    "panel_build",
+    f"""
+WITH {SEG}, c AS (SELECT label, avg(1000 * e[9]) AS cx, avg(1000 * e[10]) AS cy, [{', '.join(f'50 + 1000 * avg(abs(e[{11 + j}]))' for j in range(CORNERS))}] AS r
+  FROM (SELECT label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) GROUP BY 1),
+st AS (SELECT label, {_corner_sql()} FROM c),
+ed AS (SELECT label, xs[j + 1] AS x1, ys[j + 1] AS y1, xs[(j + 1) % 8 + 1] AS x2, ys[(j + 1) % 8 + 1] AS y2 FROM st, (SELECT unnest(range(8)) AS j)),
+k AS (SELECT *, vec_id % 7 = 0 AS lost, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM seg),
+d AS (SELECT p.vec_id, sqrt(min({sql_segment_segment('p', 'ed')})) AS wall, count(*) FILTER ({RAY.replace('p.x', 'p.x1').replace('p.y', 'p.y1')}) % 2 = 1 AS ins
+  FROM k p JOIN ed ON ed.label = p.label AND NOT p.lost GROUP BY 1),
+hit AS (SELECT vec_id, min(label) AS label FROM (SELECT p.vec_id, ed.label FROM k p JOIN ed ON {RAY} GROUP BY 1, 2 HAVING count(*) % 2 = 1) GROUP BY 1)
+SELECT CASE WHEN k.vec_id % 2 = 0 THEN 'a' ELSE 'b' END AS corte, CAST(k.vec_id AS VARCHAR) AS identifica, CASE WHEN k.vec_id % 2 = 0 THEN 'diseño' END AS etapa_det,
+  CASE WHEN x1 > 0 THEN 'existentes' ELSE 'diseño' END AS etapa, x1 > 0 AS existente, round(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)), 3) AS km,
+  round(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) / 1000, 6) AS km_geom, CASE WHEN NOT lost THEN lpad(CAST(k.label AS VARCHAR), 5, '0') END AS cut_com,
+  CASE WHEN lost THEN 'sin_resolver' WHEN k.vec_id % 3 = 0 THEN 'nombre' ELSE 'declarado' END AS cut_com_origen, CASE WHEN NOT lost THEN '00' END AS cut_reg, lost AS cut_reg_declarado_discrepa,
+  lpad(CAST(hit.label AS VARCHAR), 5, '0') AS cut_com_geo, round(CASE WHEN ins THEN 0 ELSE wall END, 3) AS dist_comuna_llave_m,
+  coalesce(CASE WHEN ins THEN FALSE ELSE wall > 500 END, FALSE) AS cut_com_discrepa_geo
+FROM k LEFT JOIN d USING (vec_id) LEFT JOIN hit USING (vec_id)
+""",
+)
+def panel_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshots that type and name their columns differently, made one panel."""
+    segs = segments(spark, sf_dir).withColumn("lost", F.col("vec_id") % 7 == 0)
+    mid = G.point((F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2)
+    line = F.array(F.array(G.point(F.col("x1"), F.col("y1")), mid, G.point(F.col("x2"), F.col("y2"))))
+    label = F.col("label").cast("string")
+    known = F.when(~F.col("lost") & (F.col("vec_id") % 3 != 0), F.concat(label, F.lit(".0"))).otherwise("99")
+    km = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    raw = segs.select(
+        F.col("vec_id"),
+        F.col("vec_id").cast("string").alias("IDENTIFICA"),
+        F.when(F.col("lost"), "nowhere").otherwise(F.concat(F.lit(" Común "), label)).alias("COMUNA"),
+        known.alias("CUT_COM"),
+        F.lit("0").alias("CUT_REG"),
+        km.alias("KM"),
+        F.when(F.col("x1") > 0, " Existentes").otherwise("Diseño").alias("ETAPA"),
+        line.alias("line"),
+    )
+    even, odd = raw.where(F.col("vec_id") % 2 == 0), raw.where(F.col("vec_id") % 2 == 1)
+    first = even.withColumns({"KM": F.col("KM").cast("string"), "ETAPA_DET": F.lit("diseño")})
+    second = odd.withColumn("CUT_COM", F.col("CUT_COM").cast("double"))
+    communes = _communes(spark, sf_dir)
+    master = communes.select(F.lpad(F.col("label").cast("string"), 5, "0").alias("cut"), F.concat(F.lit("comun "), F.col("label").cast("string")).alias("comuna"))
+    shapes = communes.select(F.lpad(F.col("label").cast("string"), 5, "0").alias("cut_com"), "geom")
+    parts = [panel.snapshot(first, "a", keep=["line"]), panel.snapshot(second, "b", keep=["line"])]
+    out = build_panel(parts, master, shapes)
+    rounded = {"km": F.round("km", 3), "km_geom": F.round("km_geom", 6), "dist_comuna_llave_m": r4(F.col("dist_comuna_llave_m"), 3)}
+    return out.withColumns(rounded).select(
+        "corte", "identifica", "etapa_det", "etapa", "existente", "km", "km_geom", "cut_com", "cut_com_origen", "cut_reg",
+        "cut_reg_declarado_discrepa", "cut_com_geo", "dist_comuna_llave_m", "cut_com_discrepa_geo",
+    )
 
 
 @query(
