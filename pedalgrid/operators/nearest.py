@@ -7,7 +7,9 @@ the box of what it holds. A query starts at the top and in each round is joined,
 by cell, to the children of the cells it still has to look at; a cell farther
 than the best guaranteed distance so far is dropped. Each round is an equi-join
 with a few dozen rows per cell at most, and leaves hold at most ``LEAF`` pieces,
-so neither dense cities nor far points blow up.
+so neither dense cities nor far points blow up. The one exception are different lines
+that lie over each other for much of their length: no cut tells them apart, so a leaf
+there grows with their number (16,000 of them made leaves of about 1,000 pieces).
 """
 
 from __future__ import annotations
