@@ -11,7 +11,7 @@ import sys
 import time
 
 from pedalgrid.plans import QUERIES
-from pedalgrid.session import local_session
+from pedalgrid.session import discard, local_session
 
 HEADLINE = [
     "coverage_curve",
@@ -64,6 +64,7 @@ def main() -> None:
             }
         )
     )
+    discard(spark)
     spark.stop()
 
 

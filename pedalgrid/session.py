@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+# folders of local sessions that name none, by application
+_OWN: dict[str, str] = {}
 
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -41,9 +43,11 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="pedalgrid-")
-    spark.conf.set(CHECKPOINT_KEY, made)
-    return made
+    # Spark does not let a running session set this key, so it is remembered here
+    run = spark.sparkContext.applicationId
+    if run not in _OWN:
+        _OWN[run] = tempfile.mkdtemp(prefix="pedalgrid-")
+    return _OWN[run]
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -67,3 +71,14 @@ def settle(df: DataFrame, wide: bool = False) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/pedalgrid/{run}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete what ``settle`` wrote in this application.
+
+    For after its last result was read or written: frames that read settled tables
+    cannot be run again.
+    """
+    path = f"{shared_folder(spark).rstrip('/')}/pedalgrid/{spark.sparkContext.applicationId}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
