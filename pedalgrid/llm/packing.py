@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import settle
 from .registry import query, table
-from .tokens import END, Encoder, vocabulary_path
+from .tokens import END, encoder, vocabulary_path
 
 SIZE = 1024
 STEPS = 2000
@@ -49,14 +49,14 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFr
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encode = encoder(vocabulary).encode
         seats: Counter[int] = Counter()
         end = np.array([END], "<u4")
         for batch in batches:
             rows: list[tuple] = []
             places: list[int] = []
             for k, text in enumerate(batch["text"].to_pylist()):
-                ids = np.concatenate([np.frombuffer(encoder.encode(text), np.uint16).astype("<u4"), end])
+                ids = np.concatenate([np.frombuffer(encode(text), np.uint16).astype("<u4"), end])
                 first = len(ids) % size or size
                 edges = [0, *range(first, len(ids) + 1, size)]
                 for i, (a, b) in enumerate(zip(edges, edges[1:])):

@@ -24,8 +24,10 @@ def whole(encoder, text):
 
 def test_pieces_equal_whole_texts(encoder):
     rnd = random.Random(2)
-    parts = ["the", "of", " ", "  ", "\n", "é", "x1", "!!", "don't", "\t", "語", "."]
-    for t in ODD + ["".join(rnd.choice(parts) for _ in range(30)) for _ in range(400)]:
+    parts = ["the", "of", " ", "  ", "\n", "é", "x1", "!!", "don't", "\t", "語", ".", "ß,", "ǅ", "ªº", "İ", "'s", "²", "\u0301", "🙂", "\x00", "\u200b"]
+    for t in ODD + ["".join(rnd.choice(parts) for _ in range(30)) for _ in range(400)] + [
+        " ".join(rnd.choice(parts[:2] + parts[5:]) + rnd.choice(["", ".", ",", "?!", "'re"]) for _ in range(12)) for _ in range(2000)
+    ]:
         assert encoder.encode(t) == encoder.whole(t), repr(t)
 
 
