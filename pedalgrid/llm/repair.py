@@ -6,7 +6,7 @@ sequence. As in Re-Pair, frequent pairs of neighbouring symbols are replaced by
 symbol, again and again, each round taking all pairs that are frequent enough
 while symbols last; a pair never spans two documents. A block stops when no pair
 occurs ``LEAST`` times, the symbols (16 bits) are used up, or a round saves under
-one part in a hundred.
+three parts in a hundred.
 
 File format, a Parquet row per block: ``shard, block`` (ranges in order, blocks in
 order), ``doc_ids``, ``ends`` (where each document's symbols end), ``sizes`` (its
@@ -32,13 +32,14 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import settle
 from .registry import query, table
-from .tokens import END, Encoder, vocabulary_path
+from .tokens import END, encoder, vocabulary_path
 
-BLOCK_IDS = 4_000_000
+BLOCK_IDS = 2_000_000
 BASE = 50_257
 LAST = 65_535  # stands for a document's end while a block is compressed
 LEAST = 24
 ROUNDS = 8
+SAVED = 0.97  # a round that leaves more than this part of the symbols is the last
 SLOTS = 20  # pairs are counted in 2^SLOTS places
 
 
@@ -48,8 +49,11 @@ def replace_pairs(seq: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
     first = LAST - room
     pair = (seq[:-1].astype(np.uint32) << 16) | seq[1:]
     place = (pair * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOTS)
-    inner = (seq[:-1] != LAST) & (seq[1:] != LAST)
-    count = np.bincount(place[inner], minlength=1 << SLOTS)
+    # a place belongs to the last pair written to it; others that fall there stay as they are
+    owner = np.zeros(1 << SLOTS, np.uint32)
+    owner[place] = pair
+    count = np.bincount(place.astype(np.intp), minlength=1 << SLOTS)
+    count[(owner >> 16 == LAST) | (owner & 0xFFFF == LAST)] = 0
     often = np.flatnonzero(count >= LEAST)
     # half the room a round: pairs of new symbols are worth more than rare old pairs
     most = max(min(room, 256), room // 2)
@@ -57,17 +61,14 @@ def replace_pairs(seq: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
         often = often[np.argpartition(count[often], -most)[-most:]]
     if not len(often):
         return seq, np.empty(0, np.uint32)
-    chosen = np.zeros(1 << SLOTS, bool)
-    chosen[often] = True
-    at = np.flatnonzero(chosen[place] & inner)
-    # a place holds the last pair written to it; others that fall there stay as they are
-    owner = np.zeros(1 << SLOTS, np.uint32)
-    owner[place[at]] = pair[at]
-    at = at[owner[place[at]] == pair[at]]
-    # of overlapping occurrences in a row every second one is taken
-    starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-    run = np.repeat(starts, np.diff(starts, append=len(at)))
-    at = at[(np.arange(len(at)) - run) % 2 == 0]
+    wanted = np.full(1 << SLOTS, LAST << 16 | LAST, np.uint32)
+    wanted[often] = owner[often]
+    found = (wanted[place] == pair) & (seq[:-1] != LAST)
+    # of overlapping occurrences in a row every second one is taken: odd distances from
+    # the last place that is none
+    here = np.arange(len(found), dtype=np.int32)
+    none = np.maximum.accumulate(np.where(found, np.int32(-1), here))
+    at = np.flatnonzero(found & ((here - none) & 1 == 1))
     symbol = np.zeros(1 << SLOTS, np.uint16)
     symbol[often] = first + np.arange(len(often))
     seq = seq.copy()
@@ -86,7 +87,7 @@ def compress(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             break
         shorter, new = replace_pairs(seq, room)
         pairs = np.concatenate([pairs, new])
-        done = len(shorter) > 0.99 * len(seq)
+        done = len(shorter) > SAVED * len(seq)
         seq = shorter
         if done:
             break
@@ -137,7 +138,7 @@ def encode_files(docs: DataFrame, path: str | None = None) -> DataFrame:
     )
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encode = encoder(vocabulary).encode
         ids: list[bytes] = []
         doc_ids: list = []
         shard = block = held = 0
@@ -165,7 +166,7 @@ def encode_files(docs: DataFrame, path: str | None = None) -> DataFrame:
             for i, doc_id, text in zip(*(batch[c].to_pylist() for c in ("shard", "doc_id", "text"))):
                 shard = i
                 doc_ids.append(doc_id)
-                ids.append(encoder.encode(text))
+                ids.append(encode(text))
                 held += len(ids[-1]) // 2 + 1
                 if held >= BLOCK_IDS:
                     yield made()
