@@ -51,3 +51,28 @@ def test_hole_of_a_shared_vertex(spark):
     g = spark.createDataFrame([([shell, hole],)], "rings array<array<array<double>>>").select(F.struct("rings").alias("g"))
     p = g.select(esri.esri_polygon(F.col("g")).alias("p")).first().p
     assert len(p) == 1 and len(p[0].holes) == 1
+
+
+def test_wkb_columns_equal_single_decoding():
+    import struct
+
+    from pedalgrid.sources import wkb
+
+    at = lambda *v: [{"x": float(x), "y": float(y)} for x, y in v]
+    ring = lambda k: at((0, 0), (k, 0), (k, k), (0, 0))
+    point = b"\x01" + struct.pack("<I2d", 1, 1.0, 2.0)
+    blobs = [
+        point,
+        wkb.encode_lines([at((1, 2), (3, 4))]),
+        b"\x01" + struct.pack("<II", 4, 1) + point,
+        wkb.encode_lines([at((1, 2), (3, 4)), at((5, 6), (7, 8), (9, 9))]),
+        wkb.encode_polygons([{"shell": ring(9), "holes": [ring(1), ring(2)]}]),
+        wkb.encode_polygons([{"shell": ring(9), "holes": []}, {"shell": ring(5), "holes": [ring(1)]}]),
+        b"\x01" + struct.pack("<II", 2, 0),
+        b"\x01" + struct.pack("<I2d", 1, float("nan"), float("nan")),
+    ]
+    columns = wkb.decoded(blobs)
+    for i, b in enumerate(blobs):
+        assert {n: c[i].as_py() for n, c in zip(wkb.DECODED.names, columns)} == wkb.decode(b)
+    assert wkb.decode(blobs[4])["polygon"] == [{"shell": ring(9), "holes": [ring(1), ring(2)]}]
+    assert all(len(c) == 0 for c in wkb.decoded([]))
