@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import alnum_key, strip_decimal
+from .wkb import read_wkb
 
+# Fixed value: the coordinate system of a GeoParquet column that states none.
+GEO_DEFAULT = {"id": {"authority": "OGC", "code": "CRS84"}}
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 
 
@@ -18,6 +22,36 @@ def parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None
     return df.select(*columns) if columns else df
 
 
+def declared_crs(spark: SparkSession, path: str, column: str = "geometry") -> str | None:
+    """Coordinate system that a GeoParquet table states for a column, as
+    ``AUTHORITY:CODE``, from one file's footer; the format's own default if it states
+    none, NULL if the file is plain Parquet."""
+    jvm = spark._jvm
+    first = jvm.org.apache.hadoop.fs.Path(spark.read.parquet(path).inputFiles()[0])
+    file = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(first, spark._jsc.hadoopConfiguration())
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(file)
+    try:
+        stated = reader.getFooter().getFileMetaData().getKeyValueMetaData().get("geo")
+    finally:
+        reader.close()
+    if stated is None:
+        return None
+    crs = json.loads(stated)["columns"].get(column, {}).get("crs", GEO_DEFAULT)
+    return f"{crs['id']['authority']}:{crs['id']['code']}" if crs and "id" in crs else None
+
+
+def geo_parquet(
+    spark: SparkSession, path: str, column: str = "geometry", crs: str | None = None, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """GeoParquet with its geometry decoded to ``kind, point, line, polygon``.
+
+    With ``crs`` the table must state that coordinate system.
+    """
+    if crs is not None and (found := declared_crs(spark, path, column)) != crs:
+        raise ValueError(f"{path}: coordinate system {found}, not {crs}")
+    return read_wkb(parquet(spark, path, None if columns is None else [*columns, column]), column)
+
+
 def pick_present(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
     """Those of the wanted columns the file has."""
     return df.select(*[c for c in wanted if c in df.columns])

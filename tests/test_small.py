@@ -76,3 +76,26 @@ def test_wkb_columns_equal_single_decoding():
         assert {n: c[i].as_py() for n, c in zip(wkb.DECODED.names, columns)} == wkb.decode(b)
     assert wkb.decode(blobs[4])["polygon"] == [{"shell": ring(9), "holes": [ring(1), ring(2)]}]
     assert all(len(c) == 0 for c in wkb.decoded([]))
+
+
+def test_geo_parquet(spark, tmp_path):
+    import struct
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    import pytest
+
+    def write(name, geo):
+        blob = b"\x01" + struct.pack("<I2d", 1, 5.0, 6.0)
+        t = pa.table({"id": [1, 2], "other": [0, 0], "geometry": pa.array([blob, None], pa.binary())})
+        (tmp_path / name).mkdir()
+        pq.write_table(t.replace_schema_metadata(geo and {"geo": json.dumps(geo)}), str(tmp_path / name / "a.parquet"))
+        return str(tmp_path / name)
+
+    metric = write("m", {"columns": {"geometry": {"crs": {"id": {"authority": "EPSG", "code": 32719}}}}})
+    plain, default = write("p", None), write("d", {"columns": {"geometry": {}}})
+    assert [readers.declared_crs(spark, p) for p in (metric, plain, default)] == ["EPSG:32719", None, "OGC:CRS84"]
+    row = readers.geo_parquet(spark, metric, crs="EPSG:32719", columns=["id"]).collect()
+    assert [(r.id, r.kind, r.point.y) for r in row] == [(1, "point", 6.0)] and "other" not in row[0].asDict()
+    with pytest.raises(ValueError, match="CRS84"):
+        readers.geo_parquet(spark, default, crs="EPSG:32719")
