@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import LEAST_SURVEYED, count_if, ratio
+from ..session import settle
 
 # A layer whose box leaves these longitudes/latitudes is suspect.
 LAYER_LON = (-110.0, -60.0)
@@ -23,7 +24,10 @@ def outside_domain(df: DataFrame, master: DataFrame, key: str) -> DataFrame:
 
 
 def require_domain(df: DataFrame, master: DataFrame, key: str) -> DataFrame:
-    """Pass ``df`` on, or stop with the most frequent offending keys."""
+    """Pass ``df`` on, or stop with the most frequent offending keys.
+
+    It is written out first, so that checking it and using it are one computation."""
+    df = settle(df)
     worst = outside_domain(df, master, key).groupBy(key).count().orderBy(F.desc("count"), key).limit(10)
     rows = worst.collect()
     if rows:
