@@ -101,35 +101,54 @@ def word_counts(words: Column, lang: Column) -> Column:
     return let(F.filter(F.transform(words, F.lower), lambda x: x.isin(*every)), counted)
 
 
+FEW_REPEATS = 64
+
+
 def repeated_words(words: Column) -> Column:
     """Words that lie in a window of three found at least twice in the text.
 
-    Windows are sorted by hash beside their place; equal neighbours mark the
-    repeated places, and sorted places give the covered length."""
-
-    def marked(g: Column) -> Column:
-        here = F.sequence(F.lit(0), F.size(g) - 1)
-        twice = F.filter(
-            here,
-            lambda i: ((i > 0) & (F.get(g, i - 1)["h"] == F.get(g, i)["h"]))
-            | ((i < F.size(g) - 1) & (F.get(g, i + 1)["h"] == F.get(g, i)["h"])),
-        )
-        return F.array_sort(F.transform(twice, lambda i: F.get(g, i)["i"]))
+    Windows are compared by hash. Most texts repeat none, and are done after one look
+    for doubles. Else the places of repeated windows are found, and sorted places
+    give the covered length: through the list of repeated hashes if it is short, else
+    by sorting all windows beside their places, so that no text costs more than a sort.
+    """
+
+    def some(h: Column) -> Column:
+        def places(doubles: Column) -> Column:
+            each = F.sequence(F.lit(0), F.size(h) - 1)
+            few = F.filter(each, lambda i: F.array_contains(doubles, F.get(h, i)))
+            return F.when(F.size(doubles) <= FEW_REPEATS, few).otherwise(many(h))
+
+        ranks = F.sequence(F.lit(1), F.size(h) - 1)
+        twice = lambda s: F.filter(ranks, lambda i: F.get(s, i) == F.get(s, i - 1))
+        doubles = let(F.sort_array(h), lambda s: F.array_distinct(F.transform(twice(s), lambda i: F.get(s, i))))
+        return let(let(doubles, places), covered)
+
+    def many(h: Column) -> Column:
+        def marked(g: Column) -> Column:
+            here = F.sequence(F.lit(0), F.size(g) - 1)
+            twice = F.filter(
+                here,
+                lambda i: ((i > 0) & (F.get(g, i - 1)["h"] == F.get(g, i)["h"]))
+                | ((i < F.size(g) - 1) & (F.get(g, i + 1)["h"] == F.get(g, i)["h"])),
+            )
+            return F.array_sort(F.transform(twice, lambda i: F.get(g, i)["i"]))
+
+        placed = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+        return let(F.array_sort(placed), marked)
 
     def covered(at: Column) -> Column:
-        end = F.lit(None).cast("int")
-        both = F.zip_with(at, F.slice(at, 2, F.greatest(F.size(at), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
-        return F.aggregate(both, F.lit(0), lambda a, x: a + F.coalesce(x, end, F.lit(3)))
+        after = F.slice(at, 2, F.greatest(F.size(at), F.lit(1)))
+        reach = F.zip_with(at, after, lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
+        return F.aggregate(reach, F.lit(0), lambda a, x: a + x)
 
     windows = F.transform(
         F.sequence(F.lit(0), F.size(words) - 3),
-        lambda i: F.struct(
-            F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"),
-            i.alias("i"),
-        ),
+        lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)),
     )
     return F.when(
-        F.size(words) >= 4, let(F.array_sort(windows), lambda g: let(marked(g), covered))
+        F.size(words) >= 4,
+        let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(some(h))),
     ).otherwise(0)
 
 
@@ -230,7 +249,48 @@ def judged(references: dict[str, tuple[list[float], list[float]]]) -> Column:
     return let(words_of(body), verdict)
 
 
-@query("op10_quality_rules")
+def _sql() -> str:
+    """The same in SQL; word windows are compared as text, not by hash."""
+    listed = " ".join(
+        f"WHEN '{code}' THEN [" + ", ".join(f"'{w}'" for w in words.split()) + "]" for code, words in COMMON_WORDS.items()
+    )
+    sums = lambda c, n: "[" + ", ".join(f"sum({c}[{i + 1}])" for i in range(n)) + "]"
+    most = max(len(words.split()) for words in COMMON_WORDS.values()) + 1
+
+    def jsd(counts: str, ref: str) -> str:
+        p, m = f"z[1] / list_sum({counts})", f"((z[1] / list_sum({counts}) + z[2]) / 2)"
+        part = f"(CASE WHEN z[1] > 0 THEN {p} / 2 * log2({p} / {m}) ELSE 0 END + CASE WHEN z[2] > 0 THEN z[2] / 2 * log2(z[2] / {m}) ELSE 0 END)"
+        return f"sqrt(greatest(list_sum(list_transform(list_zip({counts}, {ref}), lambda z: {part})), 0))"
+
+    return rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+r1 AS (SELECT *, regexp_replace(t, '[a-z]+', '', 'g') AS t1 FROM d),
+r2 AS (SELECT *, regexp_replace(t1, '[\x20\x09-\x0D]+', '', 'g') AS t2 FROM r1),
+r3 AS (SELECT *, regexp_replace(t2, '[A-Z]+', '', 'g') AS t3 FROM r2),
+r4 AS (SELECT *, regexp_replace(t3, '\p{{L}}+', '', 'g') AS t4 FROM r3),
+r5 AS (SELECT *, regexp_replace(t4, '\p{{N}}+', '', 'g') AS t5 FROM r4),
+r6 AS (SELECT *, regexp_replace(t5, '[.,;:?''"()-]+', '', 'g') AS t6, CASE lang {listed} END AS known FROM r5),
+n AS (SELECT doc_id, lang, t, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+        [length(t) - length(t1), length(t1) - length(t2), length(t2) - length(t3), length(t3) - length(t4), length(t4) - length(t5), length(t5) - length(t6), length(t6)]::DOUBLE[] AS c,
+        list_transform(known, lambda k: len(list_filter(w, lambda x: lower(x) = k)))::DOUBLE[] AS kw FROM r6),
+h AS (SELECT *, CASE WHEN kw IS NOT NULL THEN list_append(kw, n_words - list_sum(kw)) END AS kc FROM n),
+ref AS (SELECT lang, {sums('c', N_CLASSES)} AS rc, {sums('kc', most)} AS rk FROM h WHERE kc IS NOT NULL AND n_words >= {MIN_WORDS} GROUP BY 1),
+q AS (SELECT lang, list_transform(rc, lambda x: x / list_sum(rc)) AS rc, list_transform(rk, lambda x: x / list_sum(rk)) AS rk FROM ref),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+rep AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM g WHERE c > 1) GROUP BY 1),
+v AS (SELECT h.doc_id, n_words, word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS said, coalesce(rep.n, 0) AS n_repeat_words,
+        CASE WHEN word_chars >= {MIN_CHARS} AND q.lang IS NOT NULL THEN {jsd('c', 'q.rc')} END AS far_c,
+        CASE WHEN n_words >= {MIN_WORDS} AND q.lang IS NOT NULL THEN {jsd('kc', 'q.rk')} END AS far_w
+      FROM h LEFT JOIN q ON q.lang = h.lang LEFT JOIN rep ON rep.doc_id = h.doc_id)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, CAST(len(said) - len(list_distinct(said)) AS BIGINT) AS n_dup_lines, n_repeat_words,
+       n_words < {BASE_MIN_WORDS} OR 100 * n_repeat_words > {BASE_MAX_REPEATED} * n_words AS base_failed,
+       NOT (n_words < {BASE_MIN_WORDS} OR 100 * n_repeat_words > {BASE_MAX_REPEATED} * n_words)
+         AND coalesce(far_c, 0) <= {MAX_CLASS_DISTANCE} AND coalesce(far_w, 0) <= {MAX_WORD_DISTANCE} AS kept,
+       round(far_c, 4) AS class_distance, round(far_w, 4) AS word_distance FROM v"""
+
+
+@query("op10_quality_rules", _sql())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return docs.select("doc_id", judged(fit(docs)).alias("r")).select("doc_id", "r.*")
