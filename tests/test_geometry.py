@@ -329,7 +329,7 @@ def test_ends_of_lines_of_several_pieces(spark):
 
 
 def test_long_rings_and_pairs_grow_with_their_walls(spark):
-    n = 3000
+    n = 1200
     ring = [(math.cos(2 * math.pi * i / n) * (1 + 0.1 * (i % 2)), math.sin(2 * math.pi * i / n) * (1 + 0.1 * (i % 2))) for i in range(n)]
     twisted = list(ring)
     twisted[700], twisted[702] = twisted[702], twisted[700]

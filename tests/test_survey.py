@@ -37,7 +37,8 @@ def test_inseparable_city_and_ties(spark):
     # equal weights: the smaller code walks; a missing code is a code of its own
     assert out["B"].cod_caminata == "1" and out["B"].cod_bici == "2, nan"
     assert not out["C"].separable and out["C"].nomot_pct is None
-    assert "D" not in out  # no weight at all
+    # no weight at all: the city is listed, and nothing can be told apart
+    assert not out["D"].separable and out["D"].viajes_exp == 0 and out["D"].bici_pct is None
 
 
 def trips(spark):
