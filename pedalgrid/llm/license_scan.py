@@ -200,9 +200,14 @@ def train(lines: list[str], rounds: int = ROUNDS) -> Model:
 
 
 def sample_lines(docs: DataFrame, most: int = MOST_LINES) -> list[str]:
-    """At most ``most`` lines of the corpus, in the order of a hash of their text."""
+    """At most ``most`` lines of the corpus, in the order of a hash of their text.
+
+    Only hashes of one residue are put in order, of as many as there are documents for
+    each line wanted, so that tasks return a few lines each however many there are."""
+    share = max(1, docs.count() // max(most, 1))
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where("length(trim(line)) > 0")
-    return [r["line"] for r in lines.orderBy(F.xxhash64("line"), "line").limit(most).collect()]
+    mixed = lines.withColumn("h", F.xxhash64("line")).where(F.pmod(F.col("h"), F.lit(share)) == 0)
+    return [r["line"] for r in mixed.orderBy("h", "line").limit(most).collect()]
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
