@@ -3,8 +3,9 @@
 A document's histogram of character classes and its histogram of common words
 are compared with its language's reference by Jensen-Shannon distance (base 2,
 square root, 0 to 1). References are the summed histograms of all documents of
-the language that are long enough. Everything happens inside a document's own
-row; the only shuffle carries one row of sums per language and task.
+the language that are long enough. A text is counted once, inside its own row, and the
+counts are written out; references and verdicts are made from them. The only shuffle
+carries one row of sums per language and task.
 
 Guards: a document under ``MIN_CHARS`` word characters has no class verdict, one
 under ``MIN_WORDS`` words no word verdict, and one whose language has no
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import settle
 from .registry import let, query, table
 
 # Twenty frequent function words per language.
@@ -175,78 +177,82 @@ def distance(counts: Column, reference: list[float]) -> Column:
     return let(total, lambda n: F.when(n > 0, of(n)))
 
 
-def fit(docs: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
+def counts(text: Column, lang: Column) -> Column:
+    """Struct of all that is counted in a text: ``n_words, word_chars, n_symbols,
+    n_dup_lines, n_repeat_words``, the histograms ``classes`` and ``common`` (NULL for a
+    language without a list)."""
+    body = F.coalesce(text, F.lit(""))
+
+    def of(w: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"),
+            F.regexp_count(body, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+            duplicate_lines(body).cast("long").alias("n_dup_lines"),
+            repeated_words(w).cast("long").alias("n_repeat_words"),
+            class_counts(body).alias("classes"),
+            word_counts(w, lang).alias("common"),
+        )
+
+    return let(words_of(body), of)
+
+
+References = dict[str, tuple[list[float], list[float]]]
+
+
+def fit(counted: DataFrame, lang: str, made: str) -> References:
     """Per listed language the shares of character classes and common words
     over all its documents of at least ``MIN_WORDS`` words."""
-    body = F.coalesce("text", F.lit(""))
     n_bins = {code: len(listed.split()) + 1 for code, listed in COMMON_WORDS.items()}
-    counted = (
-        docs.where(F.col("lang").isin(*COMMON_WORDS))
-        .select(
-            "lang",
-            let(
-                words_of(body),
-                lambda w: F.when(
-                    F.size(w) >= MIN_WORDS,
-                    F.struct(class_counts(body).alias("c"), word_counts(w, F.col("lang")).alias("w")),
-                ),
-            ).alias("n"),
-        )
-        .where(F.col("n").isNotNull())
-    )
-    sums = [F.sum(F.get("n.c", F.lit(i))).alias(f"c{i}") for i in range(N_CLASSES)]
-    sums += [F.sum(F.get("n.w", F.lit(i))).alias(f"w{i}") for i in range(max(n_bins.values()))]
+    n = F.col(made)
+    long = counted.where(F.col(lang).isin(*COMMON_WORDS) & (n["n_words"] >= MIN_WORDS))
+    sums = [F.sum(F.get(n["classes"], F.lit(i))).alias(f"c{i}") for i in range(N_CLASSES)]
+    sums += [F.sum(F.get(n["common"], F.lit(i))).alias(f"w{i}") for i in range(max(n_bins.values()))]
     shares = {}
-    for r in counted.groupBy("lang").agg(*sums).collect():  # a row per listed language
+    for r in long.groupBy(F.col(lang).alias("_lang")).agg(*sums).collect():  # a row per listed language
         c = [r[f"c{i}"] for i in range(N_CLASSES)]
-        w = [r[f"w{i}"] for i in range(n_bins[r["lang"]])]
-        shares[r["lang"]] = ([x / sum(c) for x in c], [x / sum(w) for x in w])
+        w = [r[f"w{i}"] for i in range(n_bins[r["_lang"]])]
+        shares[r["_lang"]] = ([x / sum(c) for x in c], [x / sum(w) for x in w])
     return shares
 
 
-def judged(references: dict[str, tuple[list[float], list[float]]]) -> Column:
-    """Struct of counts, distances and verdicts, from ``text`` and ``lang``."""
-    body, lang = F.coalesce("text", F.lit("")), F.col("lang")
+def verdict(n: Column, lang: Column, references: References) -> Column:
+    """Struct of the counts, the distances and the verdicts, from a struct of counts."""
 
-    def by_language(counts: Column, which: int) -> Column:
+    def by_language(histogram: Column, which: int) -> Column:
         far = F.lit(None).cast("double")
         for code, shares in sorted(references.items()):
-            far = F.when(lang == code, distance(counts, shares[which])).otherwise(far)
+            far = F.when(lang == code, distance(histogram, shares[which])).otherwise(far)
         return far
 
-    def verdict(w: Column) -> Column:
-        return let(
-            F.struct(
-                F.size(w).cast("long").alias("n_words"),
-                F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"),
-                repeated_words(w).cast("long").alias("n_repeat_words"),
-                F.when(F.size(w) >= MIN_WORDS, let(word_counts(w, lang), lambda c: by_language(c, 1))).alias("word_distance"),
-            ),
-            lambda s: let(
-                F.when(s["word_chars"] >= MIN_CHARS, let(class_counts(body), lambda c: by_language(c, 0))),
-                lambda far: let(
-                    (s["n_words"] < BASE_MIN_WORDS)
-                    | (100 * s["n_repeat_words"] > BASE_MAX_REPEATED * s["n_words"]),
-                    lambda failed: F.struct(
-                        s["n_words"].alias("n_words"),
-                        s["word_chars"].alias("word_chars"),
-                        F.regexp_count(body, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-                        duplicate_lines(body).cast("long").alias("n_dup_lines"),
-                        s["n_repeat_words"].alias("n_repeat_words"),
-                        failed.alias("base_failed"),
-                        (
-                            ~failed
-                            & (F.coalesce(far, F.lit(0.0)) <= MAX_CLASS_DISTANCE)
-                            & (F.coalesce(s["word_distance"], F.lit(0.0)) <= MAX_WORD_DISTANCE)
-                        ).alias("kept"),
-                        F.round(far, 4).alias("class_distance"),
-                        F.round(s["word_distance"], 4).alias("word_distance"),
-                    ),
-                ),
-            ),
-        )
+    failed = (n["n_words"] < BASE_MIN_WORDS) | (100 * n["n_repeat_words"] > BASE_MAX_REPEATED * n["n_words"])
+    far = F.struct(
+        F.when(n["word_chars"] >= MIN_CHARS, by_language(n["classes"], 0)).alias("c"),
+        F.when(n["n_words"] >= MIN_WORDS, by_language(n["common"], 1)).alias("w"),
+    )
+    return let(
+        far,
+        lambda d: F.struct(
+            *[n[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+            failed.alias("base_failed"),
+            (
+                ~failed
+                & (F.coalesce(d["c"], F.lit(0.0)) <= MAX_CLASS_DISTANCE)
+                & (F.coalesce(d["w"], F.lit(0.0)) <= MAX_WORD_DISTANCE)
+            ).alias("kept"),
+            F.round(d["c"], 4).alias("class_distance"),
+            F.round(d["w"], 4).alias("word_distance"),
+        ),
+    )
+
 
-    return let(words_of(body), verdict)
+def judge(docs: DataFrame, references: References | None = None) -> tuple[DataFrame, Column]:
+    """``docs`` with their counts, written out so that each text is read once, and the
+    verdict on them. The column of counts has a name that ``docs`` does not use."""
+    made = next(n for n in ("made" + "_" * i for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    counted = settle(docs.withColumn(made, counts(F.col("text"), F.col("lang"))))
+    shares = fit(counted, "lang", made) if references is None else references
+    return counted, verdict(F.col(made), F.col("lang"), shares)
 
 
 def _sql() -> str:
@@ -293,9 +299,13 @@ SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, CAS
 @query("op10_quality_rules", _sql())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return docs.select("doc_id", judged(fit(docs)).alias("r")).select("doc_id", "r.*")
+    # the text itself is not written again
+    numbers = docs.select("doc_id", "lang", counts(F.col("text"), F.col("lang")).alias("n"))
+    counted = settle(numbers)
+    return counted.select("doc_id", verdict(F.col("n"), F.col("lang"), fit(counted, "lang", "n")).alias("r")).select("doc_id", "r.*")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep, unchanged."""
-    return docs.where(judged(fit(docs))["kept"])
+    counted, rules = judge(docs)
+    return counted.where(rules["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])

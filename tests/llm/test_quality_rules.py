@@ -40,7 +40,8 @@ TEXTS = [
 
 def test_counts_equal_brute_force(spark, awkward):
     docs = as_docs(spark, TEXTS).unionByName(awkward)
-    rows = docs.select("text", Q.judged({}).alias("r")).select("text", "r.*").collect()
+    counted, rules = Q.judge(docs, {})
+    rows = counted.select("text", rules.alias("r")).select("text", "r.*").collect()
     assert len(rows) == len(TEXTS) + 12
     for r in rows:
         assert counts(r["text"]) == tuple(r[1:6]) + (r["base_failed"],), r["text"][:60] if r["text"] else r
