@@ -310,6 +310,49 @@ def conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: r4(F.col(c)) for c in ("reported", "allocated", "pct_kept")})
 
 
+_SIDES = f"""
+WITH {_box_sql('z', 20, 'vec_id AS zona, floor(abs(e[25]) * 10000) AS pob')},
+{_box_sql('s', 26, "vec_id AS fuente, CASE WHEN vec_id % 2 = 0 THEN 'c0' ELSE 'c1' END AS ciudad, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE floor(abs(e[31]) * 1000) END AS gen, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE floor(abs(e[32]) * 100) END AS n_gen, CASE WHEN vec_id % 5 = 0 THEN 0 ELSE floor(abs(e[33]) * 1000) END AS atr, CASE WHEN vec_id % 5 = 0 THEN 0 ELSE floor(abs(e[34]) * 100) END AS n_atr")},
+o AS (SELECT z.zona, z.pob, s.* EXCLUDE (x0, x1, y0, y1), greatest(0, least(z.x1, s.x1) - greatest(z.x0, s.x0)) * greatest(0, least(z.y1, s.y1) - greatest(z.y0, s.y0)) AS area,
+        (z.x1 - z.x0) * (z.y1 - z.y0) AS zarea FROM z CROSS JOIN s),
+q AS (SELECT *, pob * area / zarea AS peso FROM o WHERE area > 0),
+w AS (SELECT *, coalesce(peso / nullif(sum(peso) OVER (PARTITION BY fuente), 0), 0) AS w FROM q),
+m AS (SELECT zona, any_value(pob) AS pob, sum(gen * w) AS gen, sum(atr * w) AS atr, sum(n_gen * w) AS n_gen, sum(n_atr * w) AS n_atr, min(ciudad) AS ciudad FROM w GROUP BY 1)
+"""
+
+
+@query(
+    "survey_zone_mart",
+    _SIDES
+    + """SELECT zona, round(gen, 4) AS eod_bici_gen, round(atr, 4) AS eod_bici_atr, round(n_gen, 4) AS eod_n_gen, round(n_atr, 4) AS eod_n_atr, ciudad AS eod_ciudad,
+  round(1000 * gen / nullif(pob, 0), 4) AS egen_pc, round(gen - atr, 4) AS esaldo, round(n_gen, 4) AS en, round(least(n_gen, n_atr), 4) AS en_sal FROM m""",
+)
+def survey_zone_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trip sides put onto survey zones of two cities that share zone ids, reallocated to
+    census zones, merged where both cities reach, and measured."""
+    from ..operators.marts import merge_city_pieces, zone_measures
+
+    vid = F.col("vec_id")
+    zones = _boxes(spark, sf_dir, 20, [vid.alias("zona"), F.floor(F.abs(component(24)) * 10000).alias("pob")])
+    city = F.when(vid % 2 == 0, "c0").otherwise("c1").alias("ciudad")
+    shared = F.floor(vid / 2).cast("string").alias("zona")
+    shapes = _boxes(spark, sf_dir, 26, [city, shared])
+    e = table(spark, sf_dir, "embeddings")
+
+    def side(name: str, skip: int, at: int) -> DataFrame:
+        trips = [F.floor(F.abs(component(at)) * 1000).alias("viajes"), F.floor(F.abs(component(at + 1)) * 100).alias("n")]
+        return e.where(vid % skip != 0).select(city, F.lit(name).alias("lado"), shared, *trips)
+
+    sums = polygons.side_sums(shapes, side("origen", 3, 30).union(side("destino", 5, 32)))
+    values = ["gen", "atr", "n_gen", "n_atr"]
+    pieces = polygons.interpolate(zones, sums, "zona", ["ciudad", "zona"], "pob", values, label=["ciudad"])
+    merged = merge_city_pieces(pieces, "zona", values, "ciudad").join(zones.select("zona", "pob"), "zona")
+    names = {"gen": "eod_bici_gen", "atr": "eod_bici_atr", "n_gen": "eod_n_gen", "n_atr": "eod_n_atr", "ciudad": "eod_ciudad"}
+    out = zone_measures(merged.withColumnsRenamed(names), "eod_bici_gen", "eod_bici_atr", "eod_n_gen", "eod_n_atr", "pob")
+    rounded = [*list(names.values())[:4], "egen_pc", "esaldo", "en", "en_sal"]
+    return out.withColumns({c: r4(F.col(c)) for c in rounded}).drop("pob")
+
+
 def _metric_sql(lon: str, lat: str) -> tuple[str, str]:
     """UTM easting and northing in SQL, from the same series."""
     c = repr(G._CONFORMAL)
