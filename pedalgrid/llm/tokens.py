@@ -15,7 +15,7 @@ from __future__ import annotations
 import os
 from array import array
 from functools import cache
-from itertools import chain, islice
+from itertools import islice
 
 END = 2
 MOST_KEPT = 800_000
@@ -67,18 +67,19 @@ class Encoder:
         def whole(text: str) -> bytes:
             return array("H", encode(text, add_special_tokens=False).ids).tobytes()
 
-        def word(text: str) -> bytes:
-            written = text.encode().decode("latin-1").translate(letters)
-            return array("H", [t.id for t in merge(written)]).tobytes()
+        def word(text: str, lead: str = "") -> bytes:
+            if not text.isascii():
+                text = text.encode().decode("latin-1").translate(letters)
+            return array("H", [t.id for t in merge(lead + text)]).tobytes()
 
         def piece(text: str, lead: str = "") -> bytes:
             head = text.rstrip(CLOSING)
             if not head.isalpha():
                 return whole(lead + text)
             tail = text[len(head) :]
-            return word(lead + head) + (closing[tail] if tail else b"")
+            return word(head, blank if lead else "") + (closing[tail] if tail else b"")
 
-        closing = Pieces(word)
+        closing, blank = Pieces(word), letters[32]
         self.whole = whole
         self.first = Pieces(piece)  # at the start of a line
         self.later = Pieces(lambda text: piece(text, " "))  # after a blank, kept without it
@@ -88,16 +89,20 @@ class Encoder:
         """Ids of a text, without special tokens."""
         if not text:
             return b""
-        lines = [line.split(" ") for line in text.split("\n")]
-        # plain if only single blanks and line feeds part words: both ways to split agree
-        if text.split() != list(chain.from_iterable(lines)):
+        words = text.split()
+        gaps = len(words) - 1
+        # plain if blanks and line feeds part the words, one each, and nothing else does
+        if len(text) - sum(map(len, words)) != gaps or text.count(" ") + text.count("\n") != gaps:
             return self.whole(text)
         first, later, feed = self.first, self.later.__getitem__, self.feed
         out = []
-        for line in lines:
+        at = 0
+        for line in text.split("\n"):
+            end = at + line.count(" ") + 1
             out.append(feed)
-            out.append(first[line[0]])
-            out.extend(map(later, islice(line, 1, None)))
+            out.append(first[words[at]])
+            out.extend(map(later, words[at + 1 : end]))
+            at = end
         return b"".join(islice(out, 1, None))
 
 
