@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..operators.components import connected_components
 from ..operators.skew import attach
 from ..session import settle
+from .near_copies import components
 from .registry import query, table
 
 MAX_BITS = 4
@@ -146,10 +147,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, on
-    shingles of five words. Of rows with that same id one stays; documents without
-    an id are no one's copy and all stay."""
-    found = near_duplicates(docs, 5).where("doc_id <> component_id").select("doc_id").distinct()
+    """One document of each group of near copies, the one with the smallest doc_id:
+    Jaccard similarity of 0.8 or more on shingles of five words, through whatever
+    links. The 4 bits of ``op7`` would miss most of them, see ``near_copies``. Of rows
+    with that same id one stays; documents without an id are no one's copy and all stay."""
+    found = components(docs, 5)
+    least = found.groupBy("root").agg(F.min("doc_id").alias("least"))
+    found = found.join(least, "root").where("doc_id <> least").select("doc_id").distinct()
     kept = docs.join(found, "doc_id", "left_anti")
     once = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     return once.unionByName(kept.where("doc_id IS NULL"))
