@@ -147,13 +147,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id:
-    Jaccard similarity of 0.8 or more on shingles of five words, through whatever
-    links. The 4 bits of ``op7`` would miss most of them, see ``near_copies``. Of rows
-    with that same id one stays; documents without an id are no one's copy and all stay."""
+    """One document of each group of near copies: Jaccard similarity of 0.8 or more on
+    shingles of five words, through whatever links. The 4 bits of ``op7`` would miss
+    most of them, see ``near_copies``. Of rows with the same id and text one stays.
+    Rows are told apart by id and text: the one with the smallest id stays, a NULL id
+    before others, then by a hash of the text."""
     found = components(docs, 5)
-    least = found.groupBy("root").agg(F.min("doc_id").alias("least"))
-    found = found.join(least, "root").where("doc_id <> least").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_anti")
-    once = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return once.unionByName(kept.where("doc_id IS NULL"))
+    first = F.min(F.struct("doc_id", "t"))
+    keep = found.groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.t").alias("_text"))
+    same = docs["doc_id"].eqNullSafe(keep["_id"]) & F.xxhash64(docs["text"]).eqNullSafe(keep["_text"])
+    once = "_text" + "_" * max(map(len, docs.columns))
+    kept = docs.join(keep, same, "left_semi").withColumn(once, F.xxhash64("text"))
+    return kept.dropDuplicates(["doc_id", once]).drop(once)

@@ -44,3 +44,12 @@ def test_stage_equals_brute_force(spark, monkeypatch, crowded):
     kept = {r["doc_id"] for r in S.stage(spark, as_docs(spark, texts), "").collect()}
     assert kept == set(groups(texts))
 
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    docs = as_docs(spark, ["one two three four five six", "red green blue white black grey"])
+    rows = docs.unionByName(docs.withColumn("doc_id", docs["doc_id"] * 0 + 1)).unionByName(docs.selectExpr("CAST(NULL AS long) AS doc_id", *docs.columns[1:]))
+    other = as_docs(spark, {1: "a text of its own that shares an id", 2: "red green blue white black grey"})
+    kept = S.stage(spark, rows.unionByName(other), "").collect()
+    assert sorted(r["text"] for r in kept) == sorted(
+        ["one two three four five six", "red green blue white black grey", "a text of its own that shares an id"]
+    )
