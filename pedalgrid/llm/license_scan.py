@@ -15,7 +15,8 @@ All paragraphs of all documents are scored. The model is a table of n-grams that
 training lines hold, bounded by their number, and travels with the tasks.
 
 Defined cases: NULL or empty text has no paragraph and no licence; a document's family
-is that of its surest paragraph, equal ones by name; repeated rows are judged each on
+is that of its surest paragraph, equal ones by name, a bare rights or copyright notice only
+if no other is found; repeated rows are judged each on
 its own; an empty table gives no rows; a corpus without usable lines leaves templates
 alone to learn from; other columns are not read.
 """
@@ -67,9 +68,17 @@ TEMPLATES = {
         "Dedicated to the public domain under CC0 1.0 Universal",
         "To the extent possible under law, the author has waived all copyright and related rights to this work",
     ],
-    "all-rights-reserved": ["Copyright. All rights reserved", "No part of this publication may be reproduced without prior written permission"],
+    "all-rights-reserved": [
+        "Copyright. All rights reserved",
+        "All rights reserved",
+        "Copyright (c) 2024",
+        "Copyright 2024",
+        "No part of this publication may be reproduced without prior written permission",
+    ],
 }
 FAMILIES = tuple(sorted(TEMPLATES))
+# Licences of other families carry this notice too, so it counts where no other is found.
+NOTICE = "all-rights-reserved"
 NONE = len(FAMILIES)
 MOST_LINES = 1_500
 COPIES = 24
@@ -80,7 +89,8 @@ WORD = re.compile(r"\w+")
 
 
 def words_of(line: str) -> list[str]:
-    return WORD.findall(line.lower())
+    """Lower-case words; years are one word, whichever they are."""
+    return ["<year>" if len(w) == 4 and w.isdigit() and w[:2] in ("19", "20") else w for w in WORD.findall(line.lower())]
 
 
 def grams_of(words: list[str]) -> set:
@@ -219,7 +229,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
             out: list[tuple] = []
             for text in batch["text"].to_pylist():
                 found = shared.value.scan(text or "")
-                best = min(found, key=lambda x: (-x[1], x[0]), default=(None, None))
+                best = min(found, key=lambda x: (x[0] == NOTICE, -x[1], x[0]), default=(None, None))
                 out.append((*best, len(found)))
             family, p, n = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
