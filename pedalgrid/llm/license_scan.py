@@ -1,6 +1,10 @@
 """Licence paragraphs by a trained classifier, confirmed against templates.
 
-Paragraphs are lines. A multinomial logistic regression on sparse word n-grams (one
+Paragraphs are lines, and blocks of adjacent lines: licence texts are published with
+hard line ends, in comments too. A block ends at a line without words; marks of comments
+are no words. In a block the shortest stretch that holds ``ALIKE`` of a template's word
+pairs is judged like a line; it counts once for a family that no line of the block has.
+A multinomial logistic regression on sparse word n-grams (one
 and two words, each counted once) gives a paragraph's probability of every licence
 family and of "none". It is trained here: positives are the templates with words
 dropped, and with words of the corpus around them; negatives are lines of the
@@ -23,7 +27,9 @@ alone to learn from; other columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,6 +92,8 @@ ROUNDS = 150
 SURE = 0.5
 ALIKE = 0.75
 WORD = re.compile(r"\w+")
+# Words that mark comment lines; other marks hold no word characters.
+REMARK = re.compile(r"^\W*(?:rem|dnl)\b", re.IGNORECASE)
 
 
 def words_of(line: str) -> list[str]:
@@ -106,6 +114,27 @@ def alike(words: list[str], family: str) -> float:
     return max(len(p & have) / len(p) for p in PAIRS[family])
 
 
+def stretch(words: list[str], pairs: set) -> list[str] | None:
+    """The shortest stretch, the first of equals, with ``ALIKE`` of ``pairs``."""
+    places = [(i, p) for i, p in enumerate(zip(words, words[1:])) if p in pairs]
+    need = math.ceil(ALIKE * len(pairs))
+    if len({p for _, p in places}) < need:
+        return None
+    held: Counter = Counter()
+    best, first = None, 0
+    for i, p in places:
+        held[p] += 1
+        while len(held) >= need:
+            start, q = places[first]
+            if best is None or i - start < best[1] - best[0]:
+                best = start, i
+            held[q] -= 1
+            if not held[q]:
+                del held[q]
+            first += 1
+    return words[best[0] : best[1] + 2]
+
+
 class Model:
     """Weights by n-gram; ``index`` names the rows of ``weights``, the last is the bias."""
 
@@ -131,7 +160,9 @@ class Model:
 
     def judge(self, line: str) -> tuple[str, float] | None:
         """Family and probability of a line, if both tests agree."""
-        words = words_of(line)
+        return self.judge_words(words_of(line))
+
+    def judge_words(self, words: list[str]) -> tuple[str, float] | None:
         p = self.probabilities(words)
         k = int(p[:NONE].argmax())
         if p[k] >= SURE and alike(words, FAMILIES[k]) >= ALIKE:
@@ -139,11 +170,37 @@ class Model:
         return None
 
     def scan(self, text: str) -> list[tuple[str, float]]:
-        """What ``judge`` finds in the lines of a text."""
+        """What ``judge`` finds in the lines and blocks of a text."""
         if self.telling.isdisjoint(words_of(text)):
             return []
-        lines = (x for x in text.split("\n") if not self.telling.isdisjoint(words_of(x)))
-        return [found for found in map(self.judge, lines) if found]
+        out: list[tuple[str, float]] = []
+        lines: list[list[str]] = []
+        seen: set[str] = set()
+        for line in [*text.split("\n"), ""]:
+            words = words_of(REMARK.sub("", line))
+            if words:
+                lines.append(words)
+                found = None if self.telling.isdisjoint(words_of(line)) else self.judge(line)
+                if found:
+                    out.append(found)
+                    seen.add(found[0])
+                continue
+            if len(lines) > 1:
+                out += self.in_block([w for x in lines for w in x], seen)
+            lines, seen = [], set()
+        return out
+
+    def in_block(self, words: list[str], seen: set[str]) -> list[tuple[str, float]]:
+        """The surest stretch of each family that is not in ``seen``."""
+        if self.telling.isdisjoint(words):
+            return []
+        out = []
+        for family in FAMILIES:
+            if family not in seen:
+                parts = filter(None, (stretch(words, p) for p in PAIRS[family]))
+                found = [x for x in map(self.judge_words, parts) if x and x[0] == family]
+                out += [max(found, key=lambda x: x[1])] if found else []
+        return out
 
 
 def examples(lines: list[str]) -> tuple[list[list[str]], np.ndarray]:

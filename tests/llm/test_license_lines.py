@@ -23,6 +23,33 @@ def test_lines_that_are_no_literal_templates():
         assert m.scan(line) == [], line
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+
+def test_wrapped_texts_are_found():
+    m = model()
+    for family, text in (("mit", MIT), ("bsd", BSD), ("gpl-3.0", GPL)):
+        for mark in ("", " * ", "# ", "// ", "dnl "):
+            wrapped = "\n".join(mark + x for x in text.split("\n"))
+            for whole in (wrapped, f"w1 w2\n{mark}\n{wrapped}\n{mark}\nw3 w4 the", f"/*\n{wrapped}\n */\nw5 w6"):
+                assert [f for f, _ in m.scan(whole)] == [family], whole
+    # a blank line parts blocks
+    assert m.scan(BSD.replace("without\n", "without\n\n").replace("are\n", "are\n\n")) == []
+
+
+def test_a_line_counts_once():
+    assert [f for f, _ in model().scan("w1 w2\nReleased under the MIT License\nw3 w4")] == ["mit"]
+
+
 def test_a_notice_gives_way_to_a_licence(spark):
     text = "Copyright (c) 2024 Acme Inc. All rights reserved.\n\nReleased under the MIT License"
     docs = spark.createDataFrame([(1, text), (2, "All rights reserved.")], "doc_id long, text string")
