@@ -1,4 +1,4 @@
-"""Nearest-network distance as a descent through grid levels.
+"""Nearest-network distance, and the nearest objects, as a descent through grid levels.
 
 The network's straight pieces are put, by midpoint, into grid cells; a cell that
 holds too many is split in sixteen, its pieces cut to the size of the new cells,
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geo import piece_piece_d2
 from ..session import settle, spread
+from .skew import attach
 
 LEAF = 128
 DEEPEST = 16
@@ -90,15 +91,41 @@ def _box() -> list[Column]:
     ]
 
 
-def _build(network: DataFrame, by: list[str]):
+def _named_pieces(network: DataFrame, by: list[str], nid: str, k: int) -> DataFrame:
+    """Distinct pieces, each with the ``k`` smallest ids that have it."""
+    rows = network.select(*by, *PIECE, nid).na.drop(subset=[*PIECE, nid]).distinct()
+    order = Window.partitionBy(*by, *PIECE).orderBy(nid)
+    least = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+    return least.groupBy(*by, *PIECE).agg(F.sort_array(F.collect_list(nid)).alias("_ids"))
+
+
+def _picks(k: int, of=None) -> list[Column]:
+    """Up to ``2 * k`` ids out of a cell's: the smallest, the largest, and those that
+    come first in other orders. ``of`` gives them from the picks of smaller cells."""
+    if k == 1:
+        return []
+    low, high = (F.col("_ids")[0], F.element_at("_ids", -1)) if of is None else (F.col(of(0)), F.col(of(1)))
+    picked = [F.min(low), F.max(high)]
+    for j in range(2, 2 * k):
+        one = low if of is None else F.col(of(j))
+        picked.append(F.min_by(one, F.xxhash64(one, F.lit(j))))
+    return [c.alias(f"_pick{j}") for j, c in enumerate(picked)]
+
+
+def _build(network: DataFrame, by: list[str], nid: str | None = None, k: int = 1):
     """Cell tables from the top down, and the pieces of all leaf cells.
 
     A cell is named by a hash of its parent's name and its own place. Two cells
-    sharing a name would only be looked at together, never lost.
+    sharing a name would only be looked at together, never lost. With ``nid`` pieces
+    carry the ids that have them, and cells name some of theirs.
     """
     middle = {a: (F.col(f"{a}1") + F.col(f"{a}2")) / 2 for a in "xy"}
     length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    clean = settle(network.select(*by, *PIECE).na.drop(subset=PIECE).distinct())
+    if nid is None:
+        clean = settle(network.select(*by, *PIECE).na.drop(subset=PIECE).distinct())
+    else:
+        clean = settle(_named_pieces(network, by, nid, k))
+    named = [] if nid is None else ["_ids"]
     box = clean.agg(
         F.min(middle["x"]).alias("x"),
         F.min(middle["y"]).alias("y"),
@@ -133,7 +160,7 @@ def _build(network: DataFrame, by: list[str]):
         current = settle(pieces, wide=True)
         cells = settle(
             current.groupBy(*by, "_parent", "_cell")
-            .agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_mean"), *_box(), F.min("_ix").alias("_ix"), F.min("_iy").alias("_iy"))
+            .agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_mean"), *_box(), F.min("_ix").alias("_ix"), F.min("_iy").alias("_iy"), *_picks(k))
             .withColumn(
                 "_leaf",
                 (F.col("_n") <= LEAF) | F.lit(level >= DEEPEST) | (F.col("_mean") > FINEST * side / 4**level),
@@ -147,11 +174,11 @@ def _build(network: DataFrame, by: list[str]):
                     parent, name = name, child(name, lifted("x", up), lifted("y", up))
                 boxes = [F.min("_lox"), F.max("_hix"), F.min("_loy"), F.max("_hiy")]
                 whole = cells.groupBy(*by, parent.alias("_parent"), name.alias("_cell")).agg(
-                    *[b.alias(c) for b, c in zip(boxes, BOX)], F.lit(False).alias("_leaf")
+                    *[b.alias(c) for b, c in zip(boxes, BOX)], F.lit(False).alias("_leaf"), *_picks(k, "_pick{}".format)
                 )
                 tables.append(F.broadcast(whole) if at <= BROADCAST_LEVEL and not by else whole)
         # a leaf goes on as its own only child, so that all rounds look alike
-        here = cells.select(*by, "_parent", "_cell", "_leaf", *BOX)
+        here = cells.select(*by, "_parent", "_cell", "_leaf", *BOX, *[f"_pick{j}" for j in range(2 * k) if k > 1])
         tables.append(here if going is None else here.unionByName(going))
         going = tables[-1].where("_leaf").withColumn("_parent", F.col("_cell"))
         key = [*by, "_parent", "_cell"]
@@ -170,7 +197,7 @@ def _build(network: DataFrame, by: list[str]):
         )
     out = None
     for part in leaves:
-        part = part.select(*by, "_cell", *[F.col(c).alias(f"n{c}") for c in PIECE])
+        part = part.select(*by, "_cell", *named, *[F.col(c).alias(f"n{c}") for c in PIECE])
         out = part if out is None else out.union(part)
     return root, tables, out
 
@@ -230,3 +257,130 @@ def nearest_distance(
         .agg(F.sqrt(F.min(d2)).alias(name))
     )
     return out if within is None else out.where(F.col(name) <= within)
+
+
+def _kth_far(k: int, per_query) -> Column:
+    """Squared distance within which the cells seen hold ``k`` objects at least: every
+    object that a cell names is no farther than the cell's farthest corner."""
+    named = F.flatten(
+        F.transform(
+            F.collect_list(F.struct("_far", "_picks")).over(per_query),
+            lambda c: F.transform(c["_picks"], lambda i: F.struct(c["_far"].alias("far"), i.alias("id"))),
+        )
+    )
+    ids = F.transform(named, lambda p: p["id"])
+    nobody = F.filter(ids, lambda i: F.lit(False))
+    start = F.struct(nobody.alias("ids"), F.lit(float("inf")).alias("far"))
+
+    def more(seen: Column, p: Column) -> Column:
+        enough = (F.size(seen["ids"]) >= k) | F.array_contains(seen["ids"], p["id"])
+        return F.when(enough, seen).otherwise(
+            F.struct(F.array_append(seen["ids"], p["id"]).alias("ids"), p["far"].alias("far"))
+        )
+
+    return F.aggregate(
+        F.array_sort(named), start, more, lambda s: F.when(F.size(s["ids"]) >= k, s["far"]).otherwise(F.lit(float("inf")))
+    )
+
+
+def _asked_once(queries: DataFrame, qid: str, by: list[str]):
+    """Queries of one piece at the same place are asked as one: the pieces to ask for,
+    by ``_asked``, and the queries each of these stands for."""
+    pieces = queries.select(qid, *by, *PIECE).na.drop(subset=PIECE).distinct()
+    sizes = pieces.groupBy(qid).agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(c) for c in [*by, *PIECE]])
+    sizes = settle(sizes)
+    alone = sizes.where("_n = 1").drop("_n")
+    places = settle(alone.groupBy(*by, *PIECE).agg(F.min(qid).alias("_asked"), F.count(F.lit(1)).alias("_n")))
+    many = sizes.where("_n > 1").select(qid)
+    stands = attach(alone, places, [*by, *PIECE], "_n", alone.count()).select("_asked", qid)
+    stands = stands.union(many.select(F.col(qid).alias("_asked"), qid))
+    objects = pieces.join(many, qid, "left_semi").withColumnRenamed(qid, "_asked")
+    return places.select("_asked", *by, *PIECE).unionByName(objects), settle(stands)
+
+
+def nearest_rows(
+    queries: DataFrame,
+    network: DataFrame,
+    qid: str,
+    nid: str,
+    k: int = 1,
+    by: Sequence[str] = (),
+    within: float | None = None,
+    name: str = "dist",
+) -> DataFrame:
+    """``(qid, nid, dist, rank)``: the ``k`` nearest objects of the network for each
+    query, from rank 1; of equally far ones those with the smaller ids come first.
+
+    As ``nearest_distance``, and rows of the network that share a ``nid`` are one object
+    as well. A cell names up to ``2 * k`` of its objects, whatever it holds, so that a
+    query knows how far its ``k``-th can be. Of objects with the same piece the ``k``
+    with the smallest ids are looked at, which is all an answer can hold. Rows without
+    an id are left out.
+    """
+    by = list(by)
+    kind = network.schema[nid].dataType
+    built = _build(network, by, nid, k)
+    if built is None:
+        none = F.lit(None)
+        return queries.select(
+            qid, none.cast(kind).alias(nid), none.cast("double").alias(name), none.cast("int").alias("rank")
+        ).where(F.lit(False))
+    root, tables, leaves = built
+    cap = float("inf") if within is None else float(within) ** 2
+    asked, stands = _asked_once(queries, qid, by)
+    front = spread(asked, "_asked").withColumn("_parent", root).withColumn("_best", F.lit(cap))
+    per_query = Window.partitionBy("_asked")
+    lox, hix, loy, hiy = (F.col(c) for c in BOX)
+
+    def far(c: str, lo: Column, hi: Column) -> Column:
+        return F.greatest(F.abs(F.col(c) - lo), F.abs(F.col(c) - hi))
+
+    for round_, nodes in enumerate(tables):
+        picks = [c for c in nodes.columns if c.startswith("_pick")]
+        seen = front.join(nodes, [*by, "_parent"]).select(
+            "_asked",
+            *by,
+            *PIECE,
+            "_cell",
+            "_best",
+            (
+                _gap2(F.least("x1", "x2"), F.greatest("x1", "x2"), lox, hix)
+                + _gap2(F.least("y1", "y2"), F.greatest("y1", "y2"), loy, hiy)
+            ).alias("_least"),
+            _reach2(F.col("x1"), F.col("y1"), lox, hix, loy, hiy).alias("_reach"),
+            (far("x1", lox, hix) ** 2 + far("y1", loy, hiy) ** 2).alias("_far"),
+            *([F.array_distinct(F.array(*picks)).alias("_picks")] if picks else []),
+        )
+        if k == 1:
+            known = F.min("_reach").over(per_query)
+        else:
+            known = _kth_far(k, per_query)
+        front = (
+            seen.withColumn("_best", F.least("_best", known))
+            .where(F.col("_least") <= F.col("_best") * (1 + 1e-9))
+            .select("_asked", *by, *PIECE, "_best", F.col("_cell").alias("_parent"))
+        )
+        if round_ % 4 == 3 and round_ < len(tables) - 1:
+            front = settle(front)
+
+    d2 = piece_piece_d2([F.col(c) for c in PIECE], [F.col(f"n{c}") for c in PIECE])
+    met = (
+        front.join(leaves.withColumnRenamed("_cell", "_parent"), [*by, "_parent"])
+        .select("_asked", F.explode("_ids").alias("_id"), d2.alias("_d2"))
+        .groupBy("_asked", "_id")
+        .agg(F.min("_d2").alias("_d2"))
+    )
+    if within is not None:
+        met = met.where(F.sqrt("_d2") <= within)
+    nearest = (
+        met.withColumn("_r", F.row_number().over(Window.partitionBy("_asked").orderBy("_d2", "_id")))
+        .where(F.col("_r") <= k)
+        .groupBy("_asked")
+        .agg(F.sort_array(F.collect_list(F.struct("_d2", "_id"))).alias("_near"))
+    )
+    sizes = stands.groupBy("_asked").agg(F.count(F.lit(1)).alias("_n"))
+    return (
+        attach(stands, nearest.join(sizes, "_asked"), ["_asked"], "_n", stands.count())
+        .select(qid, F.posexplode("_near").alias("_r", "_o"))
+        .select(qid, F.col("_o._id").alias(nid), F.sqrt("_o._d2").alias(name), (F.col("_r") + 1).alias("rank"))
+    )

@@ -130,6 +130,45 @@ def tolerance_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+NEAREST = 3
+
+
+@query(
+    "nearest_segments",
+    f"""
+WITH {SEG}, {PT}, al AS (SELECT p.vec_id, s.vec_id AS segment, sqrt({sql_point_segment('p.x', 'p.y', 's')}) AS dist FROM pt p CROSS JOIN seg s),
+rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, segment) AS n FROM al)
+SELECT vec_id, CAST(n AS INT) AS rank, segment, round(dist, 4) AS dist FROM rk WHERE n <= {NEAREST}
+""",
+)
+def nearest_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = nearest.point_pieces(points(spark, sf_dir), "x", "y", ["vec_id"])
+    net = segments(spark, sf_dir).withColumnRenamed("vec_id", "segment")
+    out = nearest.nearest_rows(asked, net, "vec_id", "segment", NEAREST)
+    return out.select("vec_id", "rank", "segment", r4(F.col("dist")).alias("dist"))
+
+
+@query(
+    "site_components",
+    _components_sql(str(CHOSEN))
+    + f""", {PT}, cs AS (SELECT component, sum(km) AS km FROM lab GROUP BY 1),
+big AS (SELECT component FROM cs ORDER BY round(km, 6) DESC, component LIMIT 1),
+al AS (SELECT p.vec_id, l.component, sqrt({sql_point_segment('p.x', 'p.y', 's')}) AS dist, s.vec_id AS segment
+       FROM pt p CROSS JOIN seg s JOIN lab l ON l.vec_id = s.vec_id),
+own AS (SELECT vec_id, arg_min(component, (dist, segment)) AS component, min(dist) AS dist FROM al GROUP BY 1),
+far AS (SELECT vec_id, min(dist) AS dist_largest FROM al WHERE component = (SELECT component FROM big) GROUP BY 1)
+SELECT own.vec_id, own.component, round(own.dist, 4) AS dist, own.component = (SELECT component FROM big) AS on_largest,
+       round(far.dist_largest, 4) AS dist_largest FROM own JOIN far ON far.vec_id = own.vec_id
+""",
+)
+def site_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segs = segments(spark, sf_dir)
+    parts = P.network_components(segs, "vec_id", CHOSEN)
+    asked = nearest.point_pieces(points(spark, sf_dir), "x", "y", ["vec_id"])
+    out = P.site_components(asked, segs, parts, "vec_id", "vec_id")
+    return out.withColumns({c: r4(F.col(c)) for c in ("dist", "dist_largest")})
+
+
 _ENDS = f"""
 WITH {SEG}, en AS (SELECT vec_id, x1 AS x, y1 AS y FROM seg UNION ALL SELECT vec_id, x2, y2 FROM seg),
 cl AS (SELECT en.vec_id, en.x, en.y, CASE WHEN bool_or(least(pow(en.x - s.x1, 2) + pow(en.y - s.y1, 2), pow(en.x - s.x2, 2) + pow(en.y - s.y2, 2)) <= 25) THEN 'endpoint'

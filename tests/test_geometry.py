@@ -153,6 +153,76 @@ def test_sweep_is_monotone(spark, monkeypatch):
     assert sorted(map(tuple, own.collect())) == sorted(map(tuple, plain.collect()))
 
 
+def test_sweep_equals_separate_runs(spark, monkeypatch):
+    """One set of links for all tolerances, from calm cells or from crowded ones, with tasks
+    that pass their links on early."""
+    rng = np.random.default_rng(12)
+    far = network(12, 60).tolist()
+    spot = (rng.uniform(0, 30, (60, 2)) @ np.array([[1, 0, 1, 0], [0, 1, 0, 1]]) + rng.uniform(-2, 2, (60, 4))).tolist()
+    net = far + spot + spot[:15]
+    segs = pieces(spark, enumerate(net))
+    tols = (0.5, 2.5, 15)
+    want = {(t, i): c for t in tols for i, c in components_of(net, t).items()}
+    for crowded, held in ((256, 50_000), (5, 3)):
+        monkeypatch.setattr(X, "LEAST_HELD", held)
+        monkeypatch.setattr(X, "MOST_HELD", 4 * held)
+        links = X.links_by_tolerance(segs, "id", tols, crowded)
+        nodes = segs.select(F.explode(F.sequence(F.lit(0), F.lit(2))).alias("_k"), "id")
+        got = X.components_at(nodes, links, "id", range(3), "component").collect()
+        assert {(tols[r["_k"]], r["id"]): r["component"] for r in got} == want
+
+
+def test_spanning_links(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(a), int(b), int(k)) for a, b, k in zip(*rng.integers(0, 40, (2, 400)), rng.integers(0, 4, 400))]
+    links = spark.createDataFrame(rows, "src bigint, dst bigint, _k int")
+    few = X.spanning_links(links.coalesce(1)).collect()
+    assert len(few) < 40
+    nodes = spark.range(40).select(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("_k"), "id")
+    less = X.spanning_links(links.repartition(5))
+    a, b = (X.components_at(nodes, x, "id", range(4), "c").collect() for x in (links, less))
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def slow_nearest(asked, net, k):
+    """``(qid, nid, dist)`` by comparing all, objects by their nearest pieces."""
+    out = {}
+    for q, a in asked:
+        for n, b in net:
+            out[q, n] = min(out.get((q, n), np.inf), seg_to(a, b))
+    rows = []
+    for q in sorted({q for q, _ in asked}):
+        rows += [(q, n, d) for d, n in sorted((d, n) for (p, n), d in out.items() if p == q)[:k]]
+    return rows
+
+
+def test_nearest_rows(spark, monkeypatch):
+    monkeypatch.setattr(N, "LEAF", 8)
+    rng = np.random.default_rng(21)
+    net = [(int(rng.integers(0, 90)), r) for r in network(21, 260).tolist()]
+    net += [(500 + i, net[0][1]) for i in range(6)] + [(700 + i, net[3][1][2:] + net[3][1][:2]) for i in range(3)]
+    points = rng.uniform(-100, 1100, (40, 2))
+    asked = [(i, [x, y, x, y]) for i, (x, y) in enumerate(points.tolist())]
+    asked += [(100 + i, asked[0][1]) for i in range(30)] + [(i % 4 + 200, r) for i, r in enumerate(network(22, 12).tolist())]
+    mid = net[0][1]
+    asked.append((300, [(mid[0] + mid[2]) / 2, (mid[1] + mid[3]) / 2 + 1e-3] * 2))
+    q, n = pieces(spark, asked).withColumnRenamed("id", "q"), pieces(spark, net)
+    for k in (1, 3):
+        got = sorted(N.nearest_rows(q, n, "q", "id", k).collect(), key=lambda r: (r["q"], r["rank"]))
+        want = slow_nearest(asked, net, k)
+        assert [r["q"] for r in got] == [w[0] for w in want]
+        assert np.allclose([r["dist"] for r in got], [w[2] for w in want], atol=1e-7)
+        # ids may only differ between objects that are equally far but for rounding
+        dist = {(a, b): d for a, b, d in slow_nearest(asked, net, len(net))}
+        assert all(abs(dist[r["q"], r["id"]] - w[2]) < 1e-7 for r, w in zip(got, want))
+        assert [r["id"] for r in got if r["q"] < 130] == [w[1] for w in want if w[0] < 130]
+    keyed = N.nearest_rows(q.withColumn("g", F.col("q") % 3), n.withColumn("g", F.col("id") % 3), "q", "id", 2, by=["g"], within=200.0)
+    want = [r for g in range(3) for r in slow_nearest([a for a in asked if a[0] % 3 == g], [b for b in net if b[0] % 3 == g], 2)]
+    want = sorted((a, round(d, 6)) for a, _, d in want if d <= 200)
+    assert sorted((r["q"], round(r["dist"], 6)) for r in keyed.collect()) == want
+    assert N.nearest_rows(q, n.limit(0), "q", "id", 2).count() == 0
+
+
 def test_component_across_communes(spark):
     rows = [("a", 1), ("b", 1), ("c", 1), ("a", 2)]
     segs = spark.createDataFrame([(c, k, 1.0) for c, k in rows], "cut_com string, component int, km double")
@@ -342,3 +412,15 @@ def test_long_rings_and_pairs_grow_with_their_walls(spark):
     area = abs(sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(ring, ring[1:] + ring[:1]))) / 2
     got = P.overlay_area(shape, own, "l", "r", "geom", "rgeom").first()
     assert got.area == pytest.approx(area, rel=1e-9)
+
+
+def test_sites_and_components(spark):
+    segs = pieces(spark, [(1, (0, 0, 100, 0)), (2, (100, 1, 130, 1)), (7, (500, 0, 600, 0)), (8, (0, 50, 20, 50))])
+    named = segs.withColumn("id", F.concat(F.lit("l"), "id"))
+    parts = X.network_components(named, "id", 5)
+    sites = pieces(spark, [(1, (50, 20, 50, 20)), (2, (540, 9, 540, 9)), (3, (9, 41, 9, 41)), (4, (115, 1, 115, 1))], "site")
+    got = {r["site"]: tuple(r)[1:] for r in X.site_components(sites, named, parts, "site", "id").collect()}
+    assert got[1] == ("l1", 20.0, True, 20.0) and got[4] == ("l1", 0.0, True, 0.0) and got[3] == ("l8", 9.0, False, 41.0)
+    assert got[2][:3] == ("l7", 9.0, False) and got[2][3] == pytest.approx(math.hypot(410, 8))
+    none = X.site_components(sites, named.limit(0), parts, "site", "id")
+    assert none.count() == 0 and none.columns == ["site", "component", "dist", "on_largest", "dist_largest"]
