@@ -1,6 +1,7 @@
 import datetime
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from pedalgrid.llm import pseudonyms as P
@@ -42,8 +43,8 @@ PLAIN = [
 ]
 
 
-def run(spark, texts, **kw):
-    rows = as_docs(spark, texts).select("doc_id", P.rewritten(F.col("text"), **kw).alias("r")).select("doc_id", "r.*").collect()
+def run(spark, texts, key="a key", **kw):
+    rows = as_docs(spark, texts).select("doc_id", P.rewritten(F.col("text"), key, **kw).alias("r")).select("doc_id", "r.*").collect()
     return [(r["text"], r["n_pii"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
@@ -99,3 +100,56 @@ def test_stage(spark, awkward, nothing):
     assert P.stage(spark, nothing, "").count() == 0
     r = P.stage(spark, as_docs(spark, ["mail a.b@c.org"]), "").first()
     assert r["n_chars"] == len(r["text"])
+
+
+PARTS = {
+    "4111 1111 1111 1111 123": r"\d{4} \d{4} \d{4} \d{4} 123",
+    "4111111111111111 12/26": r"\d{16} 12/26",
+    "378282246310005 1234": r"\d{15} 1234",
+    "BE68 5390 0754 7034 BIC": r"BE\d\d \d{4} \d{4} \d{4} BIC",
+    "001-555-123-4567": r"001-\d{3}-\d{3}-\d{4}",
+    "123 555-123-4567": r"123 \d{3}-\d{3}-\d{4}",
+    "12/31/1999": r"(0[1-9]|1[0-2])/(1[3-9]|2\d|3[01])/\d{4}",
+    "07/25/1984": r"(0[1-9]|1[0-2])/(1[3-9]|2\d|3[01])/\d{4}",
+}
+
+
+def test_valid_parts_of_failed_readings(spark):
+    texts = [f"see {x}, and {x}." for x in PARTS]
+    out = run(spark, texts)
+    for (old, shape), (new, n) in zip(PARTS.items(), out):
+        one, two = re.fullmatch(r"see (.*), and (.*)\.", new).groups()
+        assert n == 2 and one == two and re.fullmatch(shape, one) and one != old, (old, new)
+    assert luhn(out[0][0][4:23]) and luhn(out[1][0][4:20]) and iban_ok(re.search(r"BE[\d ]{17}", out[3][0]).group())
+    assert [x for x, _ in run(spark, [x for x, _ in out], restore=True)] == texts
+    card = run(spark, ["4111 1111 1111 1111"])[0][0]
+    assert out[0][0].startswith(f"see {card} 123") and out[1][0].startswith(f"see {card.replace(' ', '')} 12")
+
+
+def test_month_first_dates_are_permuted(spark):
+    days = [datetime.date(1950, 1, 13) + datetime.timedelta(days=k) for k in range(400)]
+    texts = [d.strftime("%m/%d/%Y") for d in days if d.day > 12]
+    out = [x for x, _ in run(spark, texts)]
+    assert len(set(out)) == len(texts) and all(datetime.datetime.strptime(x, "%m/%d/%Y").day > 12 for x in out)
+    assert [x for x, _ in run(spark, out, restore=True)] == texts
+
+
+def test_long_runs(spark):
+    """A matcher that goes down a level per turn would end the executor here."""
+    n = 300_000
+    texts = ["." * n, "1" * n, "@" * n, "-" * n, "x@" + "a." * (n // 2) + "com", "1 " * (n // 2), "A1 " * (n // 3),
+             "a" * n + "@x.org", "x@" + "a" * n + ".org", "+1 " * (n // 3), "1." * (n // 2)]
+    assert all(len(new) == len(old) for old, (new, _) in zip(texts, run(spark, texts)))
+    assert run(spark, ["x@" + "a." * 100 + "com"])[0][1] == 1
+
+
+def test_the_key_is_wanted(spark):
+    with pytest.raises(TypeError):
+        P.rewritten(F.col("text"))
+    with pytest.warns(UserWarning):
+        assert P.session_key(spark) == P.TRIAL_KEY
+    spark.conf.set(P.KEY_SETTING, "own")
+    try:
+        assert P.session_key(spark) == "own"
+    finally:
+        spark.conf.unset(P.KEY_SETTING)
