@@ -132,13 +132,10 @@ def match(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
         .where("best IS NOT NULL")
         .groupBy("host", "path")
         .agg(F.max("best").alias("best"))
+        .select("host", "path", "best.rule", "best.verdict")
     )
-    return (
-        pages.drop("rule", "verdict")
-        .join(best, ["host", "path"], "left")
-        .withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce("best.verdict", F.lit(DEFAULT))})
-        .drop("best")
-    )
+    judged = pages.drop("rule", "verdict").join(best, ["host", "path"], "left")
+    return judged.withColumn("verdict", F.coalesce("verdict", F.lit(DEFAULT)))
 
 
 SQL = r"""

@@ -43,3 +43,11 @@ def test_conflict_and_empty_tables(spark):
     assert U.match(pages, rules).first()["verdict"] == "block"
     assert U.match(pages, rules.limit(0)).first()["verdict"] == U.DEFAULT
     assert U.match(pages.limit(0), rules).count() == 0
+
+
+def test_columns_with_inner_names(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/x", "b", "s", "k", 7), (2, None, "b", "s", "k", 7)], "page_id long, url string, best string, stack string, verdict string, size int")
+    rules = spark.createDataFrame([("a.com", "/", "block")], "host string, path string, verdict string")
+    rows = {r["page_id"]: r for r in U.match(pages, rules).collect()}
+    assert (rows[1]["best"], rows[1]["stack"], rows[1]["size"], rows[1]["verdict"]) == ("b", "s", 7, "block")
+    assert (rows[2]["rule"], rows[2]["verdict"]) == (None, U.DEFAULT)
