@@ -42,7 +42,7 @@ SHARE = 1.5
 MOST = 2
 # even, falling and rising weight; a source has the schedule of its place as well
 SCHEDULES = ((1.0, 1.0, 1.0), (2.0, 1.0, 0.5), (0.5, 1.0, 2.0))
-PER_BIN = 100_000
+PER_BIN = 5_000
 
 
 def n_words(text: Column) -> Column:
