@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import alnum_key, strip_decimal
+from .geojson import geojson_objects
 from .wkb import read_wkb
 
 # Fixed value: the coordinate system of a GeoParquet column that states none.
@@ -105,8 +106,7 @@ def city_folders(spark: SparkSession, root: str, file: str = "*.parquet") -> Dat
 
 # GeoJSON coordinates nest to a depth that depends on the geometry type, so they
 # are read as text and parsed once the type is known.
-_FEATURE = "struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
-_LINE = f"struct<type:string,features:array<{_FEATURE}>,{_FEATURE[7:-1]}>"
+_OBJECT = "type string, properties map<string,string>, geometry struct<type:string,coordinates:string>, _bad string"
 ZONE_NAMES = ("zona", "ZONA", "Zona")
 
 
@@ -135,53 +135,45 @@ def line_from_geojson(kind: Column, coordinates: Column) -> Column:
     return F.transform(many, _ring)
 
 
-def _parsed(raw: DataFrame) -> DataFrame:
-    """Features of texts that hold one feature or one collection each."""
-    file = F.regexp_extract("_path", r"([^/]+)\.[^./]+$", 1)
-    doc = F.from_json(F.regexp_replace("value", r",\s*$", ""), _LINE)
-    own = F.array(F.struct(F.col("_d.properties"), F.col("_d.geometry")))
-    found = F.when(F.col("_d.features").isNotNull(), F.col("_d.features")).when(F.col("_d.type") == "Feature", own)
-    return (
-        raw.select(file.alias("file"), "_path", doc.alias("_d"))
-        .select("file", "_path", F.explode(found).alias("_f"))
-        .select(
-            "file",
-            "_path",
-            F.col("_f.properties").alias("properties"),
-            F.col("_f.geometry.type").alias("kind"),
-            F.col("_f.geometry.coordinates").alias("coordinates"),
-        )
-    )
-
-
 def _geojson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Features with their file, and the files."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("_path"), "path")
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_path"), "value")
-    by_line = _parsed(lines)
-    # a feature a line is split over tasks; only files laid out otherwise are read whole
-    rest = files.join(by_line.select("_path").distinct(), "_path", "left_anti").collect()
-    if not rest:
-        return by_line, files
-    whole = spark.read.text([r["path"] for r in rest], wholetext=True)
-    return by_line.union(_parsed(whole.select(F.col("_metadata.file_path").alias("_path"), "value"))), files
+    """Features with their file, and the files with what is wrong in them."""
+    objects, ends = geojson_objects(spark, path)
+    file = F.regexp_extract("_path", r"([^/]+)\.[^./]+$", 1).alias("file")
+    doc = F.from_json("text", _OBJECT, {"columnNameOfCorruptRecord": "_bad"})
+    parsed = objects.select("_path", doc.alias("_d"))
+    # a collection's frame has neither the type nor a geometry
+    is_feature = (F.col("_d.type") == "Feature") | (F.col("_d.type").isNull() & F.col("_d.geometry").isNotNull())
+    features = parsed.where(is_feature & F.col("_d._bad").isNull()).select(
+        file,
+        "_path",
+        "_d.properties",
+        F.col("_d.geometry.type").alias("kind"),
+        F.col("_d.geometry.coordinates").alias("coordinates"),
+    )
+    bad = parsed.where(F.col("_d._bad").isNotNull()).select("_path", F.lit(True).alias("broken"))
+    broken = bad.unionByName(ends).groupBy("_path").agg(F.max("broken").alias("broken"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("_path"))
+    return features, files.join(broken, "_path", "left")
 
 
 def geojson_features(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, properties, kind, coordinates)``: a feature per line, with or without
-    a collection around them, or a collection over several lines. A file that does
-    not parse gives no rows instead of failing the scan."""
+    """``(file, properties, kind, coordinates)`` of files of any layout: features on their
+    own or in collections, on one line or many, mixed. What does not parse gives no rows
+    instead of failing the scan; ``unreadable_geojson`` lists its file."""
     return _geojson(spark, path)[0].drop("_path")
 
 
 def unreadable_geojson(spark: SparkSession, path: str, names: Sequence[str] = ()) -> DataFrame:
-    """``(file, reason)`` of files that give nothing: ``no_features``, or with
-    ``names`` given ``no_id`` (no feature has one of these properties)."""
+    """``(file, reason)`` of files that give nothing or not all: ``no_features``, ``broken``
+    (it ends too early, or a part of it does not parse), or with ``names`` given ``no_id``
+    (no feature has one of these properties). A file of no bytes is not seen by a scan."""
     features, files = _geojson(spark, path)
     name = F.regexp_extract("_path", r"([^/]+)\.[^./]+$", 1).alias("file")
     key = F.coalesce(*[F.try_element_at(F.col("properties"), F.lit(n)) for n in names]) if names else F.lit("")
     seen = features.groupBy("_path").agg(F.max(key.isNotNull()).alias("_named"))
-    reason = F.when(F.col("_named").isNull(), "no_features").when(~F.col("_named"), "no_id")
+    reason = (
+        F.when(F.col("_named").isNull(), "no_features").when(F.col("broken"), "broken").when(~F.col("_named"), "no_id")
+    )
     return files.join(seen, "_path", "left").select(name, reason.alias("reason")).where("reason IS NOT NULL")
 
 
