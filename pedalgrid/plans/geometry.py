@@ -552,6 +552,24 @@ def density_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.density(points(spark, sf_dir), "x", "y", 50, 0.5)
 
 
+BELL_SIDE, BELL_RADIUS = 50, 200
+_BELL = ", ".join(f"{{'d': {k - BELL_RADIUS // BELL_SIDE}, 'w': CAST({w!r} AS DOUBLE)}}" for k, w in enumerate(grids.kernel(BELL_SIDE, BELL_RADIUS)))
+
+
+@query(
+    "concentration_grid",
+    f"""
+WITH {PT}, c AS (SELECT CAST(floor(x / {BELL_SIDE}) AS BIGINT) AS cx, CAST(floor(y / {BELL_SIDE}) AS BIGINT) AS cy, count(*) AS n FROM pt GROUP BY 1, 2),
+k AS (SELECT unnest([{_BELL}], recursive := true))
+SELECT c.cx + a.d AS cx, c.cy + b.d AS cy, CAST(sum(CASE WHEN a.d = 0 AND b.d = 0 THEN n ELSE 0 END) AS BIGINT) AS n,
+       round(sum(n * a.w * b.w), 4) AS heat FROM c CROSS JOIN k a CROSS JOIN k b GROUP BY 1, 2
+""",
+)
+def concentration_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = grids.concentration(points(spark, sf_dir), "x", "y", BELL_SIDE, BELL_RADIUS)
+    return out.withColumn("heat", r4(F.col("heat")))
+
+
 @query(
     "coverage_cells",
     f"""

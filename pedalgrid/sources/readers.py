@@ -14,6 +14,8 @@ from .wkb import read_wkb
 
 # Fixed value: the coordinate system of a GeoParquet column that states none.
 GEO_DEFAULT = {"id": {"authority": "OGC", "code": "CRS84"}}
+# so many codes at most are listed in a scan's filter
+MOST_LISTED = 1000
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 
 
@@ -58,9 +60,17 @@ def pick_present(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
     return df.select(*[c for c in wanted if c in df.columns])
 
 
-def blocks_of_communes(blocks: DataFrame, communes: DataFrame, cut: str = "CUT", key: str = "cut_com") -> DataFrame:
-    """Only blocks of the given communes; a semi join prunes the scan at run time."""
-    return blocks.join(communes.select(F.col(key).cast("bigint").alias(cut)).distinct(), cut, "left_semi")
+def blocks_of_communes(
+    blocks: DataFrame, communes: DataFrame, cut: str = "CUT", key: str = "cut_com", listed: int = MOST_LISTED
+) -> DataFrame:
+    """Only blocks of the given communes. Up to ``listed`` communes become a filter that
+    the scan gets, so that it skips files and row groups by their statistics (see
+    ``write_clustered``); more are a semi join."""
+    codes = communes.select(F.col(key).cast("bigint").alias(cut)).distinct()
+    few = [r[0] for r in codes.limit(listed + 1).collect()]
+    if len(few) > listed:
+        return blocks.join(codes, cut, "left_semi")
+    return blocks.where(F.col(cut).isin(sorted(c for c in few if c is not None)))
 
 
 def optional(spark: SparkSession, path: str, schema: str, reader: str = "parquet") -> DataFrame:

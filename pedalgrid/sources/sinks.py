@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+# file that names the current version of a table; readers of the folder skip such names
+CURRENT = "_CURRENT"
+
 
 def write_table(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     """Overwrite a Parquet table. Never pass a frame that reads ``path``."""
@@ -19,15 +22,59 @@ def write_attributes(df: DataFrame, path: str, shapes: Sequence[str] = ("geometr
     write_table(df.drop(*shapes), path)
 
 
+def write_clustered(df: DataFrame, path: str, keys: Sequence[str], files: int | None = None) -> None:
+    """Overwrite a Parquet table whose files are ranges of ``keys``, sorted by them, so
+    that their statistics let a scan with a filter on the keys skip files and row groups."""
+    n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+
+
+def publish(spark: SparkSession, root: str, version: str) -> None:
+    """Name the version that readers of ``root`` get from now on. The name is written
+    beside the old one and moved over it, so a reader finds one or the other."""
+    jvm = spark._jvm
+    there = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{CURRENT}")
+    new = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{CURRENT}.{uuid.uuid4().hex}")
+    files = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(new, False)
+    out.write(bytearray(version.encode()))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(new, there, over)
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """Path of the published version, or None."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{CURRENT}")
+    files = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(there):
+        return None
+    read = files.open(there)
+    name = bytes(read.readAllBytes()).decode()
+    read.close()
+    return f"{root.rstrip('/')}/{name}"
+
+
+def read_current(spark: SparkSession, root: str) -> DataFrame:
+    path = current_version(spark, root)
+    if path is None:
+        raise FileNotFoundError(f"{root}: no version is published")
+    return spark.read.parquet(path)
+
+
 def enrich_table(df: DataFrame, root: str, derived: Sequence[str], add) -> str:
     """New version of a table with its derived columns recomputed.
 
     The old version is read, stripped of ``derived`` and passed to ``add``; the
-    result goes to a path of its own, so nothing is read and overwritten at once.
-    Returns that path.
+    result goes to a path of its own, so nothing is read and overwritten at once, and
+    becomes the current version once it is whole. Returns that path.
     """
-    path = f"{root.rstrip('/')}/version={uuid.uuid4().hex}"
+    name = f"version={uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}"
     add(df.drop(*derived)).write.parquet(path)
+    publish(df.sparkSession, root, name)
     return path
 
 

@@ -1,11 +1,13 @@
 """Operators that no registered query shows."""
 
 import json
+import math
 
+import pytest
 from pyspark.sql import functions as F
 
-from pedalgrid.operators import marts as M, quality as Q, ranks as R
-from pedalgrid.sources import esri, readers
+from pedalgrid.operators import grids, marts as M, quality as Q, ranks as R
+from pedalgrid.sources import esri, readers, sinks
 
 
 def test_average_rank(spark):
@@ -99,3 +101,57 @@ def test_geo_parquet(spark, tmp_path):
     assert [(r.id, r.kind, r.point.y) for r in row] == [(1, "point", 6.0)] and "other" not in row[0].asDict()
     with pytest.raises(ValueError, match="CRS84"):
         readers.geo_parquet(spark, default, crs="EPSG:32719")
+
+
+def test_scan_skips_files_of_other_communes(spark, tmp_path):
+    blocks = spark.range(4000).selectExpr("(id * 7919) % 40 AS CUT", "id AS block")
+    sinks.write_clustered(blocks, str(tmp_path / "b"), ["CUT", "block"], files=8)
+    table = spark.read.parquet(str(tmp_path / "b"))
+    ranges = table.groupBy(F.col("_metadata.file_name")).agg(F.min("CUT").alias("lo"), F.max("CUT").alias("hi")).orderBy("lo").collect()
+    assert len(ranges) == 8 and all(a["hi"] <= b["lo"] for a, b in zip(ranges, ranges[1:]))
+    wanted = spark.createDataFrame([("3",), ("17",), (None,), ("3",)], "cut_com string")
+    got = readers.blocks_of_communes(table, wanted)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(CUT, [" in plan
+    want = sorted(map(tuple, blocks.where("CUT IN (3, 17)").collect()))
+    assert sorted(map(tuple, got.collect())) == want
+    joined = readers.blocks_of_communes(table, wanted, listed=1)
+    assert sorted(map(tuple, joined.collect())) == want
+    assert readers.blocks_of_communes(table, wanted.limit(0)).count() == 0
+
+
+def test_readers_see_one_whole_version(spark, tmp_path):
+    root = str(tmp_path / "t")
+    assert sinks.current_version(spark, root) is None
+    with pytest.raises(FileNotFoundError):
+        sinks.read_current(spark, root)
+    first = sinks.enrich_table(spark.range(5).toDF("id"), root, ["twice"], lambda d: d.withColumn("twice", F.col("id") * 2))
+    assert sinks.current_version(spark, root) == first
+
+    def fails(d):
+        return d.withColumn("twice", F.when(F.col("id") > 3, F.raise_error(F.lit("no"))).otherwise(F.col("id")).cast("long"))
+
+    with pytest.raises(Exception):
+        sinks.enrich_table(sinks.read_current(spark, root), root, ["twice"], fails)
+    assert sinks.current_version(spark, root) == first
+    assert sorted(map(tuple, sinks.read_current(spark, root).collect())) == [(i, 2 * i) for i in range(5)]
+    second = sinks.enrich_table(sinks.read_current(spark, root), root, ["twice"], lambda d: d.withColumn("twice", F.col("id") * 3))
+    assert second != first and sinks.current_version(spark, root) == second
+    assert sinks.read_current(spark, root).agg(F.sum("twice")).first()[0] == 30
+
+
+def test_concentration_by_brute_force(spark):
+    rows = [(0.5, 0.5, 1), (0.7, 0.2, 1), (3.5, -1.5, 1), (40.0, 40.0, 2), (None, 1.0, 2)]
+    pts = spark.createDataFrame(rows, "x double, y double, g int")
+    got = {(r["g"], r["cx"], r["cy"]): (r["n"], r["heat"]) for r in grids.concentration(pts, "x", "y", 1, 3, ["g"]).collect()}
+    want = {}
+    for x, y, g in rows[:4]:
+        cx, cy = math.floor(x), math.floor(y)
+        for i in range(-3, 4):
+            for j in range(-3, 4):
+                n, h = want.get((g, cx + i, cy + j), (0, 0.0))
+                want[g, cx + i, cy + j] = n + (i == j == 0), h + math.exp(-0.5 * (i * i + j * j))
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == n and abs(got[k][1] - h) < 1e-9 for k, (n, h) in want.items())
+    with pytest.raises(ValueError):
+        grids.concentration(pts, "x", "y", 2, 1)
