@@ -4,7 +4,10 @@ A document becomes ``len(NAMES)`` transformed statistics of its whole text (logs
 sizes, square roots of shares). Per class the mean and covariance come from sums of
 products that Spark adds up, one row per class; on the driver the covariance is shrunk
 towards the pooled one (``POOLED``) and then towards a multiple of the identity
-(``ROUND``), and its Cholesky factor is kept. A score is the posterior of class 1 from the
+(``ROUND``), and its Cholesky factor is kept. Classes of few rows are shrunk more: a class
+of under twice as many rows as statistics keeps less of its own covariance, and the pooled
+one, where both have so few, gives way to the variances of all rows, drawn to their mean;
+one row a class is enough. A score is the posterior of class 1 from the
 difference of the two log densities, each a Mahalanobis distance found by multiplying
 with the inverse of the kept factor, and the log prior. A text far from both classes is
 not scored by the tails of two Gaussians: distances are cut at ``FAR``.
@@ -100,24 +103,35 @@ class Discriminant:
     def __init__(self, n: list[float], sums: list[np.ndarray], products: list[np.ndarray]):
         total = sum(n)
         self.prior = (n[1] / total) if total else 0.5
-        self.known = min(n) > len(NAMES)
+        self.known = min(n) >= 1
         if not self.known:
             return
         means = [s / k for s, k in zip(sums, n)]
         spread = [p / k - np.outer(m, m) for p, k, m in zip(products, n, means)]
         pooled = (n[0] * spread[0] + n[1] * spread[1]) / total
+        middle = sum(sums) / total
+        spans = np.maximum(sum(map(np.diag, products)) / total - middle**2, 0)
+        trust = self.trust(total - 2)
+        # few rows may agree in a statistic by chance, so each variance is drawn to their mean
+        pooled = trust * pooled + (1 - trust) * np.diag((spans + spans.mean()) / 2)
         # statistics are put on one scale before a covariance is rounded off
         self.scale = 1 / np.sqrt(np.maximum(np.diag(pooled), 1e-9))
         pooled = pooled * np.outer(self.scale, self.scale)
         self.means, self.inverse, self.log_size = [], [], []
-        for m, s in zip(means, spread):
-            c = (1 - POOLED) * s * np.outer(self.scale, self.scale) + POOLED * pooled
-            c = (1 - ROUND) * c + ROUND * np.trace(c) / len(c) * np.eye(len(c))
+        for k, m, s in zip(n, means, spread):
+            own = (1 - POOLED) * self.trust(k - 1)
+            c = own * s * np.outer(self.scale, self.scale) + (1 - own) * pooled
+            c = (1 - ROUND) * c + ROUND * max(np.trace(c) / len(c), 1e-6) * np.eye(len(c))
             factor = np.linalg.cholesky(c)
             self.means.append(m)
             self.inverse.append(np.linalg.inv(factor))
             self.log_size.append(np.log(np.diag(factor)).sum())
 
+    @staticmethod
+    def trust(free: float) -> float:
+        """Part of a covariance with that many degrees of freedom that is kept."""
+        return min(1.0, free / (2 * len(NAMES)))
+
     def score(self, x: np.ndarray) -> np.ndarray:
         if not self.known:
             return np.full(len(x), self.prior)

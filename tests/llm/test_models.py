@@ -28,6 +28,25 @@ def test_discriminant_equals_plain_densities():
     assert m.score(x) == pytest.approx(1 / (1 + np.exp(-odds)))
 
 
+@pytest.mark.parametrize("n", [(1, 1), (1, 40), (3, 2), (17, 17), (18, 18), (40, 40)])
+def test_few_rows_of_a_class_still_make_a_discriminant(n):
+    rng = np.random.default_rng(6)
+    p = len(M.NAMES)
+    a, b = rng.normal(0, 1, (n[0], p)), rng.normal(3, 1, (n[1], p))
+    a[:, 0] = b[:, 0] = 1  # a statistic that never differs
+    m = M.Discriminant([float(n[0]), float(n[1])], [a.sum(0), b.sum(0)], [a.T @ a, b.T @ b])
+    x, y = rng.normal(0, 1, (30, p)), rng.normal(3, 1, (30, p))
+    x[:, 0] = y[:, 0] = 1
+    assert (m.score(x) < 0.5).mean() > 0.9 and (m.score(y) > 0.5).mean() > 0.9
+
+
+def test_one_row_of_each_class_that_are_equal_gives_the_prior():
+    p = len(M.NAMES)
+    a = np.ones(p)
+    m = M.Discriminant([1.0, 1.0], [a, a], [np.outer(a, a)] * 2)
+    assert m.score(np.ones((1, p))) == pytest.approx(0.5)
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
     rows = {r["doc_id"]: r for r in M.scored(docs, labels).collect()}
