@@ -3,10 +3,9 @@
 Documents are put in ascending doc_id order, range by range, and encoded; each
 range is written as blocks of about ``BLOCK_IDS`` ids. A block is a grammar and its
 sequence. As in Re-Pair, frequent pairs of neighbouring symbols are replaced by a new
-symbol, again and again, each round taking all pairs that are frequent enough
-while symbols last; a pair never spans two documents. A block stops when no pair
-occurs ``LEAST`` times, the symbols (16 bits) are used up, or a round saves under
-three parts in a hundred.
+symbol, again and again, each round taking the most frequent pairs by exact counts and
+giving out a part of the symbols that are left; a pair never spans two documents. A block
+stops when no pair can be replaced twice or the symbols (16 bits) are used up.
 
 File format, a Parquet row per block: ``shard, block`` (ranges in order, blocks in
 order), ``doc_ids``, ``ends`` (where each document's symbols end), ``sizes`` (its
@@ -37,60 +36,71 @@ from .tokens import END, encoder, vocabulary_path
 BLOCK_IDS = 2_000_000
 BASE = 50_257
 LAST = 65_535  # stands for a document's end while a block is compressed
-LEAST = 24
-ROUNDS = 8
-SAVED = 0.97  # a round that leaves more than this part of the symbols is the last
-SLOTS = 20  # pairs are counted in 2^SLOTS places
-
-
-def replace_pairs(seq: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
-    """``seq`` with its frequent pairs replaced by symbols from ``LAST - room`` on,
-    and those pairs (32 bits, first symbol high)."""
-    first = LAST - room
-    pair = (seq[:-1].astype(np.uint32) << 16) | seq[1:]
-    place = (pair * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOTS)
-    # a place belongs to the last pair written to it; others that fall there stay as they are
-    owner = np.zeros(1 << SLOTS, np.uint32)
-    owner[place] = pair
-    count = np.bincount(place.astype(np.intp), minlength=1 << SLOTS)
-    count[(owner >> 16 == LAST) | (owner & 0xFFFF == LAST)] = 0
-    often = np.flatnonzero(count >= LEAST)
-    # half the room a round: pairs of new symbols are worth more than rare old pairs
-    most = max(min(room, 256), room // 2)
-    if len(often) > most:
-        often = often[np.argpartition(count[often], -most)[-most:]]
-    if not len(often):
-        return seq, np.empty(0, np.uint32)
+SHARE = 0.5  # of the symbols left, given out in one round
+SLOTS = 18  # chosen pairs are looked up in 2^SLOTS places
+MIXER = np.uint32(0x9E3779B1)
+
+
+def alternate(at: np.ndarray) -> np.ndarray:
+    """Of places that follow each other without a gap the first, third, fifth and so on."""
+    here = np.arange(len(at))
+    start = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) == 1, 0, here))
+    return (here - start) & 1 == 0
+
+
+def repeated(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that can be replaced twice or more, and how often each. Pairs of a
+    document's end do not count, nor does one of equal symbols that overlaps itself."""
+    same = np.flatnonzero((pair >> 16) == (pair & 0xFFFF))
+    ordered = np.sort(np.delete(pair, same[~alternate(same)]))
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)])
+    count = np.diff(first, append=len(ordered))
+    kinds = ordered[first]
+    good = (count > 1) & (kinds >> 16 != LAST) & (kinds & 0xFFFF != LAST)
+    return kinds[good], count[good]
+
+
+def replaced(seq: np.ndarray, pair: np.ndarray, chosen: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """``seq`` with the ``chosen`` pairs replaced by symbols from ``first`` on, and those
+    pairs; a pair that others leave fewer than two places gets no symbol."""
+    place = (pair * MIXER) >> np.uint32(32 - SLOTS)
+    at_place = (chosen * MIXER) >> np.uint32(32 - SLOTS)
+    # of chosen pairs of one place the first is taken, the others wait for the next round
+    _, taken = np.unique(at_place, return_index=True)
+    chosen, at_place = chosen[taken], at_place[taken]
     wanted = np.full(1 << SLOTS, LAST << 16 | LAST, np.uint32)
-    wanted[often] = owner[often]
-    found = (wanted[place] == pair) & (seq[:-1] != LAST)
-    # of overlapping occurrences in a row every second one is taken: odd distances from
-    # the last place that is none
-    here = np.arange(len(found), dtype=np.int32)
-    none = np.maximum.accumulate(np.where(found, np.int32(-1), here))
-    at = np.flatnonzero(found & ((here - none) & 1 == 1))
-    symbol = np.zeros(1 << SLOTS, np.uint16)
-    symbol[often] = first + np.arange(len(often))
+    wanted[at_place] = chosen
+    at = np.flatnonzero(wanted[place] == pair)
+    at = at[alternate(at) & (seq[at] != LAST)]
+    number = np.zeros(1 << SLOTS, np.int32)
+    number[at_place] = np.arange(len(chosen))
+    which = number[place[at]]
+    used = np.bincount(which, minlength=len(chosen)) > 1
+    at, which = at[used[which]], which[used[which]]
+    symbol = first + np.cumsum(used) - 1
     seq = seq.copy()
-    seq[at] = symbol[place[at]]
+    seq[at] = symbol[which]
     keep = np.ones(len(seq), bool)
     keep[at + 1] = False
-    return seq[keep], owner[often]
+    return seq[keep], chosen[used]
 
 
 def compress(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules of a block whose documents each end in ``LAST``."""
     pairs = np.empty(0, np.uint32)
-    for _ in range(ROUNDS):
-        room = LAST - BASE - len(pairs)
-        if room <= 0:
-            break
-        shorter, new = replace_pairs(seq, room)
-        pairs = np.concatenate([pairs, new])
-        done = len(shorter) > SAVED * len(seq)
-        seq = shorter
-        if done:
+    while (room := LAST - BASE - len(pairs)) > 0:
+        pair = (seq[:-1].astype(np.uint32) << 16) | seq[1:]
+        kinds, count = repeated(pair)
+        if not len(kinds):
             break
+        # part of the room a round: pairs of new symbols are worth more than rare old pairs
+        most = max(min(room, 256), int(room * SHARE))
+        best = kinds if len(kinds) <= most else kinds[np.argpartition(count, -most)[-most:]]
+        shorter, new = replaced(seq, pair, best, LAST - room)
+        if not len(new):
+            # the best pair alone has two places at least
+            shorter, new = replaced(seq, pair, kinds[[count.argmax()]], LAST - room)
+        seq, pairs = shorter, np.concatenate([pairs, new])
     return seq, pairs
 
 
@@ -147,6 +157,8 @@ def encode_files(docs: DataFrame, path: str | None = None) -> DataFrame:
             sizes = np.array([len(x) // 2 + 1 for x in ids], np.int64)
             end = np.array([LAST], np.uint16).tobytes()
             seq = np.frombuffer(b"".join(y for x in ids for y in (x, end)), np.uint16)
+            if (seq >= BASE).sum() != len(ids):
+                raise ValueError(f"the vocabulary has ids of {BASE} and more, where rules begin")
             symbols, pairs = compress(seq)
             at = np.flatnonzero(symbols == LAST)
             row = {
@@ -180,7 +192,8 @@ def encode_files(docs: DataFrame, path: str | None = None) -> DataFrame:
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     ordered = (
         docs.select("doc_id", "text")
-        .repartitionByRange(n, "doc_id")
+        # rows of one doc_id, NULL too, are split by how their texts begin
+        .repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64).asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
         .select(F.spark_partition_id().alias("shard"), "doc_id", "text")
     )

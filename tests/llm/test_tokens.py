@@ -44,6 +44,44 @@ def test_repair_round_trip():
         assert len(symbols) < 0.7 * n or n < 500 or kinds == 300
 
 
+def by_hand(seq):
+    """How often each pair can be replaced, from left to right, one document at a time."""
+    count = {}
+    for pair in set(zip(seq, seq[1:])):
+        at = n = 0
+        while at < len(seq) - 1:
+            hit = (seq[at], seq[at + 1]) == pair
+            n += hit
+            at += 1 + hit
+        if R.LAST not in pair and n > 1:
+            count[pair[0] << 16 | pair[1]] = n
+    return count
+
+
+def test_repair_counts_pairs_exactly_and_goes_on_to_the_end(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(R, "SLOTS", 3)  # crowded places must not lose a pair
+    for n, kinds in ((0, 1), (1, 1), (40, 1), (60, 2), (300, 4), (2000, 12)):
+        seq = rng.integers(0, kinds, n).astype(np.uint16)
+        seq[rng.random(n) < 0.05] = R.LAST
+        pair = (seq[:-1].astype(np.uint32) << 16) | seq[1:]
+        assert dict(zip(*(x.tolist() for x in R.repeated(pair)))) == by_hand(seq.tolist())
+        symbols, pairs = R.compress(seq)
+        assert by_hand(symbols.tolist()) == {}, "a pair still repeats though symbols are left"
+        lengths = R.rule_lengths(pairs)
+        assert np.array_equal(R.expand(symbols[symbols != R.LAST], pairs, lengths), seq[seq != R.LAST])
+
+
+def test_one_doc_id_with_most_rows(spark, encoder):
+    texts = [None, *(f"row {i} " * 20 for i in range(400)), "same", "same"]
+    docs = spark.createDataFrame([(None if i % 3 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    files = R.encode_files(docs)
+    assert files.count() > 1
+    rows = sorted(docs.collect(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    got = sorted(R.read_files(files).collect(), key=lambda r: r["start"])
+    assert [(r["doc_id"], r["ids_crc32"]) for r in got] == [(d, zlib.crc32(whole(encoder, t).tobytes())) for d, t in rows]
+
+
 def test_files(spark, encoder, awkward, nothing, monkeypatch):
     monkeypatch.setattr(R, "BLOCK_IDS", 3000)
     docs = awkward.unionByName(as_docs(spark, {100 + i: t for i, t in enumerate(ODD)}))
