@@ -13,7 +13,10 @@ corpus that hold under half of the word pairs of any template, a sample of at mo
 the lines is set aside to find the temperature that makes the probabilities of that
 part most likely, so "none" is calibrated and not just what is left. A family counts
 only if its probability is at least ``SURE`` and some template of that family has at
-least ``ALIKE`` of its word pairs in the paragraph.
+least ``ALIKE`` of its word pairs in the paragraph. Families of one kin (GNU, Creative Commons) are
+judged together, and the member counts whose deciding words (Lesser, Affero, versions,
+ShareAlike, NoDerivatives, NonCommercial) stand within ``NEAR`` words of the wording, and no
+other's; without such a member there is no licence. Licences of no listed family are learned as "none".
 
 All paragraphs of all documents are scored. The model is a table of n-grams that the
 training lines hold, bounded by their number, and travels with the tasks.
@@ -52,23 +55,72 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "SPDX-License-Identifier: MIT",
     ],
+    "isc": [
+        "Released under the ISC License",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "mpl-2.0": [
+        "Released under the Mozilla Public License 2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+        "SPDX-License-Identifier: MPL-2.0",
+    ],
+    "gpl-2.0": [
+        "This work is licensed under the GNU General Public License, version 2",
+        "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+    ],
     "gpl-3.0": [
         "This work is licensed under the GNU General Public License, version 3",
-        "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version",
+        "SPDX-License-Identifier: GPL-3.0-only",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
+    "lgpl-2.1": [
+        "This library is licensed under the GNU Lesser General Public License, version 2.1",
+        "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+    ],
+    "lgpl-3.0": [
+        "This library is licensed under the GNU Lesser General Public License, version 3",
+        "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+    ],
+    "agpl-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3",
+        "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Released under the BSD 3-Clause License",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
+    "bsd-2-clause": ["Released under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"],
+    "cc-by": [
+        "Licensed under CC BY 4.0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    ],
+    "cc-by-sa": [
+        "Licensed under CC BY-SA 4.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    ],
+    "cc-by-nd": [
+        "Licensed under CC BY-ND 4.0",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    ],
     "cc-by-nc": [
         "Licensed under CC BY-NC 4.0",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
     ],
-    "cc-by": [
-        "Licensed under CC BY 4.0",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "cc-by-nc-sa": [
+        "Licensed under CC BY-NC-SA 4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    ],
+    "cc-by-nc-nd": [
+        "Licensed under CC BY-NC-ND 4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
     ],
     "cc0": [
         "Dedicated to the public domain under CC0 1.0 Universal",
@@ -82,7 +134,56 @@ TEMPLATES = {
         "No part of this publication may be reproduced without prior written permission",
     ],
 }
+# Licences of no family above, learned as "none".
+UNLISTED = [
+    "Licensed under the Eclipse Public License 2.0",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "Released under the Artistic License 2.0",
+    "Distributed under the Boost Software License, Version 1.0",
+    "Released under the zlib License",
+    "Licensed under the European Union Public Licence 1.2",
+    "Licensed under the Open Database License",
+    "Licensed under the SIL Open Font License, Version 1.1",
+    "Released under the PostgreSQL License",
+    "Licensed under the Common Development and Distribution License",
+    "Licensed under the Microsoft Public License",
+    "Released under the Academic Free License, version 3.0",
+]
+# Families whose wordings differ in few words, and for each member the marks
+# (see ``marks_of``) that must be near its wording, and no others of the kin.
+KIN = {
+    "gnu": {
+        "gpl-2.0": {"2"},
+        "gpl-3.0": {"3"},
+        "lgpl-2.1": {"lesser", "2.1"},
+        "lgpl-3.0": {"lesser", "3"},
+        "agpl-3.0": {"affero", "3"},
+    },
+    "cc": {
+        "cc-by": set(),
+        "cc-by-sa": {"sa"},
+        "cc-by-nd": {"nd"},
+        "cc-by-nc": {"nc"},
+        "cc-by-nc-sa": {"nc", "sa"},
+        "cc-by-nc-nd": {"nc", "nd"},
+    },
+}
+# The other families that name a version or a number of clauses.
+OTHER_MARKS = {"apache-2.0": {"1", "1.1"}, "mpl-2.0": {"1", "1.1"}, "bsd": {"2-clause"}, "bsd-2-clause": {"3-clause", "4-clause"}}
+MARKS = {
+    "noncommercial": "nc", "sharealike": "sa", "noderivatives": "nd", "noderivs": "nd",
+    "lesser": "lesser", "lgpl": "lesser", "affero": "affero", "agpl": "affero",
+}
+TWO_WORDS = {("non", "commercial"): "nc", ("share", "alike"): "sa", ("no", "derivatives"): "nd", ("no", "derivs"): "nd", ("library", "general"): "lesser"}
+GNU_NAME = re.compile(r"(a|l)?gplv?(\d?)$")
+VERSION_AFTER = {"version", "v", "license", "licence", "gpl", "lgpl", "agpl", "mpl", "apache", "licenses"}
+# Before "copyright", these make it a noun of the sentence and no notice.
+OF_PROSE = {"in", "of", "the", "a", "an", "for", "and", "or", "no", "on", "their", "his", "her", "its", "under", "with", "without", "to", "by"}
+NEAR = 12  # words around a wording in which deciding words are looked for
 FAMILIES = tuple(sorted(TEMPLATES))
+KIN_OF = {f: k for k, members in KIN.items() for f in members}
+# a family's kin as rows of the model, itself alone if it has none
+RELATED = {f: [i for i, g in enumerate(FAMILIES) if f == g or (f in KIN_OF and KIN_OF[f] == KIN_OF.get(g))] for f in FAMILIES}
 # Licences of other families carry this notice too, so it counts where no other is found.
 NOTICE = "all-rights-reserved"
 NONE = len(FAMILIES)
@@ -114,8 +215,48 @@ def alike(words: list[str], family: str) -> float:
     return max(len(p & have) / len(p) for p in PAIRS[family])
 
 
-def stretch(words: list[str], pairs: set) -> list[str] | None:
-    """The shortest stretch, the first of equals, with ``ALIKE`` of ``pairs``."""
+def marks_of(words: list[str]) -> set[str]:
+    """What tells kin apart: restrictions of CC licences, names and versions of GNU ones,
+    numbers of clauses."""
+    out = {MARKS[w] for w in words if w in MARKS} | {TWO_WORDS[p] for p in zip(words, words[1:]) if p in TWO_WORDS}
+    chain = False  # short forms count in a row after "by"
+    for i, w in enumerate(words):
+        if chain and w in ("nc", "sa", "nd"):
+            out.add(w)
+        else:
+            chain = w == "by"
+        number = w
+        named = GNU_NAME.match(w)
+        if named:
+            out |= {{"a": "affero", "l": "lesser"}[named[1]]} if named[1] else set()
+            number = named[2]
+            known = bool(number)
+        else:
+            if len(w) == 2 and w[0] == "v":
+                number = w[1]
+            known = i > 0 and (words[i - 1] in VERSION_AFTER or bool(GNU_NAME.match(words[i - 1])) or number != w)
+        if known and number in ("1", "2", "3", "4"):
+            minor = words[i + 1] if i + 1 < len(words) else ""
+            out.add(f"{number}.1" if minor == "1" else number)
+        if w in ("clause", "clauses") and i and words[i - 1] in ("2", "3", "4", "two", "three", "four"):
+            out.add({"two": "2", "three": "3", "four": "4"}.get(words[i - 1], words[i - 1]) + "-clause")
+    return out
+
+
+def fits(family: str, words: list[str], start: int, end: int) -> bool:
+    """Whether the deciding words around the wording at ``start`` to ``end`` are those of
+    the family."""
+    if family == NOTICE:
+        return not (words[start] == "copyright" and start and words[start - 1] in OF_PROSE and end - start < 4)
+    have = marks_of(words[max(0, start - NEAR) : end + NEAR])
+    if family in KIN_OF:
+        members = KIN[KIN_OF[family]]
+        return have & set().union(*members.values()) == members[family]
+    return not have & OTHER_MARKS.get(family, set())
+
+
+def stretch(words: list[str], pairs: set) -> tuple[int, int] | None:
+    """Start and end of the shortest stretch, the first of equals, with ``ALIKE`` of ``pairs``."""
     places = [(i, p) for i, p in enumerate(zip(words, words[1:])) if p in pairs]
     need = math.ceil(ALIKE * len(pairs))
     if len({p for _, p in places}) < need:
@@ -132,7 +273,7 @@ def stretch(words: list[str], pairs: set) -> list[str] | None:
             if not held[q]:
                 del held[q]
             first += 1
-    return words[best[0] : best[1] + 2]
+    return best[0], best[1] + 2
 
 
 class Model:
@@ -162,11 +303,18 @@ class Model:
         """Family and probability of a line, if both tests agree."""
         return self.judge_words(words_of(line))
 
-    def judge_words(self, words: list[str]) -> tuple[str, float] | None:
+    def judge_words(self, words: list[str], around: list[str] | None = None, at: int = 0) -> tuple[str, float] | None:
+        """Family and probability of ``words``, which stand at ``at`` of ``around``. The model
+        names a family or its kin; of kin, the one whose deciding words are there counts."""
+        around = words if around is None else around
         p = self.probabilities(words)
-        k = int(p[:NONE].argmax())
-        if p[k] >= SURE and alike(words, FAMILIES[k]) >= ALIKE:
-            return FAMILIES[k], float(p[k])
+        kin = RELATED[FAMILIES[int(p[:NONE].argmax())]]
+        if p[kin].sum() < SURE:
+            return None
+        for k in sorted(kin, key=lambda i: -p[i]):
+            spans = filter(None, (stretch(words, x) for x in PAIRS[FAMILIES[k]]))
+            if any(fits(FAMILIES[k], around, at + a, at + b) for a, b in spans):
+                return FAMILIES[k], min(float(p[kin].sum()), 1.0)
         return None
 
     def scan(self, text: str) -> list[tuple[str, float]]:
@@ -197,8 +345,8 @@ class Model:
         out = []
         for family in FAMILIES:
             if family not in seen:
-                parts = filter(None, (stretch(words, p) for p in PAIRS[family]))
-                found = [x for x in map(self.judge_words, parts) if x and x[0] == family]
+                spans = filter(None, (stretch(words, p) for p in PAIRS[family]))
+                found = [x for x in (self.judge_words(words[a:b], words, a) for a, b in spans) if x and x[0] == family]
                 out += [max(found, key=lambda x: x[1])] if found else []
         return out
 
@@ -221,6 +369,12 @@ def examples(lines: list[str]) -> tuple[list[list[str]], np.ndarray]:
             for _ in range(COPIES // 2):
                 made.append([filler[i] for i in rng.integers(0, len(filler), 6)] + [words[int(rng.integers(len(words)))]])
                 kinds.append(NONE)
+    for words in map(words_of, UNLISTED):
+        for c in range(COPIES):
+            around = [filler[i] for i in rng.integers(0, len(filler), int(rng.integers(0, 9)) if c else 0)]
+            cut = int(rng.integers(0, len(around) + 1))
+            made.append(around[:cut] + words + around[cut:])
+            kinds.append(NONE)
     order = rng.permutation(len(made))
     return [made[i] for i in order], np.array(kinds)[order]
 
@@ -267,14 +421,15 @@ def train(lines: list[str], rounds: int = ROUNDS) -> Model:
 
 
 def sample_lines(docs: DataFrame, most: int = MOST_LINES) -> list[str]:
-    """At most ``most`` lines of the corpus, in the order of a hash of their text.
+    """At most ``most`` different lines of the corpus, in the order of a hash of their text.
 
-    Only hashes of one residue are put in order, of as many as there are documents for
-    each line wanted, so that tasks return a few lines each however many there are."""
-    share = max(1, docs.count() // max(most, 1))
+    Only hashes of one residue are put in order, of as many as there are different lines for
+    two wanted, so that tasks return a few lines each however many there are."""
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where("length(trim(line)) > 0")
-    mixed = lines.withColumn("h", F.xxhash64("line")).where(F.pmod(F.col("h"), F.lit(share)) == 0)
-    return [r["line"] for r in mixed.orderBy("h", "line").limit(most).collect()]
+    mixed = lines.withColumn("h", F.xxhash64("line"))
+    kinds = mixed.agg(F.approx_count_distinct("h")).first()[0]
+    part = mixed.where(F.pmod(F.col("h"), F.lit(max(1, kinds // max(2 * most, 1)))) == 0).distinct()
+    return [r["line"] for r in part.orderBy("h", "line").limit(most).collect()]
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
