@@ -284,10 +284,11 @@ class Model:
         # A line without any of a template's pairs chosen here misses too many of them to
         # be like it, so a text without the first word of any needs no second look. The
         # pairs whose word speaks most against "none" are chosen: prose seldom has them.
-        self.telling: set[str] = set()
+        self.telling_pairs: set[tuple[str, str]] = set()
         for pairs in (p for f in FAMILIES for p in PAIRS[f]):
             enough = int((1 - ALIKE) * len(pairs)) + 1
-            self.telling |= {a for a, _ in sorted(pairs, key=self.plainness)[:enough]}
+            self.telling_pairs.update(sorted(pairs, key=self.plainness)[:enough])
+        self.telling = {a for a, _ in self.telling_pairs}
 
     def plainness(self, pair: tuple[str, str]) -> tuple[float, str]:
         row = self.index.get(pair[0])
@@ -306,6 +307,8 @@ class Model:
     def judge_words(self, words: list[str], around: list[str] | None = None, at: int = 0) -> tuple[str, float] | None:
         """Family and probability of ``words``, which stand at ``at`` of ``around``. The model
         names a family or its kin; of kin, the one whose deciding words are there counts."""
+        if self.telling_pairs.isdisjoint(zip(words, words[1:])):
+            return None
         around = words if around is None else around
         p = self.probabilities(words)
         kin = RELATED[FAMILIES[int(p[:NONE].argmax())]]
@@ -340,7 +343,7 @@ class Model:
 
     def in_block(self, words: list[str], seen: set[str]) -> list[tuple[str, float]]:
         """The surest stretch of each family that is not in ``seen``."""
-        if self.telling.isdisjoint(words):
+        if self.telling_pairs.isdisjoint(zip(words, words[1:])):
             return []
         out = []
         for family in FAMILIES:
