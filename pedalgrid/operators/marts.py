@@ -308,6 +308,13 @@ def resolve_cities(cities: DataFrame, communes: DataFrame, city: str = "ciudad",
     return found, missing
 
 
+def display_names(rows: DataFrame, names: DataFrame, code: str, name: str, order: str) -> DataFrame:
+    """Rows with the first name of their code by ``order``; NULL where the code has none."""
+    one = names.where(F.col(code).isNotNull() & F.col(name).isNotNull())
+    one = one.groupBy(code).agg(F.min(F.struct(order, name))[name].alias(name))
+    return rows.join(one, code, "left")
+
+
 def listed_cities(spark: SparkSession, extra: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """``(ciudad, comunas)`` of the fixed list, plus cities read elsewhere."""
     cities = {**CITY_COMMUNES, **(extra or {})}

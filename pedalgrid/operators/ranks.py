@@ -17,6 +17,7 @@ from ..functions.numbers import finite
 from ..session import settle
 
 SLICES = 128
+# cuts made at a time; slices that stay too large are cut again
 MOST_SLICES = 4096
 # distinct values one task may be asked to sort
 PER_SLICE = 2_000_000
@@ -57,8 +58,8 @@ def _values(df: DataFrame, by: list[str], value: str, weight: str | None):
     return by, settle(kept.groupBy(*by, F.col(value).cast(kind).alias("_v")).agg(w.alias("_w")))
 
 
-def _sliced(values: DataFrame, by: list[str], slices: int, n: int):
-    """Values with their slice number, and the running bounds of each slice.
+def _cut(values: DataFrame, by: list[str], slices: int, n: int):
+    """Values with their slice number, and the total of each group.
 
     There are more slices the more values there are, were they all one group's.
 
@@ -93,10 +94,37 @@ def _sliced(values: DataFrame, by: list[str], slices: int, n: int):
         .withColumn("_slice", F.col("_at") + above(F.slice("_cuts", F.col("_at") + 1, F.lit(step))))
         .drop("_cuts", "_coarse", "_at")
     )
+    return keyed.withColumn("_slice", F.col("_slice").cast("bigint")), cuts.select(*by, "_total")
+
+
+def _cut_again(keyed: DataFrame, large: DataFrame, by: list[str], slices: int, n: int) -> DataFrame:
+    """``keyed`` with its ``large`` slices cut, of ``n`` values at most, in the order of values."""
+    keys = [*by, "_slice"]
+    apart = _same(keyed, large, keys).withColumnRenamed("_slice", "_outer")
+    finer, _ = _cut(apart, [*by, "_outer"], slices, n)
+    wide = F.lit(MOST_SLICES + 1).cast("bigint")
+    finer = finer.withColumn("_slice", F.col("_outer") * wide + F.col("_slice")).drop("_outer")
+    kept = _same(keyed, large, keys, "left_anti").withColumn("_slice", F.col("_slice") * wide)
+    return kept.unionByName(finer)
+
+
+def _sliced(values: DataFrame, by: list[str], slices: int, n: int):
+    """Values with their slice number, and the running bounds of each slice.
+
+    Slices of more than ``PER_SLICE`` values are cut again until there are none; values of a
+    group differ, so there is always a cut.
+    """
+    keyed, totals = _cut(values, by, slices, n)
+    while True:
+        sums = settle(keyed.groupBy(*by, "_slice").agg(F.sum("_w").alias("_sw"), F.count(F.lit(1)).alias("_n")))
+        large = sums.where(F.col("_n") > PER_SLICE)
+        most = large.agg(F.max("_n")).first()[0]
+        if most is None:
+            break
+        keyed = settle(_cut_again(keyed, large.select(*by, "_slice"), by, slices, most))
     order = Window.partitionBy(*by).orderBy("_slice")
-    sums = keyed.groupBy(*by, "_slice").agg(F.sum("_w").alias("_sw"))
     ends = (
-        _same(sums, cuts.select(*by, "_total"), by)
+        _same(sums.drop("_n"), totals, by)
         .withColumn("_end", F.sum("_sw").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_start", F.coalesce(F.lag("_end").over(order), F.lit(0)).cast(values.schema["_w"].dataType))
         .select(*by, "_slice", "_total", "_start", "_end")

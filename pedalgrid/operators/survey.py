@@ -204,6 +204,18 @@ def crosstab(trips: DataFrame, dims: Mapping[str, str] = CROSS_DIMENSIONS) -> Da
     )
 
 
+def hour_purpose(cross: DataFrame) -> DataFrame:
+    """The combined rows of a crosstab with hour and purpose as columns again; a purpose
+    keeps bars of its own."""
+    bar = F.locate("|", F.col("valor"))
+    return cross.where(F.col("dim") == "hora_prop").select(
+        *[c for c in CITY if c in cross.columns],
+        F.substr("valor", F.lit(1), bar - 1).cast("int").alias("hora"),
+        F.substr("valor", bar + 1).alias("proposito"),
+        *[c for c in cross.columns if c not in (*CITY, "dim", "valor")],
+    )
+
+
 def national_crosstab(cross: DataFrame) -> DataFrame:
     """The same table over all cities, its share recomputed from the sums."""
     return cross.groupBy("dim", "valor").agg(

@@ -285,7 +285,7 @@ def _zone_key(x: str, y: str):
     return F.concat(part(x), F.lit("/"), part(y)).alias("zona")
 
 
-def _zone_parts(spark: SparkSession, sf_dir: str):
+def _zone_parts(spark: SparkSession, sf_dir: str, scores: DataFrame | None = None):
     segs = segments(spark, sf_dir)
     p = points(spark, sf_dir)
     near = nearest.nearest_distance(nearest.point_pieces(p, "x", "y", ["vec_id"]), segs, "vec_id")
@@ -300,7 +300,7 @@ def _zone_parts(spark: SparkSession, sf_dir: str):
     survey = M.merge_city_pieces(pieces, "zona", ["eod_gen"], "eod_ciudad")
     # only zones with a network vertex have a shape
     shapes = segs.select(_zone_key("x1", "y1")).union(segs.select(_zone_key("x2", "y2"))).distinct()
-    return M.zone_mart(agg, shapes, crashes, survey=survey)
+    return M.zone_mart(agg, shapes, crashes, scores, survey)
 
 
 @query(
@@ -330,6 +330,32 @@ def zone_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "zone_scores",
+    _ZONE
+    + """, sc AS (SELECT CAST(CAST(floor(x2 / 100) AS BIGINT) AS VARCHAR) || '/' || CAST(CAST(floor(y2 / 100) AS BIGINT) AS VARCHAR) AS zona, max(label) AS nse FROM seg GROUP BY 1)
+SELECT zona, cut_com, CAST(pob AS DOUBLE) AS pob, manzanas, sin_bici, nse FROM m LEFT JOIN sc USING (zona)
+WHERE zona IN (SELECT zona FROM cr UNION SELECT zona FROM sv)""",
+)
+def zone_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = segments(spark, sf_dir).groupBy(_zone_key("x2", "y2")).agg(F.max("label").alias("nse"))
+    mart, _ = _zone_parts(spark, sf_dir, scores)
+    return mart.select("zona", "cut_com", F.col("pob").cast("double").alias("pob"), "manzanas", "sin_bici", "nse")
+
+
+@query(
+    "display_names",
+    """
+SELECT c_custkey, c_nationkey AS code, nombre FROM customer
+LEFT JOIN (SELECT s_nationkey, arg_min(s_name, s_suppkey) AS nombre FROM supplier WHERE s_name IS NOT NULL GROUP BY 1) ON s_nationkey = c_nationkey
+""",
+)
+def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("code"), F.col("s_name").alias("nombre"), "s_suppkey")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("code"))
+    return M.display_names(rows, names, "code", "nombre", "s_suppkey")
+
+
 @query(
     "zones_without_shape",
     _ZONE + "SELECT count(*) AS zonas, coalesce(sum(pob), 0) AS pob FROM m WHERE zona NOT IN (SELECT zona FROM cr UNION SELECT zona FROM sv)",

@@ -167,6 +167,16 @@ def crosstab_national(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"bici": F.round("bici", 1), "total": F.round("total", 1), "part": r4(F.col("part"))})
 
 
+@query(
+    "hour_purpose",
+    _CROSS
+    + """SELECT ciudad, anio, CAST(split_part(valor, '|', 1) AS INTEGER) AS hora, substr(valor, instr(valor, '|') + 1) AS proposito, bici, total, part
+FROM x WHERE dim = 'hora_prop'""",
+)
+def hour_purpose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.hour_purpose(S.crosstab(trips(spark, sf_dir)))
+
+
 @query(
     "gender_ratio",
     _CROSS

@@ -145,3 +145,12 @@ def test_trip_distance(spark):
     assert got == [1.4, 0.5, 9.0]
     deg = spark.range(1).select(G.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(0.0))).first()[0]
     assert deg == pytest.approx(6371.0 * math.pi / 180)
+
+
+def test_same_name(spark):
+    from pedalgrid.operators.marts import same_name
+
+    rows = [("Concepción", "CONCEPCION"), ("Ñuñoa", "nunoa centro"), ("Gran Viña", "vina"), ("Maipú", "Maule"), (None, "a")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string")
+    got = [r[0] for r in df.orderBy("i").select(same_name(F.col("a"), F.col("b"))).collect()]
+    assert got == [True, True, True, False, None]

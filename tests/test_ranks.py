@@ -48,6 +48,27 @@ def test_weighted_lower_median(spark, path):
         assert got[g] == copies[(len(copies) - 1) // 2]
 
 
+def test_slices_are_cut_again_until_they_are_small(spark, monkeypatch):
+    monkeypatch.setattr(R, "MOST_SLICES", 4)
+    monkeypatch.setattr(R, "PER_SLICE", 9)
+    pdf, df = frame(spark, 4, 1500)
+    by, values = R._values(df, ["g"], "v", "w")
+    keyed, ends = R._sliced(values, by, 8, values.count())
+    sizes = keyed.groupBy("g", "_slice").agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).toPandas()
+    assert sizes.n.max() <= 9 and sizes.n.sum() == values.count() and sizes["_slice"].max() > 5**2
+    for _, d in sizes.sort_values("_slice").groupby("g"):
+        assert (d.lo.values[1:] > d.hi.values[:-1]).all()
+    assert ends.count() == len(sizes)
+    out = R.running_totals(df, ["g"], "v", "w", 8, 0).toPandas()
+    for g, d in pdf.groupby("g"):
+        want = d.groupby("v").w.sum().cumsum()
+        got = out[out.g == g].sort_values("v")
+        assert np.array_equal(got.v, want.index) and np.array_equal(got.cumulative, want.values)
+    at = {r.g: r["at"] for r in R.values_at(df, ["g"], "v", lambda t: F.array(t / 2, t / 10), "w", 8, 0).collect()}
+    for g, d in pdf.groupby("g"):
+        assert at[g][0] == lower(d.v.values, d.w.values)
+
+
 def test_quantile_edges(spark, path):
     pdf, df = frame(spark, 2)
     probs = [0, 0.1, 0.2, 0.5, 0.8, 1]
