@@ -282,6 +282,31 @@ def test_points_in_polygons(spark):
     assert all(first[i] == min((g for j, g in got if j == i), default=None) for i in range(400))
 
 
+@pytest.mark.parametrize("leaf_rows,most", [(1, 10_000), (1, 20)])
+def test_points_meet_polygons_of_all_sizes_in_one_leaf(spark, monkeypatch, leaf_rows, most):
+    """Sizes over many powers of two, crowded, nested, on both sides of zero."""
+    monkeypatch.setattr(P, "LEAF_ROWS", leaf_rows)
+    rng = np.random.default_rng(22)
+    sizes = [0.05, 0.3, 2, 15, 120, 900]
+    shapes = {i: [(blob(rng, *rng.normal(0, 30, 2), float(rng.choice(sizes)), 9), [])] for i in range(40)}
+    shapes |= {100 + i: [(blob(rng, *rng.uniform(4, 5, 2), 0.2, 6), [])] for i in range(25)}
+    shapes[999] = [([(-400.0, -400.0), (400.0, -400.0), (400.0, 400.0), (-400.0, 400.0)], [[(4.0, 4.0), (4.0, 4.5), (4.5, 4.5), (4.5, 4.0)]])]
+    xy = np.concatenate([rng.normal(0, 60, (150, 2)), rng.uniform(4, 5, (150, 2)), [[5000.0, 5000.0]]])
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(xy)] + [(900, None, 1.0), (901, 1.0, None)]
+    pts = spark.createDataFrame(rows, "id int, x double, y double")
+    polys = polygon_table(spark, shapes)
+    got = [(r.id, r.gid) for r in P.points_in_polygons(pts, polys, "gid", "geom", most_leaves=most).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(i, g) for i, (x, y) in enumerate(xy) for g, parts in shapes.items() if inside(x, y, parts)}
+    leaves, _ = P._leaves(P.settle(P._index(polys, "gid", "geom", [])), most)
+    assert leaves.count() <= most
+    levels = sorted(r[0] for r in leaves.select("_l").distinct().collect())
+    assert leaf_rows > 1 or most < 10_000 or len(levels) > 4
+    placed = P._in_leaves(pts, leaves, levels, P._cell(F.col("x"), F.col("_l")), P._cell(F.col("y"), F.col("_l")))
+    assert placed.groupBy("id").count().where("count > 1").isEmpty()
+    assert P.points_in_polygons(pts, polys.limit(0), "gid", "geom").isEmpty()
+
+
 def test_overlay_of_concave_shapes(spark):
     """Common area against a fine grid of sample points."""
     rng = np.random.default_rng(5)
