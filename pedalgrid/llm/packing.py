@@ -4,12 +4,15 @@ Documents become token ids; those longer than ``SIZE`` are cut into pieces of
 ``SIZE``, the first one the shorter rest. Only the histogram of lengths (at most
 ``SIZE`` numbers, whatever the input) reaches the driver. There the linear program
 "fewest sequences, each filled by one configuration of lengths, so that every
-length is covered as often as it occurs" is solved by multiplicative weights: a
-length's weight falls with the share of it that is covered, and each step takes the
-configuration of greatest weight, found by a knapsack dynamic program over the
-token positions. The multiplicities are rounded down, what is left is packed best fit
-(longest first, into the tightest room), and if best fit alone needs fewer
-sequences, it is used instead.
+length is covered as often as it occurs" is solved by multiplicative weights. The
+weights are prices of the lengths: each round fills sequences with the configurations
+of greatest worth, found by a knapsack dynamic program over the token positions, and
+then raises the price of what is still uncovered when as many sequences as the bound
+allows are full. Prices give that bound too: all pieces' price, divided by the worth of
+the dearest configuration, is a number of sequences that no packing can go below. Rounds
+end within ``GAP`` of it. The multiplicities are rounded down, what is left is packed
+best fit (longest first, into the tightest room), and if best fit alone needs fewer
+sequences, it is used instead. The number reached and the bound are logged.
 
 A plan is a list of (configuration, times). Pieces of one length are numbered over
 all partitions, from per-partition counts, and a piece's number says in which copy of
@@ -21,6 +24,8 @@ pieces of their own; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import logging
+import math
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -34,9 +39,12 @@ from ..session import settle
 from .registry import query, table
 from .tokens import END, encoder, vocabulary_path
 
+log = logging.getLogger(__name__)
+
 SIZE = 1024
-STEPS = 2000
-RATE = 0.01  # how strongly a covered share lowers a length's weight
+STEPS = 1000  # knapsacks solved before no further round begins
+RATE = 0.4  # how strongly an uncovered share raises a length's price in the first round
+GAP = 1e-4  # a fractional plan so near its bound is good enough
 LARGE = 0.01  # how much more a token is worth in the longest piece: those are hard to place late
 
 Plan = list[tuple[tuple[int, ...], int]]
@@ -105,30 +113,67 @@ def best_configuration(worth: np.ndarray, size: int) -> np.ndarray:
     return np.array(sorted(chosen, reverse=True))
 
 
-def fractional(counts: np.ndarray, size: int, steps: int = STEPS) -> dict[tuple[int, ...], float]:
-    """Configurations with fractional multiplicities that about cover ``counts``."""
-    there = counts > 0
-    covered = np.zeros(size + 1)
-    lengths = np.arange(size + 1)
-    tokens = lengths * (1 + LARGE * lengths / size)
-    plan: dict[tuple[int, ...], float] = {}
-    for _ in range(steps):
-        open_ = there & (covered < 1)
-        if not open_.any():
-            break
-        # a piece is worth its tokens, less so the more of its length is covered
-        weight = np.exp(-RATE * covered)
-        config = best_configuration(np.where(open_, weight * tokens, 0.0), size)
+def fill(counts: np.ndarray, price: np.ndarray, size: int, most: float) -> tuple[list, np.ndarray, float]:
+    """Configurations of greatest worth, one after another, until every length is covered.
+
+    Returns ``(configuration, times, worth)`` in that order, the share of each length that
+    the first ``most`` sequences cover, and the worth of the first configuration, which
+    no other exceeds. A length that is covered is out, so its cover never exceeds 1.
+    """
+    covered, early = np.zeros(size + 1), np.zeros(size + 1)
+    open_ = counts > 0
+    made, spent, greatest = [], 0.0, 0.0
+    while open_.any():
+        config = best_configuration(np.where(open_, price, 0.0), size)
         each = Counter(config.tolist())
+        worth = float(price[config].sum())
+        greatest = greatest or worth
         # as far as the first of its lengths is covered
         times = min((1 - covered[n]) * counts[n] / k for n, k in each.items())
+        before = min(times, max(most - spent, 0.0))
         for n, k in each.items():
             covered[n] += times * k / counts[n]
-            if covered[n] > 1 - 1e-12:
-                covered[n] = 1.0
-        key = tuple(config.tolist())
-        plan[key] = plan.get(key, 0.0) + times
-    return plan
+            early[n] += before * k / counts[n]
+            open_[n] = covered[n] < 1 - 1e-12
+        spent += times
+        made.append((tuple(config.tolist()), times, worth))
+    return made, early, greatest
+
+
+def fractional(counts: np.ndarray, size: int, steps: int = STEPS) -> tuple[list[dict], float]:
+    """Fractional plans, the best one first, and a bound that no plan can go below.
+
+    The weights are prices of the lengths. A round fills as many sequences as the bound
+    allows by prices (no length beyond its count: that is the width), and every price
+    grows with the share of its length that is still uncovered then. Prices are a dual
+    solution once divided by the worth of the dearest configuration, so all pieces'
+    price is a bound; so is the number of tokens over ``size``.
+    """
+    there = counts > 0
+    lengths = np.arange(size + 1)
+    bound = float((counts * lengths).sum()) / size
+    price = np.where(there, lengths * (1 + LARGE * lengths / size), 0.0)
+    plans: list[tuple[float, dict]] = []
+    mean: dict[tuple[int, ...], float] = {}
+    settled = np.zeros(size + 1)  # prices of all rounds, each in units of its dearest configuration
+    while there.any() and steps > 0:
+        made, early, greatest = fill(counts, price, size, bound)
+        steps -= len(made) + 1
+        settled += price / greatest
+        dearest = float(settled[best_configuration(settled, size)].sum())
+        bound = max(bound, float((counts * price).sum()) / greatest, float((counts * settled).sum()) / dearest)
+        plan_: dict[tuple[int, ...], float] = {}
+        for config, times, _ in made:
+            plan_[config] = plan_.get(config, 0.0) + times
+            mean[config] = mean.get(config, 0.0) + times
+        plans.append((sum(plan_.values()), plan_))
+        if min(p[0] for p in plans) <= bound * (1 + GAP):
+            break
+        # smaller steps later on, as the prices settle
+        price = price * np.exp(RATE / math.sqrt(len(plans)) * (1 - np.minimum(early, 1)) * there)
+    if len(plans) > 1:
+        plans.append((sum(mean.values()) / len(plans), {c: t / len(plans) for c, t in mean.items()}))
+    return [p for _, p in sorted(plans, key=lambda p: p[0])], bound
 
 
 def best_fit(counts: np.ndarray, size: int) -> Plan:
@@ -169,20 +214,28 @@ def best_fit(counts: np.ndarray, size: int) -> Plan:
     return [(config, times) for room in order for config, times in rooms[room].items()]
 
 
-def plan(counts: np.ndarray, size: int = SIZE) -> Plan:
-    """Configurations and how often each is used; every piece has one place."""
+def rounded(counts: np.ndarray, plan_: dict[tuple[int, ...], float], size: int) -> Plan:
+    """Whole multiplicities: rounded down, what is left packed best fit."""
     left = counts.astype(np.int64).copy()
     whole: Plan = []
-    for config, times in sorted(fractional(left, size).items(), key=lambda x: (-sum(x[0]), x[0])):
+    for config, times in sorted(plan_.items(), key=lambda x: (-sum(x[0]), x[0])):
         each = Counter(config)
-        times = min([int(times), *(int(left[n]) // k for n, k in each.items())])
-        if times and sum(config) == size:  # only full ones; best fit does better with the rest
+        times = min([int(times + 1e-9), *(int(left[n]) // k for n, k in each.items())])
+        # smaller pieces would still fit into what a short configuration leaves free
+        if times and size - sum(config) < min(np.flatnonzero(left), default=size):
             whole.append((config, times))
             for n, k in each.items():
                 left[n] -= times * k
-    whole += best_fit(left, size)
+    return whole + best_fit(left, size)
+
+
+def plan(counts: np.ndarray, size: int = SIZE) -> tuple[Plan, int]:
+    """Configurations and how often each is used, so that every piece has one place, and
+    a number of sequences that none can go below."""
+    made, bound = fractional(counts.astype(np.int64), size)
+    whole = [rounded(counts, p, size) for p in made]
     alone = best_fit(counts, size)
-    return min(whole, alone, key=lambda p: sum(t for _, t in p))
+    return min([*whole, alone], key=lambda p: sum(t for _, t in p)), math.ceil(bound - 1e-6)
 
 
 def seats_of(made: Plan, size: int) -> dict[int, list[np.ndarray]]:
@@ -209,7 +262,9 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFram
     counts = np.zeros(size + 1, np.int64)
     for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `size` rows
         counts[r["length"]] = r["n"]
-    seats = spark.sparkContext.broadcast(seats_of(plan(counts, size), size))
+    made, bound = plan(counts, size)
+    log.info("%d sequences, no packing has under %d", sum(t for _, t in made), bound)
+    seats = spark.sparkContext.broadcast(seats_of(made, size))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
     numbered = cut.join(offsets, ["part", "length"]).withColumn("seat", F.col("seat") + F.col("_before"))

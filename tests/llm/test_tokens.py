@@ -133,7 +133,7 @@ def test_plans_use_every_piece_once_and_few_sequences():
     for n in (0, 1, 7, 400, 30_000):
         lengths = np.minimum(rng.lognormal(5.5, 1, n).astype(int) + 1, 1024)
         counts = np.bincount(lengths, minlength=1025)
-        made = K.plan(counts)
+        made, bound = K.plan(counts)
         used = np.zeros(1025, int)
         for config, times in made:
             assert sum(config) <= 1024
@@ -141,6 +141,7 @@ def test_plans_use_every_piece_once_and_few_sequences():
                 used[x] += times
         assert np.array_equal(used, counts)
         total, least = sum(t for _, t in made), -(-int(lengths.sum()) // 1024)
+        assert least <= bound <= total
         assert total <= least * 1.002 + 1 and total <= sum(t for _, t in K.best_fit(counts, 1024))
 
 
@@ -153,3 +154,37 @@ def test_configuration_is_the_best(monkeypatch):
         return max([worth[n] + brute(room - n) for n in range(1, room + 1)], default=0.0)
 
     assert worth[K.best_configuration(worth, 12)].sum() == pytest.approx(brute(12))
+
+
+def test_prices_prove_what_tokens_cannot():
+    """Pieces over half or a third of a sequence: the number of tokens is a weak bound."""
+    rng = np.random.default_rng(5)
+    for lengths, least in ((np.full(900, 600), 900), (np.repeat([520, 400, 350, 300], 500), None), (rng.integers(342, 352, 3000), 1500)):
+        counts = np.bincount(lengths, minlength=1025)
+        made, bound = K.plan(counts)
+        total = sum(t for _, t in made)
+        assert lengths.sum() / 1024 < bound <= total
+        assert total == least if least else bound >= total * 0.98
+
+
+def test_no_packing_is_below_the_bound():
+    """Every packing of a few short pieces, by hand."""
+    rng = np.random.default_rng(6)
+
+    def fewest(left, rooms):
+        if not left:
+            return len(rooms)
+        n, rest = left[0], left[1:]
+        tries = [rooms[:i] + (r - n,) + rooms[i + 1 :] for i, r in enumerate(rooms) if r >= n and r not in rooms[:i]]
+        return min(fewest(rest, t) for t in [*tries, (*rooms, 12 - n)])
+
+    for _ in range(12):
+        lengths = rng.integers(1, 13, 7)
+        made, bound = K.plan(np.bincount(lengths, minlength=13), 12)
+        assert bound <= fewest(tuple(sorted(lengths.tolist(), reverse=True)), ()) <= sum(t for _, t in made)
+
+
+def test_prices_pack_better_than_best_fit():
+    lengths = np.random.default_rng(7).choice(np.arange(250, 520, 9), 6000)
+    counts = np.bincount(lengths, minlength=1025)
+    assert sum(t for _, t in K.plan(counts)[0]) < sum(t for _, t in K.best_fit(counts, 1024)) * 0.97
