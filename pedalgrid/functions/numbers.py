@@ -8,6 +8,8 @@ from pyspark.sql import Column, functions as F
 NO_INFORMATION = "s_i"
 # Fixed value: surveyed trips a zone needs before its figure is shown.
 LEAST_SURVEYED = 5
+# sums of the same numbers in another order differ by less than this part of them
+NOISE = 1e-12
 
 
 def safe_double(c: Column) -> Column:
@@ -23,10 +25,13 @@ def finite(c: Column) -> Column:
 def half_even(c: Column, digits: int = 0) -> Column:
     """Half-even rounding of the decimal value.
 
-    Noise four digits further down is rounded off first: a sum that ends in 5
-    must not flip with the order in which partitions were added.
+    What lies within rounding noise of a half is one: a sum that ends in 5 must not
+    flip with the order in which partitions were added. Noise is a part of the value,
+    so a measured figure a millionth above a half is still rounded up.
     """
-    return F.bround(F.round(c, digits + 4), digits)
+    scaled = F.abs(c.cast("double") * 10.0**digits)
+    at_half = F.abs(scaled % 1.0 - 0.5) <= scaled * NOISE
+    return F.when(at_half, F.bround(F.round(c, digits + 4), digits)).otherwise(F.bround(c, digits))
 
 
 def json_number(c: Column, digits: int = 2) -> Column:

@@ -55,6 +55,13 @@ def test_rounding_and_guards(spark):
     assert many(spark, [1.005, float("nan"), None], lambda c: N.json_number(c, 2), "double") == [1.0, None, None]
 
 
+def test_measured_figures_beside_a_half(spark):
+    # a millionth beside a half is no noise
+    near = [12.3250004, 12.3349997, 0.1250001]
+    assert many(spark, near, lambda c: N.json_number(c, 2), "double") == [12.33, 12.33, 0.13]
+    assert many(spark, [2.50004, 2.5, None], lambda c: N.half_even(c), "double") == [3.0, 2.0, None]
+
+
 def test_weighted_mean_with_missing_values(spark):
     df = spark.createDataFrame([(1.0, 1.0), (None, 5.0), (4.0, 2.0)], "x double, w double")
     x, w = F.col("x"), F.col("w")
