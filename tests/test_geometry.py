@@ -1,6 +1,7 @@
 """Distributed geometry against brute force."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -449,3 +450,37 @@ def test_sites_and_components(spark):
     assert got[2][:3] == ("l7", 9.0, False) and got[2][3] == pytest.approx(math.hypot(410, 8))
     none = X.site_components(sites, named.limit(0), parts, "site", "id")
     assert none.count() == 0 and none.columns == ["site", "component", "dist", "on_largest", "dist_largest"]
+
+
+def test_overlay_writes_no_pairs(spark, monkeypatch):
+    """100 boxes over 100 others: what is written grows with the boxes, in blocks of 40."""
+    written, settle = [], P.settle
+
+    def counted(df, wide=False):
+        out = settle(df, wide)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(P, "settle", counted)
+    monkeypatch.setattr(P, "BLOCK", 40, raising=False)
+    rnd = random.Random(5)
+    boxes = {side: {k: (rnd.uniform(0, 9), rnd.uniform(0, 9), rnd.uniform(9, 15)) for k in range(100)} for side in "zs"}
+    rows = {side: [(k, [([(x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y)], [])]) for k, (x, y, w) in at.items()] for side, at in boxes.items()}
+    zones = spark.createDataFrame(rows["z"], f"zona bigint, geom {G.POLYGON_DDL}").withColumn("pob", F.col("zona") % 7)
+    sources = spark.createDataFrame(rows["s"], f"fuente bigint, geom {G.POLYGON_DDL}").withColumns({"gen": F.col("fuente") % 5, "ciudad": F.col("fuente") % 2})
+
+    def common(a, b):
+        (x, y, w), (u, v, s) = a, b
+        return max(0, min(x + w, u + s) - max(x, u)) * max(0, min(y + w, v + s) - max(y, v))
+
+    want = {(z, s): common(a, b) for z, a in boxes["z"].items() for s, b in boxes["s"].items() if common(a, b) > 0}
+    out = P.overlay_area(zones.select("zona", "geom"), sources.select("fuente", F.col("geom").alias("sgeom")), "zona", "fuente", "geom", "sgeom")
+    assert {(r.zona, r.fuente): r.area for r in out.collect()} == pytest.approx(want)
+    share = {(z, s): z % 7 * area / boxes["z"][z][2] ** 2 for (z, s), area in want.items()}
+    whole = {s: sum(v for (_, o), v in share.items() if o == s) for s in boxes["s"]}
+    given = {}
+    for (z, s), v in share.items():
+        given[z, s % 2] = given.get((z, s % 2), 0) + s % 5 * v / whole[s]
+    got = P.interpolate(zones, sources, "zona", "fuente", "pob", ["gen"], label=["ciudad"])
+    assert {(r.zona, r.ciudad): r.gen for r in got.collect()} == pytest.approx(given)
+    assert max(written) < 10 * 200 < len(want)
