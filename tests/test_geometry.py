@@ -452,6 +452,16 @@ def test_sites_and_components(spark):
     assert none.count() == 0 and none.columns == ["site", "component", "dist", "on_largest", "dist_largest"]
 
 
+def test_every_id_is_at_home_in_one_cell(spark, monkeypatch):
+    """Whatever is cut or shared, the cells of every level count each id once."""
+    monkeypatch.setattr(N, "LEAF", 4)
+    net = network(9, 60).tolist()
+    rows = [(i % 50, r) for i, r in enumerate(net)] + [(100, net[0]), (101, net[0])]
+    _, tables, _ = N._build(pieces(spark, rows), [], "id", 3)
+    assert len(tables) > 2
+    assert {t.agg(F.sum("_home")).first()[0] for t in tables} == {52}
+
+
 def test_overlay_writes_no_pairs(spark, monkeypatch):
     """100 boxes over 100 others: what is written grows with the boxes, in blocks of 40."""
     written, settle = [], P.settle
