@@ -494,3 +494,15 @@ def test_overlay_writes_no_pairs(spark, monkeypatch):
     got = P.interpolate(zones, sources, "zona", "fuente", "pob", ["gen"], label=["ciudad"])
     assert {(r.zona, r.ciudad): r.gen for r in got.collect()} == pytest.approx(given)
     assert max(written) < 10 * 200 < len(want)
+
+
+def test_cells_of_few_bytes_are_dealt_out(spark):
+    """Pairs of many small cells are looked for in more than one task."""
+    rows = spark.createDataFrame([(i, i // 4, 0, float(i), 0.0, i + 1.0, 0.0) for i in range(160)], "_rep long, _cx long, _cy long, x1 double, y1 double, x2 double, y2 double")
+    tasks = X._pairs_in_cells(rows, 5.0, ["_cx", "_cy"]).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 40 * 6
+    points = spark.createDataFrame([(i, i + 0.5, 0.5) for i in range(160)], "q long, x double, y double")
+    shapes = [(i, [([(i, 0.0), (i + 1.0, 0.0), (i + 1.0, 1.0), (i + 0.0, 1.0), (i + 0.0, 0.0)], [])]) for i in map(float, range(160))]
+    zones = spark.createDataFrame(shapes, f"zona double, geom {G.POLYGON_DDL}")
+    met = P.points_in_polygons(points, zones, "zona", "geom").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(met) > 1 and sum(r["count"] for r in met) == 160
