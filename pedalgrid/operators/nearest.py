@@ -3,9 +3,11 @@
 The network's straight pieces are put, by midpoint, into grid cells; a cell that
 holds too many is split in sixteen, its pieces cut to the size of the new cells,
 so dense cities get small cells and open country large ones. Every cell knows
-the box of what it holds. A query starts at the top and in each round is joined,
-by cell, to the children of the cells it still has to look at; a cell farther
-than the best guaranteed distance so far is dropped. Each round is an equi-join
+the box of what it holds. A query first goes straight down, always to the child that
+promises most, and measures the leaf it comes to: what it finds there bounds its
+distance. Then it starts at the top again and in each round is joined, by cell, to the
+children of the cells it still has to look at; a cell beyond the bound is dropped where
+the join made it, so that only cells in reach are shuffled. Each round is an equi-join
 with a few dozen rows per cell at most, and leaves hold at most ``LEAF`` pieces,
 so neither dense cities nor far points blow up. The one exception are different lines
 that lie over each other for much of their length: no cut tells them apart, so a leaf
@@ -62,6 +64,29 @@ def _reach2(px, py, lox, hix, loy, hiy) -> Column:
     return F.least(near_x * near_x + far_y * far_y, near_y * near_y + far_x * far_x)
 
 
+def _wider(d2: Column, scale: Column) -> Column:
+    """A squared bound with room for the rounding of coordinates of that size."""
+    reach = F.sqrt(d2) * (1 + 1e-9) + scale * 1e-12
+    return reach * reach
+
+
+def _scale() -> Column:
+    return F.greatest(*[F.abs(c) for c in (*PIECE, *[f"n{c}" for c in PIECE])])
+
+
+def _d2() -> Column:
+    return piece_piece_d2([F.col(c) for c in PIECE], [F.col(f"n{c}") for c in PIECE])
+
+
+def _piece_gap2() -> Column:
+    """Squared distance of the boxes of the two pieces, cheaper than that of the pieces."""
+    gaps = [
+        _gap2(F.least(f"{a}1", f"{a}2"), F.greatest(f"{a}1", f"{a}2"), F.least(f"n{a}1", f"n{a}2"), F.greatest(f"n{a}1", f"n{a}2"))
+        for a in "xy"
+    ]
+    return gaps[0] + gaps[1]
+
+
 def _cut(df: DataFrame, longest: float) -> DataFrame:
     """Pieces cut into equal parts no longer than ``longest``."""
     length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
@@ -199,6 +224,43 @@ def _build(network: DataFrame, by: list[str], nid: str | None = None, k: int = 1
     return root, tables, out
 
 
+def _least2() -> Column:
+    """Squared distance of the query's box and the cell's."""
+    lox, hix, loy, hiy = (F.col(c) for c in BOX)
+    return _gap2(F.least("x1", "x2"), F.greatest("x1", "x2"), lox, hix) + _gap2(
+        F.least("y1", "y2"), F.greatest("y1", "y2"), loy, hiy
+    )
+
+
+def _bounded(front: DataFrame, tables: list, leaves: DataFrame, by: list[str], qid: str, cap: float) -> DataFrame:
+    """The pieces asked for, each with a bound ``_best`` on its query's squared distance.
+
+    Every piece goes down to one leaf and measures what lies there. In each round the
+    children of its cell are reduced to one where the join made them.
+    """
+    row = [qid, *by, *PIECE]
+    lox, hix, loy, hiy = (F.col(c) for c in BOX)
+    px, py = F.col("x1"), F.col("y1")
+    best = F.min(F.least("_best", _reach2(px, py, lox, hix, loy, hiy))).alias("_best")
+    # the nearest box; of those the query lies in the one with the nearest middle
+    middle2 = (px - (lox + hix) / 2) ** 2 + (py - (loy + hiy) / 2) ** 2
+    nearest = F.min_by("_cell", _least2() + middle2 * 1e-3).alias("_parent")
+    # partitioned by query once, which holds until a level is too large to broadcast
+    at = spread(front.withColumn("_best", F.lit(cap)), qid)
+    for round_, nodes in enumerate(tables):
+        at = at.join(nodes, [*by, "_parent"]).groupBy(*row).agg(best, nearest)
+        if round_ % 4 == 3 and round_ < len(tables) - 1:
+            at = settle(at)
+    found = (
+        at.join(leaves.withColumnRenamed("_cell", "_parent"), [*by, "_parent"])
+        .groupBy(*row)
+        .agg(F.min(F.least("_best", _d2())).alias("_d2"), F.max(_scale()).alias("_size"))
+    )
+    best = F.min(_wider(F.col("_d2"), F.col("_size"))).over(Window.partitionBy(qid))
+    root = F.xxhash64(F.lit(0), *by)
+    return settle(found.select(*row, root.alias("_parent"), best.alias("_best")), wide=True)
+
+
 def nearest_distance(
     queries: DataFrame,
     network: DataFrame,
@@ -219,39 +281,19 @@ def nearest_distance(
         return queries.select(qid, F.lit(None).cast("double").alias(name)).where(F.lit(False))
     root, tables, leaves = built
     cap = float("inf") if within is None else float(within) ** 2
-    # partitioned by query once; pruning then stays in place until a level is
-    # too large to broadcast
     asked = queries.select(qid, *by, *PIECE).na.drop(subset=PIECE)
-    front = spread(asked, qid).withColumn("_parent", root).withColumn("_best", F.lit(cap))
-    per_query = Window.partitionBy(qid)
-    lox, hix, loy, hiy = (F.col(c) for c in BOX)
+    front = _bounded(asked.withColumn("_parent", root), tables, leaves, by, qid, cap)
     for round_, nodes in enumerate(tables):
-        seen = front.join(nodes, [*by, "_parent"]).select(
-            qid,
-            *by,
-            *PIECE,
-            "_cell",
-            "_best",
-            (
-                _gap2(F.least("x1", "x2"), F.greatest("x1", "x2"), lox, hix)
-                + _gap2(F.least("y1", "y2"), F.greatest("y1", "y2"), loy, hiy)
-            ).alias("_least"),
-            _reach2(F.col("x1"), F.col("y1"), lox, hix, loy, hiy).alias("_reach"),
-        )
-        best = F.min(F.least("_best", "_reach")).over(per_query)
-        front = (
-            seen.withColumn("_best", best)
-            .where(F.col("_least") <= F.col("_best") * (1 + 1e-9))
-            .select(qid, *by, *PIECE, "_best", F.col("_cell").alias("_parent"))
-        )
+        front = front.join(nodes, [*by, "_parent"]).where(_least2() <= F.col("_best"))
+        front = front.select(qid, *by, *PIECE, "_best", F.col("_cell").alias("_parent"))
         if round_ % 4 == 3 and round_ < len(tables) - 1:
             front = settle(front)
 
-    d2 = piece_piece_d2([F.col(c) for c in PIECE], [F.col(f"n{c}") for c in PIECE])
     out = (
         front.join(leaves.withColumnRenamed("_cell", "_parent"), [*by, "_parent"])
+        .where(_piece_gap2() <= F.col("_best"))
         .groupBy(qid)
-        .agg(F.sqrt(F.min(d2)).alias(name))
+        .agg(F.sqrt(F.min(_d2())).alias(name))
     )
     return out if within is None else out.where(F.col(name) <= within)
 
@@ -302,7 +344,11 @@ def nearest_rows(
     root, tables, leaves = built
     cap = float("inf") if within is None else float(within) ** 2
     asked, stands = _asked_once(queries, qid, by)
-    front = spread(asked, "_asked").withColumn("_parent", root).withColumn("_best", F.lit(cap))
+    front = asked.withColumn("_parent", root)
+    if k == 1:
+        front = _bounded(front, tables, leaves, by, "_asked", cap)
+    else:
+        front = spread(front, "_asked").withColumn("_best", F.lit(cap))
     per_query = Window.partitionBy("_asked")
     same_cell = Window.partitionBy("_asked", "_cell").orderBy("_far")
     nearer = per_query.orderBy("_far").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -312,39 +358,31 @@ def nearest_rows(
         return F.greatest(F.abs(F.col(c) - lo), F.abs(F.col(c) - hi))
 
     for round_, nodes in enumerate(tables):
-        seen = front.join(nodes, [*by, "_parent"]).select(
-            "_asked",
-            *by,
-            *PIECE,
-            "_cell",
-            "_best",
-            (
-                _gap2(F.least("x1", "x2"), F.greatest("x1", "x2"), lox, hix)
-                + _gap2(F.least("y1", "y2"), F.greatest("y1", "y2"), loy, hiy)
-            ).alias("_least"),
-            _reach2(F.col("x1"), F.col("y1"), lox, hix, loy, hiy).alias("_reach"),
-            (far("x1", lox, hix) ** 2 + far("y1", loy, hiy) ** 2).alias("_far"),
-            *([] if k == 1 else ["_home"]),
+        least = _least2().alias("_least")
+        farthest = (far("x1", lox, hix) ** 2 + far("y1", loy, hiy) ** 2).alias("_far")
+        # what is beyond the bound is dropped before the window shuffles it
+        seen = (
+            front.join(nodes, [*by, "_parent"])
+            .select("_asked", *by, *PIECE, "_cell", "_best", least, *([] if k == 1 else [farthest, "_home"]))
+            .where(F.col("_least") <= F.col("_best") * (1 + 1e-9))
         )
-        if k == 1:
-            known = F.min("_reach").over(per_query)
-        else:
+        if k > 1:
             # pieces of one query object count the same cell again: only the nearest counts
             seen = seen.withColumn("_own", F.when(F.row_number().over(same_cell) == 1, F.col("_home")).otherwise(0))
             seen = seen.withColumn("_held", F.sum("_own").over(nearer))
             known = F.min(F.when(F.col("_held") >= k, F.col("_far"))).over(per_query)
-        front = (
-            seen.withColumn("_best", F.least("_best", known))
-            .where(F.col("_least") <= F.col("_best") * (1 + 1e-9))
-            .select("_asked", *by, *PIECE, "_best", F.col("_cell").alias("_parent"))
-        )
+            seen = seen.withColumn("_best", F.least("_best", known)).where(F.col("_least") <= F.col("_best") * (1 + 1e-9))
+        front = seen.select("_asked", *by, *PIECE, "_best", F.col("_cell").alias("_parent"))
         if round_ % 4 == 3 and round_ < len(tables) - 1:
             front = settle(front)
 
-    d2 = piece_piece_d2([F.col(c) for c in PIECE], [F.col(f"n{c}") for c in PIECE])
+    within_best = _wider(F.col("_best"), _scale())
     met = (
         front.join(leaves.withColumnRenamed("_cell", "_parent"), [*by, "_parent"])
-        .select("_asked", F.explode("_ids").alias("_id"), d2.alias("_d2"))
+        .where(_piece_gap2() <= within_best)
+        .withColumn("_d2", _d2())
+        .where(F.col("_d2") <= within_best)
+        .select("_asked", F.explode("_ids").alias("_id"), "_d2")
         .groupBy("_asked", "_id")
         .agg(F.min("_d2").alias("_d2"))
     )
