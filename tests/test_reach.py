@@ -1,9 +1,12 @@
-"""What the descents of nearest distance keep and shuffle."""
+"""What the descents of nearest distance and the links of cells keep and shuffle."""
+
+import re
 
 import numpy as np
 import pytest
 
 from pedalgrid.operators import nearest as N
+from pedalgrid.operators import proximity as X
 
 from test_geometry import pieces, point_to
 
@@ -78,3 +81,53 @@ def test_nearest_row_keeps_few_cells(spark, monkeypatch):
         assert got[i] == min(range(len(net)), key=lambda j: (point_to(x, y, net[j]), j))
     assert kept and max(kept) <= 12 * len(asked)
     assert EVERYTHING not in plan(out)
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_distances_are_compiled_short(spark, capsys, k):
+    """The JVM does not translate methods of over 8,000 bytes: distances took 40 times as long."""
+    net, asked = crowd(100, 10)
+    q = pieces(spark, [(i, (x, y, x, y)) for i, (x, y) in enumerate(asked)], "q")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        N.nearest_rows(q, pieces(spark, enumerate(net.tolist())), "q", "id", k).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_cells_give_fewer_links_than_pieces(spark, monkeypatch):
+    """A cell's pairs are measured within it; batches that end within a cell change nothing."""
+    net = crowd(250)[0] / 8
+    segs = pieces(spark, enumerate(net.tolist()))
+    tols = [0.5, 2.0, 5.0]
+    pairs = X.threshold_pairs(segs, "id", tols[-1]).collect()
+    given, spanning = [], X.spanning_links
+
+    def counted(links):
+        given.append(links.count())
+        return spanning(links)
+
+    monkeypatch.setattr(X, "spanning_links", counted)
+    # at the widest tolerance all cells are calm, so nothing else gives links
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.tol, r.id): r.component for r in X.components_by_tolerance(segs, "id", tols).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for tol in tols:
+        root = list(range(len(net)))
+
+        def top(v):
+            while root[v] != v:
+                v = root[v]
+            return v
+
+        for r in pairs:
+            if r.dist <= tol:
+                a, b = sorted((top(r.src), top(r.dst)))
+                root[b] = a
+        assert [got[tol, v] for v in range(len(net))] == [top(v) for v in range(len(net))]
+    # the pairs of a cell came out once for every cell that two pieces share: 7,073 links
+    assert len(given) == 1 and given[0] < len(pairs)
