@@ -131,3 +131,18 @@ def test_cells_give_fewer_links_than_pieces(spark, monkeypatch):
         assert [got[tol, v] for v in range(len(net))] == [top(v) for v in range(len(net))]
     # the pairs of a cell came out once for every cell that two pieces share: 7,073 links
     assert len(given) == 1 and given[0] < len(pairs)
+
+
+def test_near_pieces_measure_as_columns_do(spark):
+    rng = np.random.default_rng(5)
+    p = rng.uniform(0, 12, (70, 4))
+    p[:20] = p[:20].round()
+    p[20:30, 2:] = p[20:30, :2]
+    p[30:40] = p[:10, [2, 3, 0, 1]]
+    both = pieces(spark, enumerate(p.tolist())).join(
+        pieces(spark, enumerate(p.tolist()), "other").selectExpr("other", *[f"{c} AS n{c}" for c in N.PIECE])
+    ).where("id < other")
+    want = {(r.id, r.other): r.d2 for r in both.select("id", "other", N._d2().alias("d2")).collect() if r.d2 <= 4.0}
+    i, j, d2 = X.near_pieces(p, 2.0)
+    assert dict(zip(zip(i.tolist(), j.tolist()), d2.tolist())) == want and 0.0 in want.values()
+    assert [len(c) for c in X.near_pieces(p[:1], 2.0)] == [0, 0, 0]
