@@ -146,3 +146,25 @@ def test_near_pieces_measure_as_columns_do(spark):
     i, j, d2 = X.near_pieces(p, 2.0)
     assert dict(zip(zip(i.tolist(), j.tolist()), d2.tolist())) == want and 0.0 in want.values()
     assert [len(c) for c in X.near_pieces(p[:1], 2.0)] == [0, 0, 0]
+
+
+def test_crowded_pieces_fill_few_cells(spark, monkeypatch):
+    listed, settle = [], X.settle
+
+    def seen(df, wide=False):
+        out = settle(df, wide)
+        if wide and "_cx" in df.columns:
+            listed.append(out.count())
+        return out
+
+    monkeypatch.setattr(X, "settle", seen)
+    net, _ = crowd(600)
+    # most in a quarter of the width, some alone far out
+    net += np.tile(net[:, :2] * np.where(np.arange(len(net)) % 20, -0.75, 3)[:, None], 2)
+    links = X.proximity_links(pieces(spark, enumerate(net.tolist())), "id", 5.0, crowded=8).collect()
+    top = np.arange(len(net))
+    want = X._hung(top, *X.near_pieces(net, 5.0)[:2])
+    assert len(set(want)) > 1
+    assert (X._hung(top, *np.array(links, int).T) == want).all()
+    print(listed)
+    assert len(listed) > 1 and max(listed) <= 20 * len(net)
