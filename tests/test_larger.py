@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 
 from pedalgrid.operators import nearest as N
+from pedalgrid.operators import proximity as X
 
-from test_geometry import pieces, point_to
+from test_geometry import pieces, point_to, seg_to
 from test_reach import EVERYTHING, crowd, plan, watched
 
 
@@ -37,3 +38,31 @@ def test_fewer_objects_than_asked_for_are_counted(spark, monkeypatch):
     for i, (x, y) in enumerate(asked):
         away = sorted(min(point_to(x, y, s) for s in net[k::2]) for k in (0, 1))
         assert [got[i, 1], got[i, 2]] == pytest.approx(away, abs=1e-7)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_pairs_are_given_once(spark, monkeypatch, parts):
+    monkeypatch.setattr(X, "PART", 6, raising=False)
+    net, _ = crowd(150)
+    # at one spot, crossing, touching, lying over each other, points, copies either way round
+    net[:60] = net[:60] * 0.05
+    net[60:70, 2:] = net[60:70, :2]
+    net[70:80] = np.repeat([[0.0, 0.0, 10.0, 0.0]], 10, 0) + np.arange(10)[:, None] * [[2.5, 0, 2.5, 0]]
+    net = np.vstack([net, net[:5], net[5:10][:, [2, 3, 0, 1]]])
+    rows = [(i // parts, tuple(map(float, s))) for i, s in enumerate(net)]
+    out = X.threshold_pairs(pieces(spark, rows), "id", 5.0, crowded=8)
+    if parts == 1:
+        assert "Aggregate [src" not in plan(out)
+    owners = {}
+    for i, s in rows:
+        flat = min(s, s[2:] + s[:2])
+        owners[flat] = min(i, owners.get(flat, i))
+    want, shapes = {}, list(owners.items())
+    for k, (a, i) in enumerate(shapes):
+        for b, j in shapes[:k]:
+            d = seg_to(a, b)
+            if i != j and d <= 5.0:
+                key = (min(i, j), max(i, j))
+                want[key] = min(d, want.get(key, d))
+    got = [((r.src, r.dst), r.dist) for r in out.collect()]
+    assert len(got) == len(want) and dict(got) == pytest.approx(want, abs=1e-9)
