@@ -1,9 +1,12 @@
 """What queries on many rows keep, shuffle and measure."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from pedalgrid.functions import geo as G
 from pedalgrid.operators import nearest as N
+from pedalgrid.operators import polygons as P
 from pedalgrid.operators import proximity as X
 
 from test_geometry import pieces, point_to, seg_to
@@ -66,3 +69,85 @@ def test_pairs_are_given_once(spark, monkeypatch, parts):
                 want[key] = min(d, want.get(key, d))
     got = [((r.src, r.dst), r.dist) for r in out.collect()]
     assert len(got) == len(want) and dict(got) == pytest.approx(want, abs=1e-9)
+
+
+def overlapping(n, seed=5):
+    """Polygons over each other: concave ones, some with a hole, large and small; ids come twice."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for k in range(n):
+        size = 2.0 if k % 5 == 0 else 60.0
+        cx, cy = rng.normal(0, 40, 2)
+        turn = np.arange(9) % 8 * np.pi / 4
+
+        def ring(radii):
+            r = np.append(radii, radii[0])
+            return [(float(a), float(b)) for a, b in zip(cx + r * np.cos(turn), cy + r * np.sin(turn))]
+
+        holes = [ring(np.full(8, size * 0.1))] if k % 3 == 0 else []
+        out.append((k // 2, [(ring(rng.uniform(0.3, 1.0, 8) * size), holes)]))
+    return out
+
+
+def around(x, y, shape):
+    odd = False
+    for shell, holes in shape:
+        for ring in (shell, *holes):
+            for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
+                if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                    odd = not odd
+    return odd
+
+
+@pytest.mark.parametrize("few", [1, 100_000])
+def test_points_and_overlapping_polygons(spark, monkeypatch, few):
+    monkeypatch.setattr(P.inside, "FEW", few)
+    shapes = overlapping(60)
+    xy = np.random.default_rng(6).normal(0, 40, (200, 2)).round(1)
+    xy[:8] = [p for p in shapes[1][1][0][0][:8]]
+    rows = [(i, float(x), float(y), None if i % 9 == 0 else i) for i, (x, y) in enumerate(xy)]
+    points = spark.createDataFrame([*rows, (500, None, 1.0, 1)], "q long, x double, y double, people long")
+    zones = spark.createDataFrame(shapes, f"zona long, geom {G.POLYGON_DDL}")
+    want, least = {}, {}
+    for i, x, y, people in rows:
+        for g, shape in shapes:
+            if around(x, y, shape):
+                n, all_ = want.get(g, (0, 0))
+                want[g] = n + 1, all_ + (people or 0)
+                least[i] = min(g, least.get(i, g))
+    added = P.sums_in_polygons(points.selectExpr("*", "1 AS n"), zones, "zona", "geom", ["n", "people"])
+    assert {r.zona: (r.n, r.people) for r in added.collect()} == want
+    nameless = zones.unionByName(zones.selectExpr("CAST(NULL AS BIGINT) AS zona", "geom"))
+    got = {r.q: r.zona for r in P.first_polygon(points, nameless, "q", "zona", "geom").collect()}
+    assert got == {i: least.get(i) for i in [*range(len(rows)), 500]}
+    none = P.first_polygon(points, zones.where("zona < 0"), "q", "zona", "geom").collect()
+    assert len(none) == len(rows) + 1 and not any(r.zona for r in none)
+
+
+def test_squares_within_polygons_are_not_tested_point_by_point(monkeypatch):
+    shapes = overlapping(400)
+    walls = [[(*a, *b) for ring in (shell, *holes) for a, b in zip(ring, ring[1:])] for _, [(shell, holes)] in shapes]
+    rows = pa.table(
+        {
+            "_e": pa.array([[dict(zip(("x1", "y1", "x2", "y2"), w)) for w in ws] for ws in walls]),
+            **{c: pa.array([v] * len(walls)) for c, v in (("_level", 9), ("_cx", 0), ("_cy", 0))},
+        }
+    )
+    x, y = np.random.default_rng(7).normal(0, 40, (2, 3000))
+    pairs, hold = [], P.inside.Shapes.hold
+
+    def seen(self, r, x, y):
+        pairs.append(len(r) * len(x))
+        return hold(self, r, x, y)
+
+    every = P.inside.Shapes(rows, 9)
+    held = every.hold(np.arange(len(walls)), x, y)
+    monkeypatch.setattr(P.inside.Shapes, "hold", seen)
+    monkeypatch.setattr(P.inside, "FEW", 2000)
+    square = (-256.0, -256.0, 512.0)
+    assert (P.inside.sums(every, x, y, square, np.ones((3000, 1), np.int64))[:, 0] == held.sum(1)).all()
+    assert sum(pairs) < 0.5 * held.size
+    pairs.clear()
+    first = P.inside.first(every, x, y, square, np.arange(len(walls)))
+    assert (first == np.where(held.any(0), held.argmax(0), np.iinfo(np.int64).max)).all()
+    assert sum(pairs) < 0.2 * held.size
