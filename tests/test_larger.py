@@ -8,6 +8,8 @@ from pedalgrid.functions import geo as G
 from pedalgrid.operators import nearest as N
 from pedalgrid.operators import polygons as P
 from pedalgrid.operators import proximity as X
+from pedalgrid.operators import stacks
+from pedalgrid.operators.strips import _under
 
 from test_geometry import pieces, point_to, seg_to
 from test_reach import EVERYTHING, crowd, plan, watched
@@ -151,3 +153,57 @@ def test_squares_within_polygons_are_not_tested_point_by_point(monkeypatch):
     first = P.inside.first(every, x, y, square, np.arange(len(walls)))
     assert (first == np.where(held.any(0), held.argmax(0), np.iinfo(np.int64).max)).all()
     assert sum(pairs) < 0.2 * held.size
+
+
+def test_strips_are_summed_as_pairs_are():
+    rng = np.random.default_rng(8)
+
+    def walls(n):
+        x, y = rng.normal(0, 50, (2, n, 2)).round(1)
+        x, y = np.concatenate([x, [[3.0, 3.0 + 1e-9]] * 3]), np.concatenate([y, [[-40.0, 40.0]] * 3])
+        y[: n // 3, 1] = y[: n // 3, 0]
+        lx, rx = np.minimum(x[:, 0], x[:, 1]), np.maximum(x[:, 0], x[:, 1])
+        some = lx < rx
+        return {"lx": lx[some], "rx": rx[some], "ly": y[some, 0], "ry": y[some, 1], "s": rng.choice([-1.0, 1.0], some.sum())}
+
+    e, f = walls(250), walls(200)
+    # a polygon's walls add up to nothing at every x, so it does not matter from where strips are measured
+    e = {c: np.concatenate([v, v + (10.0 if c in ("ly", "ry") else 0.0)]) if c != "s" else np.concatenate([v, -v]) for c, v in e.items()}
+    weights = np.tile(rng.uniform(0, 3, (len(e["s"]) // 2, 2)), (2, 1))
+    lo, hi = -30.0, 60.0
+    got = stacks.strips_under(e, f, weights, lo, hi)
+    want = np.zeros(got.shape)
+    for j in range(len(f["s"])):
+        lx, rx = np.maximum(np.maximum(e["lx"], f["lx"][j]), lo), np.minimum(np.minimum(e["rx"], f["rx"][j]), hi)
+        k = np.flatnonzero(lx < rx)
+        one, other = {c: v[k] for c, v in e.items()}, {c: np.full(len(k), v[j]) for c, v in f.items()}
+        want[j] = (weights[k] * _under(lx[k], rx[k], one, other, -1000.0)[0][:, None]).sum(0)
+    assert got == pytest.approx(want, abs=1e-5)
+
+
+def test_reallocation_does_not_measure_pairs(spark, monkeypatch):
+    zones = [(i, float(i % 7), g) for i, (_, g) in enumerate(overlapping(60))]
+    sources = [(i, i % 2, float(i), None if i % 5 == 0 else 1.0, g) for i, (_, g) in enumerate(overlapping(80, 9))]
+    zones = spark.createDataFrame(zones, f"zone long, people double, geom {G.POLYGON_DDL}")
+    sources = spark.createDataFrame(sources, f"source long, city long, trips double, n double, geom {G.POLYGON_DDL}")
+    given, dealt = [], P._dealt
+
+    def seen(a, b, *rest):
+        given.append((a.count(), b.count()))
+        return dealt(a, b, *rest)
+
+    def shares(sure):
+        monkeypatch.setattr(P, "SURE", sure)
+        out = P.interpolate(zones, sources, "zone", "source", "people", ["trips", "n"], label=["city"])
+        return {(r.zone, r.city): (r.trips, r.n) for r in out.collect()}
+
+    monkeypatch.setattr(P, "STACK", 25)
+    monkeypatch.setattr(P, "_dealt", seen)
+    every = shares(1e9)
+    assert given.pop(0)[1] == 80 and given.pop(0)[0] == 60
+    most = shares(1.0)
+    # of the sources and zones in the crowd no pair is measured
+    assert given[0][1] < 40 and given[1][0] < 40
+    assert most.keys() == every.keys()
+    for k, v in every.items():
+        assert most[k] == pytest.approx(v, rel=1e-9, abs=1e-9)
